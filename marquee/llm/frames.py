@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words `[^\x20\x09-\x0D]+` as a Java and RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,3 +61,17 @@ def union(*frames: DataFrame) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def appended(docs: DataFrame, keep: Sequence[str], text: str, fields: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns keep of docs and the columns `fields` that compute makes of each Arrow batch of the text column, row by row."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(fields).fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.columns[-1])], names)
+
+    return rows.mapInArrow(run, schema)

@@ -28,10 +28,6 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def _table(flags: str) -> np.ndarray:
-    return np.array([c == "1" for c in flags], dtype=bool)
-
-
 #: Separators of `[^\x20\x09-\x0D]+`.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -99,8 +95,9 @@ class Words:
         poly = _BYTES2 if second else _BYTES
         return poly.ranges(poly.values[self.buf], self.start, self.end)
 
-    def byte_ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _BYTES.ranges(_BYTES.values[self.buf], start, end)
+    def byte_ranges(self, start: np.ndarray, end: np.ndarray, mapped: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of buf[start:end]; mapped: a table that replaces each byte first."""
+        return _BYTES.ranges(_BYTES.values[self.buf if mapped is None else mapped[self.buf]], start, end)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of width consecutive words of one row, and each window's row."""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .chat import CHAT_SQL, TRICKY, digests, format_conversations
 from .frames import table
+from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import MIX_SQL, mix
+from .quality import judge_quality
 from .url_rules import URL_SQL, judge
 
 
@@ -16,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = drop_boilerplate_lines(docs, n_lines="n_lines", n_dropped="n_dropped")
@@ -32,5 +38,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_line_dedup, op5_url_rules, op6_chat)}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid)}
 ORACLES = {"op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL}
