@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import CHAT_SQL, TRICKY, digests, format_conversations
+from .decontaminate import find_contamination
 from .frames import table
 from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
@@ -44,5 +45,9 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination)}
 ORACLES = {"op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL}
