@@ -69,6 +69,18 @@ class Poly:
 _BYTES, _BYTES2, _WORDS, _WORDS2 = Poly(1), Poly(2), Poly(3), Poly(4)
 
 
+def hash_order(x: np.ndarray) -> np.ndarray:
+    """Indices that sort 64-bit hashes by all but as many low bits as number the items: equal hashes are neighbours, but for odds of about n**3 / 2**64."""
+    low = np.uint64((1 << max(1, (len(x) - 1).bit_length())) - 1)
+    return (np.sort(x & ~low | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def key_order(key: np.ndarray) -> np.ndarray:
+    """Indices that sort small non-negative integers, equal ones in their order."""
+    bits = np.uint64(max(1, (len(key) - 1).bit_length()))
+    return (np.sort(key.astype(np.uint64) << bits | np.arange(len(key), dtype=np.uint64)) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+
+
 @dataclass
 class Words:
     """The words of a slice of rows: buf[start[i]:end[i]] is word i; the words of row r are first[r] to first[r + 1]."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import appended
-from .kernel import BLANK, LOWER, Words, slices, splitmix, window_hashes
+from .kernel import BLANK, LOWER, Words, hash_order, slices, splitmix, window_hashes
 
 BINS = 1 << 12
 COMMON_SHARE = 0.004
@@ -51,7 +51,7 @@ def _by_row(flags: np.ndarray, row_at: np.ndarray) -> np.ndarray:
 def _groups(row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which items are equal to another one of their row, and which are the first of theirs."""
     keys = splitmix(row) ^ hashes
-    order = np.argsort(keys, kind="stable")
+    order = hash_order(keys)
     same = keys[order][1:] == keys[order][:-1]
     twice, first = np.zeros(len(keys), dtype=bool), np.ones(len(keys), dtype=bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True

@@ -15,7 +15,6 @@ the size of the input.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import written
-from .kernel import Words, buffers, cut, BLANK, slices, window_hashes
+from .kernel import BLANK, Words, buffers, cut, hash_order, key_order, slices, window_hashes
 
 WINDOW, BLOCK = 20, 10
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Text bytes of a group of documents, and of the text whose probes share a hash bucket.
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 MAX_BUCKETS = 1 << 18
@@ -60,10 +59,10 @@ class Packer:
 
     def add(self, key: np.ndarray, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray | None = None) -> Packer:
         """Entries in the order of their documents; hashes: rows of bytes, if any."""
-        order = np.argsort(key, kind="stable")
+        order = key_order(key - key.min(initial=0))
         key, ids, places = key[order], ids[order], places[order]
         hashes = None if hashes is None else hashes[order]
-        at = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+        at = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]), len(key))
         for low, high in zip(at[:-1], at[1:], strict=True):
             new = np.flatnonzero(np.append(True, ids[low + 1 : high] != ids[low : high - 1]))
             packed = None if hashes is None else hashes[low:high].tobytes()
@@ -106,7 +105,7 @@ def _probes(buckets: int, groups: int, block: int) -> Callable[[Iterator[pa.Reco
                     continue
                 h, ids, place = window_hashes(w.hashes(), at, block), all_ids[low + row], at - w.first[row]
                 index = place % block == 0
-                order = np.argsort(h)
+                order = hash_order(h)
                 same = h[order][1:] == h[order][:-1]
                 start = np.flatnonzero(np.append(True, ~same))
                 index = np.logical_or.reduceat(index[order], start)
@@ -115,7 +114,7 @@ def _probes(buckets: int, groups: int, block: int) -> Callable[[Iterator[pa.Reco
                 many[order[1:][same]] = many[order[:-1][same]] = True
                 if many.any():
                     out.add(-1 - _group_of(all_ids, groups)[low + row[many]], ids[many], place[many])
-                by_place = np.argsort(rep)
+                by_place = key_order(rep)
                 rep, index, h = rep[by_place], index[by_place], h[rep[by_place]]
                 key = (h >> np.uint64(32)).astype(np.int64) * buckets >> 32
                 out.add(key, ids[rep], place[rep] * 2 + index, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.uint8).reshape(-1, 4))
@@ -133,7 +132,7 @@ def _match(groups: int) -> Callable[[pa.Table], pa.Table]:
             ids, place, _ = _unpack(rows, 0)
         else:
             ids, place, h = _unpack(rows, 4)
-            order = np.argsort(h := h.copy().view(np.uint32).reshape(-1), kind="stable")
+            order = key_order(h := h.copy().view(np.uint32).reshape(-1))
             start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
             size = np.diff(start, append=len(h))
             hit = order[np.repeat((size > 1) & np.logical_or.reduceat((place & 1)[order] > 0, start), size)]
@@ -171,14 +170,21 @@ def _marked(ids: np.ndarray, w: Words, packed: pa.Table) -> np.ndarray:
 
 def _later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries have the sequence of an earlier (id, place), and one first entry of each sequence."""
-    order = np.lexsort((place, ids, h2, h1))
-    a, b, i, p = h1[order], h2[order], ids[order], place[order]
+    later, first = np.zeros(len(h1), dtype=bool), np.ones(len(h1), dtype=bool)
+    order = hash_order(h1)
+    same = h1[order][1:] == h1[order][:-1]
+    twice = np.zeros(len(h1), dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    # only hashes that repeat need the full order
+    some = np.flatnonzero(twice)
+    some = some[np.lexsort((place[some], ids[some], h2[some], h1[some]))]
+    a, b, i, p = h1[some], h2[some], ids[some], place[some]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
     start = np.flatnonzero(new)
     least = np.repeat(start, np.diff(start, append=len(a)))
-    later = np.zeros(len(a), dtype=bool)
-    later[order] = (i != i[least]) | (p != p[least])
-    return later, order[start]
+    later[some] = (i != i[least]) | (p != p[least])
+    first[some] = new
+    return later, np.flatnonzero(first)
 
 
 def _candidates(buckets: int, window: int, block: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -199,7 +205,6 @@ def _candidates(buckets: int, window: int, block: int) -> Callable[[pa.Table, pa
         row = np.searchsorted(w.first, at, side="right") - 1
         h1, h2 = window_hashes(w.hashes(), at, window), window_hashes(w.hashes(second=True), at, window, second=True).astype(np.uint32)
         _, first = _later(h1, h2, ids[row], at - w.first[row])
-        first.sort()
         key = (h1[first] >> np.uint64(32)).astype(np.int64) * buckets >> 32
         packed = np.concatenate([h1[first].view(np.uint8).reshape(-1, 8), h2[first].view(np.uint8).reshape(-1, 4)], axis=1)
         return Packer().add(key, ids[row[first]], (at - w.first[row])[first], packed).table()
@@ -253,7 +258,7 @@ def _packed(rows: pa.Table) -> pa.Table:
     return rows.select(list(Packer.FIELDS))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, removed, kept) of every row of docs; doc_id must be an integer column, other columns are ignored.
 
     removed: the maximal spans of words covered by a window whose sequence also starts earlier (a smaller
@@ -267,7 +272,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("a window must hold a whole reference block at any alignment")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups, buckets = size // GROUP_BYTES + 1, min(size // BUCKET_BYTES + 1, MAX_BUCKETS)
+    groups, buckets = size // group_bytes + 1, min(size // bucket_bytes + 1, MAX_BUCKETS)
     group = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(groups)).cast("int")
     grouped = rows.withColumn("key", group).groupBy("key")
     probes = rows.mapInArrow(_probes(buckets, groups, block), Packer.SCHEMA)
