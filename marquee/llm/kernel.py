@@ -154,11 +154,12 @@ def cut(raw: np.ndarray, row_at: np.ndarray, separators: np.ndarray, lower: bool
     return Words(buf, row_at, start, end, np.searchsorted(start, row_at))
 
 
-def slices(texts: pa.Array, separators: np.ndarray = BLANK, lower: bool = False, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, Words]]:
-    """(first row, words) of slices of about max_bytes that cover all rows of an Arrow string array."""
+def slices(texts: pa.Array, separators: np.ndarray = BLANK, lower: bool = False, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 20) -> Iterator[tuple[int, Words]]:
+    """(first row, words) of slices of about max_bytes, and max_rows at most, that cover all rows of an Arrow string array."""
     raw, at = buffers(texts)
     low, rows = 0, len(at) - 1
     while low < rows:
         high = max(low + 1, int(np.searchsorted(at, at[low] + max_bytes, side="right")) - 1)
+        high = min(high, low + max_rows)
         yield low, cut(raw[at[low] : at[high]], at[low : high + 1] - at[low], separators, lower)
         low = high

@@ -12,6 +12,7 @@ from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import MIX_SQL, mix
 from .quality import judge_quality
+from .shingle_join import link_components
 from .substring_dedup import remove_repeats
 from .url_rules import URL_SQL, judge
 
@@ -56,5 +57,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup)}
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join)}
 ORACLES = {"op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL}
