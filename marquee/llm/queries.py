@@ -11,6 +11,7 @@ from .frames import table
 from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import MIX_SQL, mix
+from .pii import KINDS, find_personal_data, learn
 from .quality import judge_quality
 from .shingle_join import link_components
 from .substring_dedup import remove_repeats
@@ -21,6 +22,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, learn(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -61,5 +71,5 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join)}
 ORACLES = {"op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL}
