@@ -25,10 +25,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, learn(docs))
-    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
