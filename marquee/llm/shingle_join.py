@@ -10,7 +10,7 @@ table of all shingles orders the lists by length.
 2. In each list, neighbours by set size are candidates. They are checked against the full sets by
    divide_skip(), and connected components of the links found.
 3. Only pairs of a list from different components are candidates now, first the two nearest of
-   each document and component, then all that are left. After the last check no pair that could
+   each two components, then all that are left. After the last check no pair that could
    link is unchecked, so the components are exact; a group of m near copies costs about m checks.
 
 A bound from 256-bit parity sketches of the sets prunes candidates exactly (an odd bit needs a shingle
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import written
-from .kernel import BLANK, Words, buffers, cut, hash_order, key_order, sequence_hashes, slices, splitmix, window_hashes
+from .frames import written, written_bytes
+from .kernel import BLANK, Words, buffers, cut, key_order, sequence_hashes, slices, splitmix, window_hashes
 
 WIDTH, NUM, DEN = 3, 90, 100
 SLICE, SLICE_ROWS = 1 << 20, 1 << 10
@@ -41,11 +41,14 @@ MIN_CELLS, MAX_CELLS = 1 << 18, 1 << 24
 #: Text bytes whose postings share a bucket, and of a group of documents.
 BUCKET_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
 MAX_BUCKETS = 1 << 18
+#: Bytes up to which the ids that have postings left are broadcast to shuffle only their texts.
+SMALL = 16 << 20
 #: A list estimated longer than this is split over buckets of about so many postings.
 LONG_LIST = 1 << 18
 #: Postings of a list in a block of pairs.
 BLOCK = 1 << 10
-#: Words of the parity sketch, and candidates of a document that are checked together.
+#: Postings compared in one call, pairs at once, and the partners of a posting that are looked at before its whole list stays.
+ROWS_AT_ONCE, PAIRS, WIDEST = 1 << 15, 1 << 19, 256
 SKETCH_BITS = 256
 
 _U = np.uint64
@@ -173,27 +176,39 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 POSTING = "token long, id long, n int, place int, other long"
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all j in [low[i], high[i]), about PAIRS at once."""
+    n = np.maximum(high - low, 0)
+    for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+        m = n[rows]
+        yield np.repeat(rows, m), np.repeat(low[rows], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+
+
 def _meet(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
-    """The postings of lists with two documents or more (all of those that are split); other: a neighbour of the list that may be a partner, or null."""
+    """The postings whose list has another one that could be a partner (all postings of lists that are split or very long);
+    other: the next of these by set size, or null."""
 
     def run(rows: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=kind)
         token, ids, n, place = join("token", np.uint64), join("id", np.int64), join("n", np.int32).astype(np.int64), join("place", np.int32).astype(np.int64)
-        order = np.lexsort((ids, n, token))
+        order = np.argsort(token)
+        same = np.append(False, token[order][1:] == token[order][:-1])[: len(order)]
+        shared = same | np.append(same[1:], False)[: len(order)]
+        order = order[shared | (token[order] >> _U(46) > 0)]
+        order = order[np.lexsort((ids[order], n[order], token[order]))]
         token, ids, n, place = token[order], ids[order], n[order], place[order]
-        same = token[1:] == token[:-1]
-        kept = np.zeros(len(ids), dtype=bool)
-        kept[1:] = same & (ids[1:] != ids[:-1])
-        kept[:-1] |= kept[1:]
-        kept |= token >> _U(46) > 0
-        other, found = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=bool)
-        for step in (1, 2, 3):
-            x = np.flatnonzero((token[step:] == token[:-step]) & ~found[:-step])
-            y = x + step
-            ok = (ids[x] != ids[y]) & fits(n[x], n[y], place[x], place[y], num, den)
-            other[x[ok]], found[x[ok]] = ids[y[ok]], True
-            kept[x[ok]] = True
-        columns = [pa.array(token[kept].astype(np.int64)), pa.array(ids[kept]), pa.array(n[kept].astype(np.int32)), pa.array(place[kept].astype(np.int32)), pa.array(other[kept], mask=~found[kept])]
+        list_ = np.cumsum(np.append(True, token[1:] != token[:-1])[: len(token)])
+        high = np.searchsorted(list_ << 32 | n, list_ << 32 | n * den // num, side="right")
+        at = np.arange(len(ids))
+        very_long = np.bincount(list_, weights=high - at > WIDEST)[list_] > 0 if len(ids) else at > 0
+        kept, other = very_long | (token >> _U(46) > 0), np.full(len(ids), -1)
+        for i, j in _ranges(at + 1, np.minimum(high, at + 1 + WIDEST)):
+            ok = (ids[i] != ids[j]) & fits(n[i], n[j], place[i], place[j], num, den)
+            i, j = i[ok][::-1], j[ok][::-1]
+            kept[i] = kept[j] = True
+            other[i] = j  # the last write, hence the first j, stays
+        at = np.flatnonzero(kept)
+        columns = [pa.array(token[at].astype(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(ids[other[at]], mask=other[at] < 0)]
         return pa.Table.from_arrays(columns, ["token", "id", "n", "place", "other"])
 
     return run
@@ -284,30 +299,35 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _cross(num: int, den: int, nearest: int | None) -> Callable[[pa.Table], pa.Table]:
-    """Candidates of a block of a list: pairs of different components that all bounds allow; nearest: so many for each document and other component."""
+    """Candidates of some blocks of lists: pairs of different components that all bounds allow; nearest: so many of each two components."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, comp = rows.column("id").to_numpy(), rows.column("component").to_numpy()
-        n, place, side = rows.column("n").to_numpy().astype(np.int64), rows.column("place").to_numpy().astype(np.int64), rows.column("side").to_numpy()
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), SKETCH_BITS // 64)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
-            right = left
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in left.tolist():
-            r = right[(comp[right] != comp[k]) & (n[right] * den >= num * n[k]) & (n[k] * den >= num * n[right])]
-            r = r[fits(np.full(len(r), n[k]), n[r], np.full(len(r), place[k]), place[r], num, den)]
-            apart = np.bitwise_count(sketch[r] ^ sketch[k]).sum(axis=1, dtype=np.int64)
-            near = (n[k] + n[r] - apart) // 2 >= least_overlap(n[r], n[k], num, den)
-            r, apart = r[near], apart[near]
-            if nearest and len(r):
-                order = np.lexsort((ids[r], apart, comp[r]))
-                r = r[order]
-                start = np.flatnonzero(np.append(True, comp[r][1:] != comp[r][:-1]))
-                r = r[np.arange(len(r)) - np.repeat(start, np.diff(start, append=len(r))) < nearest]
-            out.append((np.full(len(r), ids[k]), ids[r]))
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        number = lambda c: rows.column(c).to_numpy().astype(np.int64)
+        order = np.lexsort([number(c) for c in ("id", "n", "side", "y", "x", "kind", "token")])
+        token, kind, x, y, side, ids, comp, n, place = (number(c)[order] for c in ("token", "kind", "x", "y", "side", "id", "component", "n", "place"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), SKETCH_BITS // 64)[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        half = np.cumsum(new) * 2
+        # a row of the main component meets the other side of its block, one of the rest all later rows: both are sorted by size
+        meets = (half + (kind == 0)) << 32
+        place_of = (half + side) << 32 | n
+        low = np.where(kind == 0, np.searchsorted(place_of, meets | -(-num * n // den), side="left"), np.arange(len(ids)) + 1)
+        high = np.where(side == 1, 0, np.searchsorted(place_of, meets | n * den // num, side="right"))
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        for i, j in _ranges(low, high):
+            ok = (comp[i] != comp[j]) & fits(n[i], n[j], place[i], place[j], num, den)
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            near = (n[i] + n[j] - apart) // 2 >= least_overlap(n[i], n[j], num, den)
+            found.append(np.stack([i[near], j[near], apart[near]]))
+        i, j, apart = np.concatenate(found, axis=1)
+        if nearest:
+            one, two = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            best = np.lexsort((ids[j], ids[i], apart, two, one))
+            start = np.flatnonzero(np.append(True, (one[best][1:] != one[best][:-1]) | (two[best][1:] != two[best][:-1]))[: len(best)])
+            best = best[np.arange(len(best)) - np.repeat(start, np.diff(start, append=len(best))) < nearest]
+            i, j = i[best], j[best]
+        pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
         return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return run
@@ -335,7 +355,9 @@ def _candidates(posts: DataFrame, sets: DataFrame, found: DataFrame, num: int, d
     # in a block of two different blocks of the others, side doesn't matter: all its rows are compared with all
     keyed = rows.withColumn("k", F.explode(F.when(F.col("component") == F.col("main"), main_keys).otherwise(rest_keys)))
     flat = keyed.select("token", "k.kind", "k.x", "k.y", "k.side", "id", "component", "n", "place", "sketch")
-    return flat.groupBy("token", "kind", "x", "y").applyInArrow(_cross(num, den, nearest), "a long, b long").distinct()
+    tasks = F.lit(member.count() // ROWS_AT_ONCE + 1)
+    flat = flat.withColumn("part", F.pmod(F.xxhash64("token", "kind", "x", "y"), tasks))
+    return flat.groupBy("part").applyInArrow(_cross(num, den, nearest), "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -356,8 +378,11 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     documents = posted.filter("key = -1").mapInArrow(_document_rows, "id long, n long, twin long")
     posts = written(posted.filter("key >= 0").groupBy("key").applyInArrow(_meet(num, den), POSTING))
     group = lambda: F.pmod(F.crc32(F.col("id").cast("string")), F.lit(groups)).cast("int").alias("g")
-    wanted = posts.select("id").distinct().select(group(), "id")
+    wanted = written(posts.select("id").distinct())
     with_text = rows.filter("id is not null").select(group(), "id", "text")
+    if written_bytes(wanted) <= SMALL:
+        with_text = with_text.join(F.broadcast(wanted), "id", "left_semi").select("g", "id", "text")
+    wanted = wanted.select(group(), "id")
     sets = written(with_text.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_sets(width), "id long, n int, bag binary, sketch binary"))
     links = documents.filter("id <> twin").select(F.col("id").alias("a"), F.col("twin").alias("b"))
     near = posts.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
