@@ -114,8 +114,8 @@ def _hits(block: Block, symbols: np.ndarray, first: np.ndarray) -> Iterator[tupl
                     yield word[index.locate(rows)], k, np.repeat(which[group], n)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns keep of every row of docs, and (n_words, n_hit, n_items, items_sha256, contaminated, spans).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """The columns keep of every row of docs, and (n_words, n_hit, n_items, items_sha256, contaminated, spans), their names after prefix.
 
     spans: the merged hit words, array of (start, end), in words, end exclusive. Null or empty text has
     no words and isn't contaminated; benchmark items with null id are ignored, with null or empty text
@@ -162,4 +162,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
         offsets = np.searchsorted(row, np.arange(len(n_words) + 1))
         return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)]
 
-    return appended(docs, keep, text, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:bigint,end:bigint>>", compute)
+    fields = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "spans": "array<struct<start:bigint,end:bigint>>"}
+    return appended(docs, keep, text, ", ".join(f"`{prefix}{k}` {v}" for k, v in fields.items()), compute)

@@ -65,13 +65,14 @@ def n_words(text: Column) -> Column:
 
 def appended(docs: DataFrame, keep: Sequence[str], text: str, fields: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """The columns keep of docs and the columns `fields` that compute makes of each Arrow batch of the text column, row by row."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
-    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(fields).fields])
-    names = [f.name for f in schema.fields]
+    at, extra = (keep.index(text), []) if text in keep else (len(keep), [F.col(f"`{text}`")])
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(fields).fields])
+    names, n = [f.name for f in schema.fields], len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.columns[-1])], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *compute(batch.column(at))], names)
 
-    return rows.mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *extra).mapInArrow(run, schema)
