@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index per training shard (operator 8).
 
-A shard is what one Arrow batch of documents holds, cut where it exceeds SHARD_SYMBOLS. Its words are
+A shard is about SLICE bytes of whole documents, cut where it exceeds SHARD_SYMBOLS. Its words are
 mapped to the benchmark's alphabet; a word outside it can be in no match, so it separates runs, and
 runs shorter than the shortest window go (no occurrence is lost). All benchmark windows are searched
 backwards in the shard's index, their occurrences located by sampled suffix positions, and the spans
@@ -126,12 +126,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     blocks = [context.broadcast(b) for b in read_blocks(benchmark, width, block_bytes)]
     empty = hashlib.sha256(b"").hexdigest()
 
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        hashes, counts = [], []
-        for _, w in slices(texts, NOT_ALNUM, lower=True, max_bytes=SLICE):
-            hashes.append(w.hashes())
-            counts.append(w.counts)
-        words, n_words = np.concatenate(hashes), np.concatenate(counts)
+    def shard(words: np.ndarray, n_words: np.ndarray) -> list[np.ndarray | list]:
         first = np.concatenate([[0], np.cumsum(n_words)])
         change = np.zeros(len(words) + 1, dtype=np.int64)
         items: dict[int, set[str]] = {}
@@ -155,12 +150,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
         start = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[1:-1]))
         end = np.flatnonzero(hit[1:-1] & (~hit[2:] | edge[2:])) + 1
         row = np.searchsorted(first, start, side="right") - 1
-        spans = pa.StructArray.from_arrays([pa.array(start - first[row], pa.int64()), pa.array(end - first[row], pa.int64())], ["start", "end"])
         digest, n_items = [empty] * len(n_words), np.zeros(len(n_words), dtype=np.int64)
         for r, found in items.items():
             digest[r], n_items[r] = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found)
-        offsets = np.searchsorted(row, np.arange(len(n_words) + 1))
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)]
+        return [n_words, n_hit, n_items, digest, start - first[row], end - first[row], np.bincount(row, minlength=len(n_words))]
+
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        done = [shard(w.hashes(), w.counts) for _, w in slices(texts, NOT_ALNUM, lower=True, max_bytes=SLICE)]
+        n_words, n_hit, n_items, digest, start, end, n_spans = (np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*done, strict=True))
+        spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n_spans)]), pa.int32())
+        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words)), pa.ListArray.from_arrays(offsets, spans)]
 
     fields = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "spans": "array<struct<start:bigint,end:bigint>>"}
     return appended(docs, keep, text, ", ".join(f"`{prefix}{k}` {v}" for k, v in fields.items()), compute)

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Items hashed at once.
+CHUNK = 1 << 16
 
 _U = np.uint64
 
@@ -50,20 +52,31 @@ class Poly:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._up) < n:
-            size = max(n, 2 * len(self._up))
-            up, down = np.full(size, self.base, dtype=np.uint64), np.full(size, self.inverse, dtype=np.uint64)
+            up, down = np.full(n, self.base, dtype=np.uint64), np.full(n, self.inverse, dtype=np.uint64)
             up[0] = down[0] = 1
             with np.errstate(over="ignore"):
                 self._up, self._down = np.multiply.accumulate(up), np.multiply.accumulate(down)
         return self._up[:n], self._down[:n]
 
-    def ranges(self, items: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of items[start:end]; items are 64-bit values."""
-        up, down = self._powers(len(items) + 1)
-        with np.errstate(over="ignore"):
-            prefix = np.zeros(len(items) + 1, dtype=np.uint64)
-            np.cumsum(items * up[: len(items)], out=prefix[1:])
-            return splitmix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    def ranges(self, items: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of items[start:end] for ascending starts; items are 64-bit values, or places of them in table.
+
+        Done in chunks that fit in a core's cache; a hash doesn't depend on where its chunk begins.
+        """
+        out, done = np.empty(len(start), dtype=np.uint64), 0
+        while done < len(start):
+            low = start[done]
+            stop = max(done + 1, int(np.searchsorted(start, low + CHUNK)))
+            high = end[done:stop].max()
+            part = items[low:high] if table is None else table[items[low:high]]
+            up, down = self._powers(max(CHUNK + 64, len(part) + 1))
+            with np.errstate(over="ignore"):
+                prefix = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(part * up[: len(part)], out=prefix[1:])
+                s, e = start[done:stop] - low, end[done:stop] - low
+                out[done:stop] = splitmix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
+            done = stop
+        return out
 
 
 _BYTES, _BYTES2, _WORDS, _WORDS2 = Poly(1), Poly(2), Poly(3), Poly(4)
@@ -99,17 +112,26 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def parts(self, max_bytes: int = SLICE_BYTES // 2) -> Iterator[tuple[int, Words]]:
+        """(first row, words) of runs of rows of about max_bytes."""
+        low = 0
+        while low < self.rows:
+            high = max(low + 1, int(np.searchsorted(self.row_at, self.row_at[low] + max_bytes, side="right")) - 1)
+            byte, word = self.row_at[low], slice(self.first[low], self.first[high])
+            yield low, Words(self.buf[byte : self.row_at[high]], self.row_at[low : high + 1] - byte, self.start[word] - byte, self.end[word] - byte, self.first[low : high + 1] - word.start)
+            low = high
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)
 
     def hashes(self, second: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; second: by an independent function."""
         poly = _BYTES2 if second else _BYTES
-        return poly.ranges(poly.values[self.buf], self.start, self.end)
+        return poly.ranges(self.buf, self.start, self.end, poly.values)
 
     def byte_ranges(self, start: np.ndarray, end: np.ndarray, mapped: np.ndarray | None = None) -> np.ndarray:
         """Hashes of buf[start:end]; mapped: a table that replaces each byte first."""
-        return _BYTES.ranges(_BYTES.values[self.buf if mapped is None else mapped[self.buf]], start, end)
+        return _BYTES.ranges(self.buf, start, end, _BYTES.values if mapped is None else _BYTES.values[mapped])
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of all windows of width consecutive words of one row, and each window's row."""

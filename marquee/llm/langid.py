@@ -156,8 +156,17 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         known, n_langs = np.array([*m.langs, "und"], dtype=object), len(m.langs)
         langs, scores, n_spans, parts = [], [], [], []
         for low, w in slices(pc.utf8_lower(texts), max_bytes=SLICE):
-            letter, has = scripts(w), np.zeros(w.rows, dtype=bool)
-            has[np.searchsorted(w.row_at[1:], np.flatnonzero((letter > 0) & (w.buf < 128)), side="right")] = True
+            has = np.zeros(w.rows, dtype=bool)
+            by_word, kind = np.zeros((len(w.start), n_langs), dtype=np.float32), np.zeros(len(w.start), dtype=np.int64)
+            # scored in parts of some rows, to hold little at once; labelled all together
+            for at, part in w.parts():
+                letter = scripts(part)
+                has[at + np.searchsorted(part.row_at[1:], np.flatnonzero((letter > 0) & (part.buf < 128)), side="right")] = True
+                if n_langs and len(part.start):
+                    grams, begin = trigrams(part)
+                    words = slice(w.first[at], w.first[at + part.rows])
+                    kind[words] = np.maximum.reduceat(letter[~BLANK[part.buf]], begin)
+                    by_word[words] = np.add.reduceat(m.logs[grams], begin, axis=0)
             for r in np.flatnonzero(~has & (np.diff(w.row_at) > 0)):
                 has[r] = any(c.isalpha() for c in texts[low + int(r)].as_py() or "")
             if not n_langs or not len(w.start):
@@ -165,11 +174,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 scores.append(np.zeros(w.rows))
                 n_spans.append(np.zeros(w.rows, dtype=np.int64))
                 continue
-            grams, begin = trigrams(w)
-            kind = np.maximum.reduceat(letter[~BLANK[w.buf]], begin)
-            by_word = np.add.reduceat(m.logs[grams], begin, axis=0)
             by_word[kind == 0] = 0
-            path, row = viterbi(by_word + m.barred[kind], w.first), w.row_of_word()
+            by_word += m.barred[kind]
+            path, row = viterbi(by_word, w.first), w.row_of_word()
             count = lambda which: np.bincount(row[which] * n_langs + path[which], minlength=w.rows * n_langs).reshape(w.rows, n_langs)  # noqa: B023, E731
             held = count(kind > 0)
             # letters outside the script ranges: all words of the text vote
