@@ -124,7 +124,7 @@ def _post(levels: Callable[[], np.ndarray], buckets: int, width: int, num: int,
                 own, has_id = ids[low : low + w.rows], known[low : low + w.rows]
                 token, row, first = slice_sets(w, width)
                 n = np.diff(first)
-                twin = _equals(token, first, n, own)
+                twin = _equals(token, first, n, own, has_id)
                 rows = [(-1, None, own.tobytes(), n.astype(np.int32).tobytes(), own[twin].tobytes(), has_id.tobytes())]
                 posts = (twin == np.arange(w.rows)) & has_id
                 mine = posts[row]
@@ -153,14 +153,16 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), ~np.asarray(column.is_null())
 
 
-def _equals(token: np.ndarray, first: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row, the row with the least id (then place) among those with an equal set; rows without elements stand for themselves."""
+def _equals(token: np.ndarray, first: np.ndarray, n: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each row, the row with the least id (then place) among those with an equal set; rows without elements or without an id stand for themselves."""
     out = np.arange(len(n))
     some = np.flatnonzero(n)
     if len(some):
         a, b = np.add.reduceat(splitmix(token), first[some]), np.bitwise_xor.reduceat(splitmix(token ^ _U(0x5851F42D4C957F2D)), first[some])
+        with_id = known[some]
+        some, a, b = some[with_id], a[with_id], b[with_id]
         order = np.lexsort((some, ids[some], n[some], b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (n[some][order][1:] != n[some][order][:-1]))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (n[some][order][1:] != n[some][order][:-1]))[: len(order)]
         out[some[order]] = some[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
     return out
 
