@@ -24,7 +24,8 @@ def _least(neighbours: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked with the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.filter("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # a table of its own on the join's other side lets adaptive execution split a node with very many neighbours
+    return both.filter("v > u").join(written(_least(both)), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import CHAT_SQL, TRICKY, digests, format_conversations
-from .decontaminate import find_contamination
+from .decontaminate import DECONTAMINATION_SQL, find_contamination
 from .frames import table
 from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import MIX_SQL, mix
 from .pii import KINDS, find_personal_data, learn
 from .quality import judge_quality
-from .shingle_join import link_components
-from .substring_dedup import remove_repeats
+from .shingle_join import SHINGLE_SQL, link_components
+from .substring_dedup import SUBSTRING_SQL, remove_repeats
 from .url_rules import URL_SQL, judge
 
 
@@ -72,4 +72,7 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join)}
-ORACLES = {"op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL}
+ORACLES = {
+    "op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL,
+    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL,
+}

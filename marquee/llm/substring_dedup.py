@@ -282,3 +282,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, removed array<struct<start:bigint,end:bigint>>, kept string"
     id_type = {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(docs.schema[doc_id].dataType.simpleString(), pa.int64())
     return grouped.cogroup(flags.groupBy("key")).applyInArrow(_remove(window, id_type), schema)
+
+
+#: DuckDB SQL of op9.
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+x AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM i),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM x),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1) y),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.p) AS kept, count(*) AS n FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY p.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
