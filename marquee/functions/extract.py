@@ -47,6 +47,12 @@ def web_season_episode(x: Column) -> tuple[Column, Column]:
     return season, F.coalesce(_int(x, V.WEB_SEASON_EPISODE, 2), F.lit(0))
 
 
+def loose_season_episode(x: Column) -> tuple[Column, Column]:
+    """As web_season_episode(), but an episode that stands alone counts too."""
+    season, _ = web_season_episode(x)
+    return season, F.coalesce(F.when(x.rlike(rx(V.WEB_SEASON_EPISODE)), _int(x, V.WEB_SEASON_EPISODE, 2)).otherwise(_int(x, V.EPISODE, 1)), F.lit(0))
+
+
 def feed_season_episode(x: Column) -> tuple[Column, Column]:
     """(season int, episode string) of a feed name; episodes alone belong to season 1; null without marks."""
     alone, ranged, single, named = (x.rlike(rx(p)) for p in (V.FEED_EPISODES_ONLY, V.FEED_RANGE, V.FEED_SINGLE, V.FEED_NAMED))
@@ -195,3 +201,20 @@ def file_label(text: Column, size: Column) -> Column:
     season, episode = web_season_episode(text)
     mark = F.when(season > 0, F.concat(F.lit("S"), pad(season), F.when(episode > 0, F.concat(F.lit("E"), pad(episode))).otherwise(F.lit(""))))
     return F.concat_ws(" · ", F.nullif(quality_label(text), F.lit("")), F.nullif(F.array_join(languages(text), ", "), F.lit("")), mark, size_label(size))
+
+
+#: The bytes that end a packed id before it is encoded.
+ID_END = "1604"
+
+
+def encode_id(packed: Column) -> Column:
+    """A packed id (binary) as text: each run of zero bytes as a zero and its length, then base64 for urls without padding."""
+    pairs = F.regexp_extract_all(F.concat(F.hex(packed), F.lit(ID_END)), F.lit("(..)"), F.lit(1))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("zeros"))
+
+    def step(at: Column, pair: Column) -> Column:
+        run = F.when(at["zeros"] > 0, F.concat(F.lit("00"), F.lpad(F.hex(at["zeros"]), 2, "0"))).otherwise("")
+        zero = F.struct(at["out"].alias("out"), (at["zeros"] + 1).alias("zeros"))
+        return F.when(pair == "00", zero).otherwise(F.struct(F.concat(at["out"], run, pair).alias("out"), F.lit(0).alias("zeros")))
+
+    return F.rtrim(F.translate(F.base64(F.unhex(F.aggregate(pairs, start, step)["out"])), "+/", "-_"), F.lit("="))

@@ -133,6 +133,29 @@ def count_outcomes(rows: DataFrame, outcome: str = "status") -> DataFrame:
     return rows.groupBy(F.col(outcome).alias("status")).agg(F.count("*").alias("n"))
 
 
+def counted(events: DataFrame) -> DataFrame:
+    """(user_id, text, count) of appended searches (user_id, text): what a counter per user and text would hold."""
+    return events.groupBy("user_id", "text").agg(F.count("*").alias("count"))
+
+
+#: Kinds of media and types of content that are kept.
+MEDIA, TYPES = ("video", "document"), ("video/mp4", "video/x-matroska")
+
+
+def gate(posts: DataFrame) -> DataFrame:
+    """posts (id, is_empty, media, mime_type) with their status: deleted, no media, unsupported or accepted."""
+    known = F.col("media").isin(*MEDIA) & F.coalesce(F.col("mime_type").isin(*TYPES), F.lit(False))
+    status = F.when(F.col("is_empty"), "deleted").when(F.col("media").isNull(), "no media").when(~known, "unsupported").otherwise("accepted")
+    return posts.withColumn("status", status)
+
+
+def limit_of(said: str | None, default: int) -> int:
+    """A limit that a user typed: the default without one, -1 for what is no number."""
+    if said is None or not said.strip():
+        return default
+    return int(said) if said.strip().lstrip("-").isdigit() else -1
+
+
 def route(messages: DataFrame) -> DataFrame:
     """(id, route) of chat messages: search, command, link, admin."""
     low = F.lower("text")

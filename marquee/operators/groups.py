@@ -13,13 +13,13 @@ from .search import ranked
 
 
 def cards(keyed: DataFrame) -> DataFrame:
-    """(title_key, files, latest_id, file_name, content_type): a card per title, shown by its newest file; rows without a title go.
+    """(title_key, files, latest_id, file_name, content_type, year): a card per title, shown by its newest file, with the year of its first; rows without a title go.
 
     keyed: a catalog from with_keys(). One aggregation, combined before the shuffle: no files are collected.
     """
     newest = F.max_by(F.struct("file_name", "content_type"), "file_id")
-    grouped = keyed.filter("title_key <> ''").groupBy("title_key").agg(F.count("*").alias("files"), F.max("file_id").alias("latest_id"), newest.alias("rep"))
-    return grouped.select("title_key", "files", "latest_id", "rep.file_name", "rep.content_type")
+    grouped = keyed.filter("title_key <> ''").groupBy("title_key").agg(F.count("*").alias("files"), F.max("file_id").alias("latest_id"), newest.alias("rep"), F.min_by(extract.first_year(F.col("shown")), "file_id").alias("year"))
+    return grouped.select("title_key", "files", "latest_id", "rep.file_name", "rep.content_type", "year")
 
 
 def browse(files: DataFrame, content_type: str | None, limit: int = 40, offset: int = 0) -> DataFrame:
@@ -47,10 +47,11 @@ def season_tree(keyed: DataFrame) -> DataFrame:
     A title with a season anywhere is a series, its files by season and episode; else all are of season
     and episode 0. Within a leaf the best come first, ties by file_id.
     """
-    kind = F.max(F.col("season") > 0).over(Window.partitionBy("title_key"))
-    rows = keyed.filter("title_key <> ''").withColumn("series", kind)
+    titled = keyed.filter("title_key <> ''")
+    # a join, not a window: the flag combines before the shuffle, and a title with very many files can be split
+    kinds = titled.groupBy("title_key").agg(F.when(F.max(F.col("season") > 0), "series").otherwise("movie").alias("kind"))
     leaf = Window.partitionBy("title_key", "season", "episode").orderBy(F.desc(extract.sort_score(F.col("shown"))), "file_id")
-    return rows.select("title_key", F.when(F.col("series"), "series").otherwise("movie").alias("kind"), "season", "episode", F.row_number().over(leaf).alias("place"), "file_id")
+    return titled.join(kinds, "title_key").select("title_key", "kind", "season", "episode", F.row_number().over(leaf).alias("place"), "file_id")
 
 
 def season_counts(keyed: DataFrame) -> DataFrame:

@@ -79,3 +79,20 @@ def write_listing(rows: DataFrame, path: str, column: str = "line") -> None:
 def write_partitioned(keyed: DataFrame, path: str) -> None:
     """The catalog with its stored keys, by content type, clustered by title so that a title's equality prunes files."""
     keyed.repartitionByRange("content_type", "title_key").sortWithinPartitions("title_key").write.mode("overwrite").partitionBy("content_type").parquet(path)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows (users, groups, codes) that stay when those with the keys are deleted."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def granted(members: DataFrame, grants: DataFrame) -> DataFrame:
+    """(id, expiry_time) after grants (id, expiry_time, at): each member's last grant, which may be null to clear it, else as before."""
+    last = grants.groupBy("id").agg(F.max_by(F.struct("expiry_time"), "at").alias("g"))
+    both = members.join(last, "id", "full_outer")
+    return both.select("id", F.when(F.col("g").isNotNull(), F.col("g.expiry_time")).otherwise(F.col("expiry_time")).alias("expiry_time"))
+
+
+def seen_once(rows: DataFrame, key: str) -> DataFrame:
+    """Insert if absent: one row for each key."""
+    return rows.dropDuplicates([key])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..functions import vocab as V
+from .search import has_all_title_words
 
 
 def media_info(posts: DataFrame) -> DataFrame:
@@ -40,6 +41,19 @@ def media_info(posts: DataFrame) -> DataFrame:
     )
 
 
+def from_catalog(found: DataFrame, title: str) -> DataFrame:
+    """Feed rows of the files that a search found and that have all of the title's words; for title_rollup() and episode_ranges()."""
+    all_text = F.concat_ws(" ", "file_name", "caption")
+    season, episode = extract.feed_season_episode(F.col("file_name"))
+    low = F.lower(all_text)
+    return found.filter(has_all_title_words(all_text, title)).select(
+        F.lit(title).alias("base_name"), F.col("file_name").alias("filename"), season.alias("season"), episode.alias("episode"), extract.feed_sources(low).alias("quality"),
+        extract.feed_resolutions(low).alias("resolution"), text.joined(extract.feed_languages(low)).alias("language"),
+        F.coalesce(F.nullif(F.array_join(extract.feed_platforms(low), " | "), F.lit("")), F.lit("N/A")).alias("ott_platform"),
+        F.when(season.isNotNull() & episode.isNotNull(), "#SERIES").otherwise("#MOVIE").alias("tag"),
+    )
+
+
 def _parts(x: Column, separator: str) -> Column:
     """The parts of a list in a string; none for null and N/A."""
     some = F.when(F.coalesce(x, F.lit("N/A")) == "N/A", F.array().cast("array<string>")).otherwise(F.split(x, separator))

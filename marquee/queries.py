@@ -268,9 +268,9 @@ def base_titles(spark: SparkSession, sf: str) -> DataFrame:
 # ---- groups
 
 
-@query(f"WITH {X.FILES}, {KEYED}, {CARDS} SELECT title_key, files, latest_id, file_name FROM cards")
+@query(f"WITH {X.FILES}, {KEYED}, {CARDS} SELECT c.title_key, c.files, c.latest_id, c.file_name, y.year FROM cards c JOIN (SELECT title_key, arg_min(regexp_extract(shown, '{V.WEB_YEAR}', 1), file_id) AS year FROM keyed GROUP BY 1) y ON c.title_key = y.title_key")
 def title_cards(spark: SparkSession, sf: str) -> DataFrame:
-    return groups.cards(catalog.with_keys(catalog.federate(_files(spark, sf)))).select("title_key", "files", "latest_id", "file_name")
+    return groups.cards(catalog.with_keys(catalog.federate(_files(spark, sf)))).select("title_key", "files", "latest_id", "file_name", "year")
 
 
 def _browse(kind: str) -> str:
@@ -460,6 +460,22 @@ def file_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, sf).select("file_id", extract.file_label(F.col("file_name"), F.col("file_size")).alias("label"))
 
 
+def encode_ids(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.hex("p_partkey")
+    return X.table(spark, sf, "part").select("p_partkey", extract.encode_id(F.unhex(F.concat(F.lpad(k, 16, "0"), F.lit("0000"), F.lpad(F.hex("p_size"), 8, "0")))).alias("encoded"))
+
+
+QUERIES["encode_ids"] = encode_ids  # tested against a model in Python
+
+
+@query(f"""WITH {NAMED} SELECT file_id, {_web_se("file_name", 1)} AS season, coalesce(CASE WHEN regexp_matches(file_name, '(?i){V.WEB_SEASON_EPISODE}') THEN {_group("file_name", V.WEB_SEASON_EPISODE, 2)} ELSE {_group("file_name", V.EPISODE, 1)} END, 0) AS episode,
+length(file_name) > 35 AS cut, CASE WHEN length(file_name) > 35 THEN file_name[:32] || '...' ELSE file_name END AS short, array_to_string(list_filter(string_split_regex(file_name, '\\s+'), lambda w: w <> ''), ' ') AS words FROM named""")
+def file_texts(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("file_name")
+    season, episode = extract.loose_season_episode(n)
+    return _named(spark, sf).select("file_id", season.alias("season"), episode.alias("episode"), (F.length(n) > 35).alias("cut"), text.short_label(n).alias("short"), text.file_words(n).alias("words"))
+
+
 # ---- changes
 
 STORED = f"{NAMED}, stored AS (SELECT file_id, file_name, caption, category FROM named), {X.INCOMING}, prep AS (SELECT file_id, regexp_replace(regexp_replace(file_name, '@\\w+', '', 'g'), '[_\\-.+]', ' ', 'g') AS file_name, regexp_replace(regexp_replace(coalesce(caption, ''), '@\\w+', '', 'g'), '[_\\-.+]', ' ', 'g') AS caption FROM incoming)"
@@ -515,9 +531,37 @@ def join_requests(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("user_id", F.array_join(F.sort_array("channels"), ",").alias("channels"), "joined")
 
 
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def delete_users(spark: SparkSession, sf: str) -> DataFrame:
+    users = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return mutate.without(users, X.table(spark, sf, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query(f"""WITH {X.MEMBERS}, g AS (SELECT l_suppkey AS id, arg_max(CASE WHEN l_quantity > 25 THEN l_shipdate END, l_orderkey * 10 + l_linenumber) AS none, max(l_orderkey * 10 + l_linenumber) AS at_max FROM lineitem GROUP BY 1),
+x AS (SELECT g.id, CASE WHEN l.l_quantity > 25 THEN l.l_shipdate END AS e FROM g JOIN lineitem l ON g.id = l.l_suppkey AND g.at_max = l.l_orderkey * 10 + l.l_linenumber)
+SELECT coalesce(m.id, x.id) AS id, CASE WHEN x.id IS NOT NULL THEN x.e ELSE m.expiry_time END AS expiry_time FROM members m FULL JOIN x ON m.id = x.id""")
+def member_grants(spark: SparkSession, sf: str) -> DataFrame:
+    grants = X.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.when(F.col("l_quantity") > 25, F.col("l_shipdate")).alias("expiry_time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return mutate.granted(X.members(spark, sf), grants)
+
+
 # ---- engagement
 
 
+@query("SELECT user_id, event_type AS text, count(*) AS count FROM events GROUP BY ALL")
+def search_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return engage.counted(X.requests(spark, sf))
+
+
+@query("""WITH p AS (SELECT event_id, event_type = 'error' AS e, CASE event_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'document' WHEN 2 THEN 'photo' END AS media, CASE event_id % 3 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'video/x-matroska' END AS mime FROM events),
+s AS (SELECT CASE WHEN e THEN 'deleted' WHEN media IS NULL THEN 'no media' WHEN media = 'photo' OR mime IS NULL THEN 'unsupported' ELSE 'accepted' END AS status FROM p) SELECT status, count(*) AS n FROM s GROUP BY status""")
+def media_gate(spark: SparkSession, sf: str) -> DataFrame:
+    e, k = X.table(spark, sf, "events"), F.col("event_id")
+    media = F.when(k % 4 == 0, "video").when(k % 4 == 1, "document").when(k % 4 == 2, "photo")
+    posts = e.select(k.alias("id"), (F.col("event_type") == "error").alias("is_empty"), media.alias("media"), F.when(k % 3 == 0, "video/mp4").when(k % 3 == 1, "video/x-matroska").alias("mime_type"))
+    return engage.count_outcomes(engage.gate(posts))
+
+
 @query(f"WITH {X.SEARCH_LOG} SELECT text, sum(count)::BIGINT AS count FROM search_log GROUP BY text")
 def trending(spark: SparkSession, sf: str) -> DataFrame:
     return engage.trending(X.nested_search_log(spark, sf))
@@ -689,6 +733,14 @@ def media_info(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["media_info"] = media_info  # its patterns look ahead and behind, which RE2 can't; tests hold golden cases
 
 
+def manual_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.search(_files(spark, sf), prepare(ASKED))
+    return rollup.title_rollup(rollup.from_catalog(found, ASKED))
+
+
+QUERIES["manual_rollup"] = manual_rollup  # of the same parts as rollup_sets and media_info
+
+
 # ---- spelling
 
 

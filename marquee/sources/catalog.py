@@ -12,14 +12,13 @@ SCHEMA = "file_id string, file_name string, file_size bigint, caption string, ca
 
 
 def federate(files: DataFrame) -> DataFrame:
-    """One row per id: the primary store's, else the secondary's.
+    """One row per id: the primary store's, else the other one's. An id is unique within its store.
 
-    The aggregation combines in each partition before its one shuffle and needs no sort of the rows.
+    The primary store's rows pass through: only their ids are shuffled, to meet the other store's rows.
     """
-    rank = F.when(F.col("store") == "primary", 0).otherwise(1)
-    others = [c for c in files.columns if c != "file_id"]
-    best = F.min_by(F.struct(*others), F.struct(rank, F.col("store")))
-    return files.groupBy("file_id").agg(best.alias("f")).select("file_id", *[f"f.{c}" for c in others])
+    primary = F.coalesce(F.col("store") == "primary", F.lit(False))
+    first, second = files.filter(primary), files.filter(~primary)
+    return first.unionByName(second.join(first.select("file_id"), "file_id", "left_anti").select(*files.columns))
 
 
 def federate_filtered(files: DataFrame, condition: F.Column) -> DataFrame:

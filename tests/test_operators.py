@@ -110,3 +110,37 @@ def test_debounce_and_dedup_streams(spark, sf, tmp_path):
     got = {(r.user_id, r.first, r.n) for r in spark.table("bursts").collect()}
     batch = {(r.user_id, r.first, r.n) for r in feeds.debounced(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", 3600).collect()}
     assert got <= batch and len(batch) - len(got) <= 5  # sessions still open at the end
+
+
+def test_api(spark, sf):
+    from marquee.api import Catalog
+
+    c = Catalog(X.files(spark, sf), ("please",))
+    rows, after, total = c.search_page("please red", limit=5)
+    assert rows.count() == min(5, total) and c.search("red").count() == total
+    assert after == (5 if total > 5 else None)
+    assert c.search_page("please")[1:] == (None, 0) and c.search("please").count() == 0 and c.cards("please").count() == 0
+    key = c.browse(limit=1).first().title_key
+    tree, _, summary = c.details(key)
+    assert tree.count() == c.browse(limit=1).first().files and summary.count() == 1
+    assert c.search_page("red", lang="hindi")[2] == c.search_page("red", lang="hindi", limit=1000)[0].count()
+    assert c.facets("red").filter("facet = 'year'").count() > 0
+    assert c.title_rollup("red")[0].count() == 1
+    after, status = c.upsert(X.incoming(spark, sf))
+    assert after.count() == catalog.federate(c.files).count() + status.filter("status = 'suc'").count()
+    stay, gone = c.delete_matching("red")
+    assert stay.count() + (gone.agg(F.sum("deleted")).first()[0] or 0) == c.files.count()
+    assert c.file("00000020").count() == 1 and c.recent().count() > 0 and c.correct("please") is None
+
+
+def test_limits_and_grants(spark):
+    assert [engage.limit_of(x, 20) for x in (None, " ", "7", "x")] == [20, 20, 7, -1]
+    members = spark.createDataFrame([(1, "a"), (2, "b")], "id int, expiry_time string")
+    grants = spark.createDataFrame([(1, "c", 1), (1, None, 2), (3, "d", 1)], "id int, expiry_time string, at int")
+    assert {tuple(r) for r in mutate.granted(members, grants).collect()} == {(1, None), (2, "b"), (3, "d")}
+
+
+def test_federate_shuffles_only_ids_of_the_first_store(spark, sf, tmp_path):
+    X.files(spark, sf).write.partitionBy("store").parquet(str(tmp_path / "f"))
+    plan = catalog.federate(spark.read.parquet(str(tmp_path / "f")))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "SortAggregate" not in plan

@@ -149,3 +149,20 @@ def test_media_info(spark):
     a, b = rollup.media_info(posts).orderBy("id").collect()
     assert (a.base_name, a.tag, a.season, a.episode, a.resolution, a.ott_platform, a.language) == ("Loki", "#SERIES", 2, "1", "1080p", "Netflix", "Hindi")
     assert (b.base_name, b.tag, b.year) == ("Shiddat 2021", "#MOVIE", "2021")
+
+
+def test_encode_id(spark):
+    import base64
+
+    def model(s: bytes) -> str:
+        out, n = b"", 0
+        for i in s + bytes([22, 4]):
+            if i == 0:
+                n += 1
+                continue
+            out, n = out + (bytes([0, n]) if n else b"") + bytes([i]), 0
+        return base64.urlsafe_b64encode(out).decode().rstrip("=")
+
+    ids = [b"", b"\0\0\0", b"\1\0\0\2", bytes(range(24)), b"\xff\xfe\0\0\0\0\0\0\0\3"]
+    got = spark.createDataFrame([(bytearray(x),) for x in ids], "x binary").select(extract.encode_id(F.col("x"))).collect()
+    assert [r[0] for r in got] == [model(x) for x in ids]
