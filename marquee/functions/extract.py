@@ -31,26 +31,22 @@ def first_year(x: Column) -> Column:
 
 def season_episode(x: Column) -> tuple[Column, Column]:
     """(season, episode), 0 where the text has none: sNNeNN, then NxM, then single marks."""
-    marked = x.rlike(rx(V.SEASON_EPISODE))
-    crossed = x.rlike(rx(V.CROSS_EPISODE))
 
     def part(k: int, alone: str) -> Column:
-        return F.coalesce(F.when(marked, _int(x, V.SEASON_EPISODE, k)).when(crossed, _int(x, V.CROSS_EPISODE, k)).otherwise(_int(x, alone, 1)), F.lit(0))
+        return F.coalesce(_int(x, V.SEASON_EPISODE, k), _int(x, V.CROSS_EPISODE, k), _int(x, alone, 1), F.lit(0))
 
     return part(1, V.SEASON), part(2, V.EPISODE)
 
 
 def web_season_episode(x: Column) -> tuple[Column, Column]:
     """(season, episode) as the served lists have them: no separators; episode 0 when there is only a season."""
-    both = x.rlike(rx(V.WEB_SEASON_EPISODE))
-    season = F.coalesce(F.when(both, _int(x, V.WEB_SEASON_EPISODE, 1)).otherwise(_int(x, V.SEASON, 1)), F.lit(0))
-    return season, F.coalesce(_int(x, V.WEB_SEASON_EPISODE, 2), F.lit(0))
+    return F.coalesce(_int(x, V.WEB_SEASON_EPISODE, 1), _int(x, V.SEASON, 1), F.lit(0)), F.coalesce(_int(x, V.WEB_SEASON_EPISODE, 2), F.lit(0))
 
 
 def loose_season_episode(x: Column) -> tuple[Column, Column]:
     """As web_season_episode(), but an episode that stands alone counts too."""
     season, _ = web_season_episode(x)
-    return season, F.coalesce(F.when(x.rlike(rx(V.WEB_SEASON_EPISODE)), _int(x, V.WEB_SEASON_EPISODE, 2)).otherwise(_int(x, V.EPISODE, 1)), F.lit(0))
+    return season, F.coalesce(_int(x, V.WEB_SEASON_EPISODE, 2), _int(x, V.EPISODE, 1), F.lit(0))
 
 
 def feed_season_episode(x: Column) -> tuple[Column, Column]:

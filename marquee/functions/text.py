@@ -62,16 +62,13 @@ def clean_file_title(x: Column) -> Column:
     return F.coalesce(F.nullif(squeeze(F.regexp_replace(head, r"[.\-_\+\[\]()]+", " ")), F.lit("")), x)
 
 
-def _before(x: Column, pattern: str) -> Column:
-    """x up to the first match, or all of x."""
-    return F.regexp_replace(x, f"(?is){pattern}.*$" if pattern.startswith("(?U)") else f"(?isU){pattern}.*$", "")
-
-
 def display_title(x: Column) -> Column:
-    """A readable title: cut at the episode mark, then at the year, without junk and language words."""
+    """A readable title: cut at the episode mark, else at the season's, then at the year, without junk and language words."""
     t = F.regexp_replace(swap(x, V.WEB_EXTENSION, ""), V.WEB_PUNCTUATION, " ")
-    t = F.when(t.rlike(rx(V.WEB_SEASON_EPISODE)), _before(t, V.WEB_SEASON_EPISODE)).otherwise(_before(t, V.SEASON))
-    return squeeze(swap(swap(_before(t, V.WEB_YEAR), V.WEB_JUNK, ""), V.WEB_LANGUAGES, ""))
+    # one pattern with a branch for each mark, so that the text is one expression however often plans repeat it
+    t = F.regexp_replace(t, rf"(?isU)^(?:(.*?){V.WEB_SEASON_EPISODE}.*|(.*?){V.SEASON}.*)$", "$1$4")
+    t = F.regexp_replace(t, rf"(?isU){V.WEB_YEAR}.*$", "")
+    return squeeze(swap(swap(t, V.WEB_JUNK, ""), V.WEB_LANGUAGES, ""))
 
 
 def title_key(x: Column) -> Column:
