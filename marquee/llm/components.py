@@ -49,4 +49,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == seen:
             break
         before = seen
+    else:
+        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

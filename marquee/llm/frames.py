@@ -37,15 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Tables that written() has made and release() has not removed.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+    """df as a table written to the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    The table stays until release(), since results are lazy and read it.
+    """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/marquee-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes all tables that written() has made; results that are not written by then can't be read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def written_bytes(df: DataFrame) -> int:
     """Size of a table that written() returned, as Spark's statistics have it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -54,3 +54,15 @@ def test_stages_on_odd_tables(spark, sf):
             now = written(stage(spark, now, sf))
             assert now.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()
+
+
+def test_release_removes_what_was_written(spark):
+    from marquee.llm import frames
+
+    one = written(spark.range(5))
+    path = frames._TABLES[-1]
+    assert one.count() == 5 and spark.read.parquet(path).count() == 5
+    frames.release(spark)
+    assert not frames._TABLES
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
