@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import n_words
+from .frames import n_words, written
 
 #: Fixed values of the contract: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,6 +53,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("key", key)
     rows = rows.withColumn("rng", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int"))
+    rows = written(rows)  # the texts are read once
     parts = rows.groupBy("source", "rng").agg(F.sum("size").alias("part"))
     plan = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, max_epochs)
     upto = Window.partitionBy("source").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
