@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import appended
+from .frames import appended, written
 from .kernel import BLANK, LOWER, Words, hash_order, slices, splitmix, window_hashes
 
 BINS = 1 << 12
@@ -124,9 +124,9 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             yield flush()
 
     rows = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(count, "lang string, at int, n long")
-    table = rows.groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    table = written(rows.groupBy("lang", "at").agg(F.sum("n").alias("n")))
     sizes = table.filter("at = 0").selectExpr("lang as of_lang", "n as docs")
-    total = docs.filter("lang is not null and text is not null").count()
+    total = sizes.agg(F.sum("docs")).first()[0] or 0
     kept = table.join(sizes, F.col("lang") == F.col("of_lang")).filter(F.col("docs") >= MIN_LANG_SHARE * total)
     out: dict[str, np.ndarray] = {}
     for lang, at, n in kept.select("lang", "at", "n").toLocalIterator():
