@@ -88,7 +88,7 @@ class Model:
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """A model from the rows of docs (doc_id, text, lang) with text and lang; about per_lang rows of a language, chosen by a hash of doc_id."""
     labelled = docs.filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    sizes = {r[0]: r[1] for r in docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)

@@ -154,7 +154,7 @@ def mentions(text: str) -> list[Mention]:
 def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Weights:
     """Weights from about `sample` rows of docs with text, chosen by a hash of the text; repeated texts are chosen together."""
     rows = docs.select(F.col(f"`{text}`").alias("text")).filter("text is not null")
-    share = min(1.0, sample / max(rows.count(), 1))
+    share = min(1.0, sample / max(docs.count(), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
