@@ -337,13 +337,13 @@ def _cross(num: int, den: int, nearest: int | None) -> Callable[[pa.Table], pa.T
 
 def _candidates(posts: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
     """Pairs of a list whose documents are in different components, by blocks: the list's largest component against the others, and these against each other."""
-    member = posts.select("token", "id", "n", "place").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = member.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    member = written(member.join(mixed, "token", "left_semi"))
+    component = found.select(F.col("node").alias("id"), "component")
+    member = written(posts.select("token", "id", "n", "place").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
     sizes = member.groupBy("token", "component").agg(F.count("*").alias("m"))
-    sizes = sizes.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("m_main"), F.sum("m").alias("m_all"))
+    sizes = sizes.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("m_main"), F.sum("m").alias("m_all"), F.count("*").alias("components"))
     blocks = lambda m: F.ceil(m / BLOCK).cast("int")
-    sizes = sizes.select("token", "main", blocks(F.col("m_main")).alias("b_main"), F.greatest(F.lit(1), blocks(F.col("m_all") - F.col("m_main"))).alias("b_rest"))
+    sizes = sizes.filter("components > 1").select("token", "main", blocks(F.col("m_main")).alias("b_main"), F.greatest(F.lit(1), blocks(F.col("m_all") - F.col("m_main"))).alias("b_rest"), "m_all")
+    sizes = written(sizes)  # a table of its own, so that adaptive execution can split a very long list in the join
     rows = member.join(sizes, "token").join(sets.select("id", "sketch"), "id")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     key = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
@@ -357,7 +357,7 @@ def _candidates(posts: DataFrame, sets: DataFrame, found: DataFrame, num: int, d
     # in a block of two different blocks of the others, side doesn't matter: all its rows are compared with all
     keyed = rows.withColumn("k", F.explode(F.when(F.col("component") == F.col("main"), main_keys).otherwise(rest_keys)))
     flat = keyed.select("token", "k.kind", "k.x", "k.y", "k.side", "id", "component", "n", "place", "sketch")
-    tasks = F.lit(member.count() // ROWS_AT_ONCE + 1)
+    tasks = F.lit((sizes.agg(F.sum("m_all")).first()[0] or 0) // ROWS_AT_ONCE + 1)
     flat = flat.withColumn("part", F.pmod(F.xxhash64("token", "kind", "x", "y"), tasks))
     return flat.groupBy("part").applyInArrow(_cross(num, den, nearest), "a long, b long").distinct()
 
