@@ -23,9 +23,9 @@ BINS = 1 << 12
 COMMON_SHARE = 0.004
 #: Languages with a smaller share of the labelled documents have no reference, which bounds their number.
 MIN_LANG_SHARE = 0.001
-#: Minimum lengths: characters for the class distance, words for the word distance.
+#: Limits between the labelled good and bad documents of a sample: good ones stay under 0.26 and 0.29. Minimum lengths: characters for the class distance, words for the word distance.
 MIN_CHARS, MIN_WORDS = 200, 100
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.75
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.42
 #: The base rules.
 MIN_KEPT_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
