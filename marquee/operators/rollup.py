@@ -60,6 +60,12 @@ def _parts(x: Column, separator: str) -> Column:
     return F.filter(F.transform(some, lambda v: F.trim(v)), lambda v: v != "")
 
 
+def once_per_name(feed: DataFrame) -> DataFrame:
+    """One row of each title and filename: the least, so that a retried task picks the same."""
+    others = [c for c in feed.columns if c not in ("base_name", "filename")]
+    return feed.groupBy("base_name", "filename").agg(F.min(F.struct(*others)).alias("r")).select("base_name", "filename", *[f"r.{c}" for c in others])
+
+
 def title_rollup(feed: DataFrame) -> DataFrame:
     """(base_name, files, tag, qualities, resolutions, languages, platforms): sorted unions over a title's files, each filename once.
 
@@ -69,7 +75,7 @@ def title_rollup(feed: DataFrame) -> DataFrame:
     old = F.coalesce("resolution", F.lit("N/A")) == "N/A"
     quality = F.coalesce("quality", F.lit("N/A"))
     none = F.array().cast("array<string>")
-    rows = feed.dropDuplicates(["base_name", "filename"]).select(
+    rows = once_per_name(feed).select(
         "base_name", "tag",
         F.concat(_parts(F.col("quality"), ","), F.when(old, _parts(extract.feed_sources(quality), ",")).otherwise(none)).alias("q"),
         F.concat(_parts(F.col("resolution"), ","), F.when(old, _parts(extract.feed_resolutions(quality), ",")).otherwise(none)).alias("r"),

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vocab as V
 from ..operators.mutate import delete_ids, upserted
-from ..operators.rollup import title_rollup
+from ..operators.rollup import once_per_name, title_rollup
 
 #: How late rows may come; later ones are dropped.
 LATENESS = "10 minutes"
@@ -64,7 +64,14 @@ def tombstones(rows: DataFrame, path: str, checkpoint: str, files: DataFrame) ->
 
 def rollup_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """The roll-up of each title in each batch of feed rows; rows kept beside it are rolled up with those before."""
-    keep = _snapshot_sink(f"{path}/rows", lambda batch, old: batch if old is None else old.unionByName(batch).dropDuplicates(["base_name", "filename"]))
+    names = ["base_name", "filename"]
+
+    def add(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        """The rows so far and those of new names."""
+        new = once_per_name(batch)
+        return new if old is None else old.unionByName(new.join(old.select(*names), names, "left_anti"))
+
+    keep = _snapshot_sink(f"{path}/rows", add)
 
     def write(batch: DataFrame, epoch: int) -> None:
         keep(batch, epoch)
