@@ -33,6 +33,19 @@ def upserted(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("file_id", F.coalesce("old.file_name", "new.file_name").alias("file_name"), pick("caption"), pick("category"))
 
 
+def changes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows that a batch adds or changes, as they are stored: what a log of changes appends. Of the store only ids, names and captions are read."""
+    old = stored.select("file_id", F.col("file_name").alias("old_name"), F.coalesce("caption", F.lit("")).alias("old_caption"), F.lit(True).alias("known"))
+    rows = prepared(incoming).join(old, "file_id", "left").filter(F.col("known").isNull() | (F.col("caption") != F.col("old_caption")))
+    return rows.select("file_id", F.coalesce("old_name", "file_name").alias("file_name"), "caption", "category")
+
+
+def with_changes(stored: DataFrame, log: DataFrame) -> DataFrame:
+    """The snapshot of a store and its log (file_id, file_name, caption, category, epoch): each id as its last change left it."""
+    last = log.groupBy("file_id").agg(F.max_by(F.struct("file_name", "caption", "category"), "epoch").alias("r")).select("file_id", "r.*")
+    return stored.join(last.select("file_id"), "file_id", "left_anti").unionByName(last)
+
+
 def delete_matching(files: DataFrame, asked: str) -> DataFrame:
     """The files that stay when those whose name fits are deleted."""
     return files.filter(~F.coalesce(F.col("file_name").rlike(delete_pattern(asked)), F.lit(False)))

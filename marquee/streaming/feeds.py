@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vocab as V
-from ..operators.mutate import delete_ids, upserted
+from ..operators.mutate import changes, delete_ids, with_changes
 from ..operators.rollup import once_per_name, title_rollup
 
 #: How late rows may come; later ones are dropped.
@@ -39,47 +39,62 @@ def debounced(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> D
     return rows.groupBy(window, key).agg(F.count("*").alias("n"), F.max("ts").alias("last")).select(key, F.col("session_window.start").alias("first"), "last", "n")
 
 
-def _snapshot_sink(path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink that writes a new snapshot for each batch, in a folder of its own: a batch that runs again writes the same one again."""
+def _log_sink(path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A sink that appends what a batch changes, as partition epoch=N of a log: its cost follows the batch, and a batch that runs again replaces its own."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/{epoch - 1}") if epoch else None
-        step(batch, before).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        before = batch.sparkSession.read.parquet(path).filter(F.col("epoch") < epoch) if epoch else None
+        step(batch, before).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
-def ingest(rows: DataFrame, path: str, checkpoint: str, empty: DataFrame) -> StreamingQuery:
-    """Files (file_id, file_name, caption) upserted into snapshots; idempotent by id."""
-    sink = _snapshot_sink(path, lambda batch, old: upserted(batch, empty if old is None else old))
+def ingest(rows: DataFrame, path: str, checkpoint: str, stored: DataFrame) -> StreamingQuery:
+    """Files (file_id, file_name, caption) upserted into a store, as a log of changes; idempotent by id. The snapshot is current()."""
+    sink = _log_sink(path, lambda batch, log: changes(batch, stored if log is None else with_changes(stored, log)))
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tombstones(rows: DataFrame, path: str, checkpoint: str, files: DataFrame) -> StreamingQuery:
-    """Deletes (file_id) taken out of snapshots of both stores."""
-    sink = _snapshot_sink(path, lambda batch, old: delete_ids(files if old is None else old, batch))
+def current(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
+    """The store with the log at path. Written, it is the next store, and its log can go."""
+    return with_changes(stored, spark.read.parquet(path))
+
+
+def tombstones(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Deletes (file_id) as a log. The files that are left are alive()."""
+    sink = _log_sink(path, lambda batch, _: batch.select("file_id").distinct())
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rollup_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The roll-up of each title in each batch of feed rows; rows kept beside it are rolled up with those before."""
-    names = ["base_name", "filename"]
+def alive(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """The files of both stores without the deleted ones."""
+    return delete_ids(files, spark.read.parquet(path))
 
-    def add(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        """The rows so far and those of new names."""
-        new = once_per_name(batch)
-        return new if old is None else old.unionByName(new.join(old.select(*names), names, "left_anti"))
 
-    keep = _snapshot_sink(f"{path}/rows", add)
+def rollup_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Feed rows as a log, each name once, and after each batch the roll-ups of the titles that it touched. rollups() has the last of each."""
+    names = ["base_name", "filename"]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        keep(batch, epoch)
-        title_rollup(batch.sparkSession.read.parquet(f"{path}/rows/{epoch}")).write.mode("overwrite").parquet(f"{path}/titles/{epoch}")
+        spark, new = batch.sparkSession, once_per_name(batch)
+        if epoch:
+            known = spark.read.parquet(f"{path}/rows").filter(F.col("epoch") < epoch).select(*names)
+            new = new.join(known, names, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        log = spark.read.parquet(f"{path}/rows").filter(F.col("epoch") <= epoch)
+        touched = log.filter(F.col("epoch") == epoch).select("base_name").distinct()
+        title_rollup(log.drop("epoch").join(touched, "base_name", "left_semi")).write.mode("overwrite").parquet(f"{path}/titles/epoch={epoch}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rollups(spark: SparkSession, path: str) -> DataFrame:
+    """The last roll-up of each title."""
+    log = spark.read.parquet(f"{path}/titles")
+    fields = [c for c in log.columns if c not in ("base_name", "epoch")]
+    return log.groupBy("base_name").agg(F.max_by(F.struct(*fields), "epoch").alias("r")).select("base_name", "r.*")
+
+
 def debounce_timers(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> DataFrame:
     """(key, n): as debounced(), by a timer for each key that every row of the key sets anew: for state that a window can't hold."""
 

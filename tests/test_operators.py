@@ -85,20 +85,21 @@ def test_streams(spark, sf, tmp_path):
     X.incoming(spark, sf).repartition(2).write.parquet(f"{base}/in")
     stored = X.named_files(spark, sf).select("file_id", "file_name", "caption", "category")
     rows = feeds.read_stream(spark, f"{base}/in", "file_id string, file_name string, caption string", files_per_batch=1)
-    feeds.ingest(rows, f"{base}/snap", f"{base}/cp1", stored).awaitTermination()
+    feeds.ingest(rows, f"{base}/log", f"{base}/cp1", stored).awaitTermination()
     want = mutate.upserted(X.incoming(spark, sf), stored)
-    assert sorted(map(str, spark.read.parquet(f"{base}/snap/1").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, feeds.current(spark, f"{base}/log", stored).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert spark.read.parquet(f"{base}/log").count() == mutate.upsert_status(X.incoming(spark, sf), stored).filter("status <> 'dup'").count()
 
     gone = X.named_files(spark, sf).filter("k % 2 = 0").select("file_id")
     gone.write.parquet(f"{base}/gone")
-    feeds.tombstones(feeds.read_stream(spark, f"{base}/gone", "file_id string"), f"{base}/left", f"{base}/cp2", X.files(spark, sf)).awaitTermination()
-    assert spark.read.parquet(f"{base}/left/0").count() == mutate.delete_ids(X.files(spark, sf), gone).count()
+    feeds.tombstones(feeds.read_stream(spark, f"{base}/gone", "file_id string"), f"{base}/left", f"{base}/cp2").awaitTermination()
+    assert feeds.alive(spark, f"{base}/left", X.files(spark, sf)).count() == mutate.delete_ids(X.files(spark, sf), gone).count()
 
     feed = X.feed(spark, sf)
     feed.repartition(3).write.parquet(f"{base}/feed")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feed.schema)
     feeds.rollup_stream(feeds.read_stream(spark, f"{base}/feed", schema, files_per_batch=1), f"{base}/roll", f"{base}/cp3").awaitTermination()
-    assert sorted(map(str, spark.read.parquet(f"{base}/roll/titles/2").collect())) == sorted(map(str, rollup.title_rollup(feed).collect()))
+    assert sorted(map(str, feeds.rollups(spark, f"{base}/roll").collect())) == sorted(map(str, rollup.title_rollup(feed).collect()))
 
 
 def test_debounce_and_dedup_streams(spark, sf, tmp_path):
