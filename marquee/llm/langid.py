@@ -80,6 +80,7 @@ class Model:
         self.logs = np.ascontiguousarray(logs - logs.max(axis=1, keepdims=True) if self.langs else logs, dtype=np.float32)
         share = np.array([script_words[k] / max(script_words[k].sum(), 1) for k in self.langs]).reshape(len(self.langs), SCRIPTS)
         uses = (share >= SCRIPT_SHARE).T
+        self.known = uses.any(axis=1) if self.langs else np.zeros(SCRIPTS, dtype=bool)
         uses[~uses.any(axis=1)] = True  # a script that no language uses tells nothing
         uses[0] = True
         self.barred = np.where(uses, 0, -SCRIPT_PENALTY).astype(np.float32)
@@ -146,7 +147,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """The columns keep of every row of docs, and (lang_pred, score, spans) under the given names.
 
     lang_pred has most of the words with a letter (ties: the first in code-point order); score is its
-    share of them. spans: array of (lang, start, end), in words, end exclusive. Null text, or text
+    share of them, where words in a script that it doesn't use count for no language. spans: array of (lang, start, end), in words, end exclusive. Null text, or text
     without a letter, is `und` with score 0 and no spans; so is all text if the model has no language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -183,7 +184,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             held = np.where(held.any(axis=1, keepdims=True), held, count(kind >= 0))
             top = held.argmax(axis=1)
             langs.append(np.where(has, top, n_langs))
-            scores.append(np.where(has, held[np.arange(w.rows), top] / np.maximum(held.sum(axis=1), 1), 0.0))
+            own = count(m.known[kind] & (m.barred[kind, path] == 0))[np.arange(w.rows), top]
+            scores.append(np.where(has, own / np.maximum(held.sum(axis=1), 1), 0.0))
             new = np.ones(len(path), dtype=bool)
             new[1:] = (path[1:] != path[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(new & has[row])

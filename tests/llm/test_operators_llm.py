@@ -265,6 +265,7 @@ def test_language_id(spark):
     out = {x.doc_id: x for x in langid.identify(spark.createDataFrame(mixed, "doc_id int, text string"), model).collect()}
     assert [tuple(s) for s in out[1].spans] == [("en", 0, 18), ("ru", 18, 23)] and out[1].lang_pred == "en" and 0.7 < out[1].score < 0.9
     assert [out[k].lang_pred for k in (2, 3, 4)] == ["und"] * 3 and out[5].lang_pred in langs
+    assert out[5].score == 0.0
     assert all(0 <= x.score <= 1 for x in out.values())
 
 
