@@ -30,7 +30,8 @@ WINDOW, BLOCK = 20, 10
 SLICE = 2 << 20
 #: Text bytes of a group of documents, and of the text whose probes share a hash bucket.
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
-MAX_BUCKETS = 1 << 18
+#: Beyond it (8 TB) buckets grow: at 100 TB one holds the probes of 24 MB of text.
+MAX_BUCKETS = 1 << 22
 #: Sorts before every id: stands for null.
 NO_ID = np.iinfo(np.int64).min
 
