@@ -40,7 +40,7 @@ SLICE, SLICE_ROWS = 1 << 20, 1 << 10
 MIN_CELLS, MAX_CELLS = 1 << 18, 1 << 24
 #: Text bytes whose postings share a bucket, and of a group of documents.
 BUCKET_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
-MAX_BUCKETS = 1 << 18
+MAX_BUCKETS = 1 << 20
 #: Bytes up to which the ids that have postings left are broadcast to shuffle only their texts.
 SMALL = 16 << 20
 #: A list estimated longer than this is split over buckets of about so many postings.
@@ -88,7 +88,8 @@ def _counts(cells: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 token, _, _ = slice_sets(w, width)
                 np.add.at(table, (token >> shift).astype(np.int64), 1)
         part = min(cells, 1 << 15)
-        small = np.minimum(table, 0xFFFF).astype(np.uint16).reshape(-1, part)
+        # a byte a cell and task is enough: what is common is so in many tasks
+        small = np.minimum(table, 0xFF).astype(np.uint8).reshape(-1, part)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], ["part", "counts"])
 
     return run
@@ -99,7 +100,7 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, dtype=np.uint16).astype(np.uint64)
+            x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
             sums[part] = sums[part] + x if part in sums else x
     levels = {k: np.minimum(255, np.round(8 * np.log2(1 + x))).astype(np.uint8).tobytes() for k, x in sums.items()}
     yield pa.RecordBatch.from_arrays([pa.array(levels.keys(), pa.int32()), pa.array(levels.values(), pa.binary())], ["part", "levels"])
