@@ -19,12 +19,12 @@ from marquee.llm.line_dedup import drop_boilerplate_lines
 from marquee.llm.mixing import mix
 from marquee.llm.shingle_join import link_components
 
-#: A text whose most frequent language labels a smaller share of its words is rejected.
-MIN_LANG_SCORE = 0.5
+#: A text whose most frequent language labels a smaller share of its words is rejected: it has no leading language, or one that isn't learned.
+MIN_LANG_SCORE = 1 / 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that labels half of their words, go.
+    """Documents without a letter, or without a language that labels a third of their words, go.
 
     The model learns from the labelled rows of docs itself, without those that op7 holds out; if no
     row is labelled, all rows stay.
