@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Tables that written() has made and release() has not removed.
 _TABLES: list[str] = []
 
@@ -49,7 +51,13 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/marquee-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the shuffle files of what is written now are of no more use: without this they stay until the driver collects garbage
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
