@@ -145,3 +145,19 @@ def test_federate_shuffles_only_ids_of_the_first_store(spark, sf, tmp_path):
     X.files(spark, sf).write.partitionBy("store").parquet(str(tmp_path / "f"))
     plan = catalog.federate(spark.read.parquet(str(tmp_path / "f")))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "SortAggregate" not in plan
+
+
+def test_debounce_timers(spark, sf, tmp_path):
+    import time
+
+    X.table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind")).write.parquet(f"{tmp_path}/e")
+    rows = feeds.read_stream(spark, f"{tmp_path}/e", "event_id long, kind string")
+    q = feeds.debounce_timers(rows, "kind", seconds=1).writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and spark.table("quiet").count() < 5:
+            time.sleep(1)
+        got = {r.kind: r.n for r in spark.table("quiet").collect()}
+    finally:
+        q.stop()
+    assert got == {r.event_type: r["count"] for r in X.table(spark, sf, "events").groupBy("event_type").count().collect()}
