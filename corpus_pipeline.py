@@ -21,6 +21,8 @@ from marquee.llm.shingle_join import link_components
 
 #: A text whose most frequent language labels a smaller share of its words is rejected: it has no leading language, or one that isn't learned.
 MIN_LANG_SCORE = 1 / 3
+#: Near copies: texts whose sets of shingles of so many words have a Jaccard similarity of at least NUM / DEN. The query op10 has limits of its own.
+SHINGLE_WORDS, SHINGLE_NUM, SHINGLE_DEN = 5, 80, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group stays: the one with the least doc_id. Texts without words are linked with nothing and stay."""
-    classes = link_components(docs.select("doc_id", "text"))
+    classes = link_components(docs.select("doc_id", "text"), width=SHINGLE_WORDS, num=SHINGLE_NUM, den=SHINGLE_DEN)
     gone = written(classes.filter("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
 from marquee.llm.decontaminate import find_contamination
@@ -56,6 +58,35 @@ def test_stages_on_odd_tables(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Shingles of five words at 0.8: two separated edits of a word in 104 link, which three words at 0.9 do not."""
+    r = random.Random(14)
+    rows = []
+    for _ in range(30):
+        w = [f"w{r.randrange(500)}" for _ in range(104)]
+        rows.append(" ".join(w))
+        for edits in ((30, 70), (20, 50, 80), (10, 30, 50, 70, 90)):
+            rows.append(" ".join(f"Edit{k}" if k in edits else x for k, x in enumerate(w)))
+    rows += ["one two three", "ONE two three", "one two", "", None]
+    sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split()) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if x and 100 * len(x & sets[b]) >= 80 * len(x | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {k for k in range(len(rows)) if find(k) == k}
+    assert 1 not in kept and 3 in kept
+
+
 def test_release_removes_what_was_written(spark):
     from marquee.llm import frames
 
