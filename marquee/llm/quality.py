@@ -21,8 +21,6 @@ from .kernel import BLANK, LOWER, Words, hash_order, slices, splitmix, window_ha
 
 BINS = 1 << 12
 COMMON_SHARE = 0.004
-#: Languages with a smaller share of the labelled documents have no reference, which bounds their number.
-MIN_LANG_SHARE = 0.001
 #: Limits between the labelled good and bad documents of a sample: good ones stay under 0.26 and 0.29. Minimum lengths: characters for the class distance, words for the word distance.
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.42
@@ -92,8 +90,11 @@ def histograms(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return classes, (w.byte_ranges(w.start, w.end, LOWER) % np.uint64(BINS)).astype(np.int64)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Language: (class counts, bin counts), over all rows with text and lang. Its size is bounded by 1 / MIN_LANG_SHARE languages."""
+def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Language: (class counts, common bins, their counts after that of all other bins), over all rows with text and lang.
+
+    Every language has one, however few its rows; its size is bounded by 1 / COMMON_SHARE bins.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -125,13 +126,22 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     rows = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(count, "lang string, at int, n long")
     table = written(rows.groupBy("lang", "at").agg(F.sum("n").alias("n")))
-    sizes = table.filter("at = 0").selectExpr("lang as of_lang", "n as docs")
-    total = sizes.agg(F.sum("docs")).first()[0] or 0
-    kept = table.join(sizes, F.col("lang") == F.col("of_lang")).filter(F.col("docs") >= MIN_LANG_SHARE * total)
-    out: dict[str, np.ndarray] = {}
-    for lang, at, n in kept.select("lang", "at", "n").toLocalIterator():
-        out.setdefault(lang, np.zeros(1 + CLASSES + BINS, dtype=np.int64))[at] = n
-    return {k: (out[k][1 : 1 + CLASSES], out[k][1 + CLASSES :]) for k in sorted(out)}
+    words = table.filter(F.col("at") > CLASSES).groupBy("lang").agg(F.sum("n").alias("total"))
+    common = table.join(words.withColumnRenamed("lang", "of_lang"), F.col("lang") == F.col("of_lang"), "left")
+    common = common.filter((F.col("at") <= CLASSES) | (F.col("n") >= COMMON_SHARE * F.col("total")))
+    found: dict[str, dict[int, int]] = {}
+    totals: dict[str, int] = {}
+    for lang, at, n, total in common.select("lang", "at", "n", "total").toLocalIterator():
+        found.setdefault(lang, {})[at] = n
+        totals[lang] = total or 0
+    out = {}
+    for lang in sorted(found):
+        x = found[lang]
+        bins = np.array(sorted(k for k in x if k > CLASSES), dtype=np.int64)
+        counts = np.array([x[k] for k in bins.tolist()], dtype=np.int64)
+        classes = np.array([x.get(1 + k, 0) for k in range(CLASSES)], dtype=np.int64)
+        out[lang] = classes, bins - (1 + CLASSES), np.append(totals[lang] - counts.sum(), counts)
+    return out
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -144,17 +154,16 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(part.sum(axis=1) / 2, 0, 1)), 0.0)
 
 
-def distances(w: Words, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def distances(w: Words, refs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Each row's class and word distance to the language nearest to it by their sum; 0 without references."""
     classes, bins = histograms(w)
     best, row = [np.zeros(w.rows), np.zeros(w.rows)], w.row_of_word()
-    for k, (class_ref, bin_ref) in enumerate(refs.values()):
-        common = np.flatnonzero(bin_ref >= COMMON_SHARE * bin_ref.sum())
+    for k, (class_ref, common, word_ref) in enumerate(refs.values()):
         kind = np.zeros(BINS, dtype=np.int64)
         kind[common] = np.arange(1, len(common) + 1)
         width = len(common) + 1
         counts = np.bincount(row * width + kind[bins], minlength=w.rows * width).reshape(w.rows, width)
-        now = [js_distance(classes, class_ref), js_distance(counts, np.bincount(kind, weights=bin_ref, minlength=width))]
+        now = [js_distance(classes, class_ref), js_distance(counts, word_ref)]
         nearer = np.ones(w.rows, dtype=bool) if k == 0 else now[0] + now[1] < best[0] + best[1]
         best = [np.where(nearer, x, y) for x, y in zip(now, best, strict=True)]
     return best[0], best[1]

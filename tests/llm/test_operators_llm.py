@@ -144,6 +144,20 @@ def test_quality_rejects_other_distributions(spark):
     assert all(k or f for k, f in got.values())
 
 
+def test_quality_keeps_a_rare_language(spark):
+    r = random.Random(5)
+    text = lambda words: " ".join(r.choices(words.split(), k=120)) + "."
+    rows = [(k, text("the of and house tree was is to river stone light"), "en") for k in range(2100)]
+    rows += [(9000 + k, text("дом река и что это был свет камень дерево на не"), "ru") for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    refs = quality.references(frame)
+    assert list(refs) == ["en", "ru"] and refs["ru"][2].sum() == 240
+    got = {x.doc_id: x for x in quality.judge_quality(frame.filter("doc_id >= 2000")).collect()}
+    all_ = {x.doc_id: x for x in quality.judge_quality(frame).filter("doc_id >= 2000").collect()}
+    assert all(got[k].kept == all_[k].kept or got[k].base_failed for k in got)
+    assert all_[9000].class_distance < 0.05 and all_[9000].kept == (not all_[9000].base_failed)
+
+
 # ---- 4
 
 
