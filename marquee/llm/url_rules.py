@@ -7,6 +7,8 @@ follows its class: allow if a member is allowed by a rule, else block if a membe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,57 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^#]*)", 1))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value's expression once in the plan however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments."""
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    end = lambda parts: F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    left = lambda parts: F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), end(parts)), "/"))
+    return _let(path, lambda p: F.when(F.instr(p, "/.") > 0, _let(F.slice(F.split(p, "/", -1), F.lit(2), F.length(p) + 1), left)).otherwise(p))
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """target as an absolute url: relative ones (//, /, ?, plain) against base. Null for empty ones, fragments, other schemes, or without an absolute base."""
+
+    def resolved(x: Column) -> Column:
+        b, t = x["base"], x["target"]
+        scheme = F.when(F.instr(b, "://") > 0, F.substring_index(b, "://", 1))
+        site = F.concat(scheme, F.lit("://"), F.regexp_extract(_after_scheme(b), r"(?s)^[^/?#]*", 0))
+        own, rest = F.regexp_extract(t, r"(?s)^[^?#]*", 0), F.regexp_extract(t, r"(?s)^[^?#]*(.*)", 1)
+        folder = F.concat(F.lit("/"), F.regexp_extract(path_of(b), r"(?s)^/(.*/)", 1))
+        path = F.when(t.startswith("?"), path_of(b)).otherwise(_without_dots(F.when(t.startswith("/"), own).otherwise(F.concat(folder, own))))
+        return (
+            F.when((t == "") | t.startswith("#"), F.lit(None).cast("string"))
+            .when(t.rlike("(?i)^[a-z][a-z0-9+.-]*://"), t)
+            .when(t.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+            .otherwise(F.concat(site, path, rest))
+        )
+
+    return _let(F.struct(base.alias("base"), target.alias("target")), resolved)
+
+
+def _decoded(target: Column) -> Column:
+    """Character references of / and & in an attribute's value; & last, so that nothing is decoded twice."""
+    return F.regexp_replace(F.regexp_replace(target, "(?i)&#(?:0*47|x0*2f);", "/"), "(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
 def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) of <link rel="canonical"> and of <meta http-equiv="refresh"> with an absolute target."""
+    """(src, dst) of <link rel="canonical"> and of <meta http-equiv="refresh">; relative targets are resolved against the page's <base>, or its url."""
     tag = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["'\s][^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["'\s][^>]*>"""
     hinted = pages.filter(F.col(html).rlike(r"(?i)canonical|refresh"))
-    tags = hinted.select(F.col(url).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0))).alias("tag"))
-    dst = F.regexp_extract("tag", r"""(?is)(?:href\s*=\s*["']?|url\s*=\s*['"]?)([a-z][a-z0-9+.-]*://[^"'\s>]+)""", 1)
-    return tags.select("src", dst.alias("dst")).filter("dst <> ''")
+    href = r"""(?is)%s[\s"'/]href\s*=\s*["']?\s*([^"'\s>]+)"""
+    based = F.regexp_extract(html, href % r"<base\b(?:[^>]*?)(?=[\s\"'/]href)", 1)
+    base = F.coalesce(resolve(F.col(url), _decoded(based)), F.col(url))
+    tags = hinted.select(F.col(url).alias("src"), base.alias("base"), F.explode(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(0))).alias("tag"))
+    of_link = F.regexp_extract("tag", href % "", 1)
+    of_meta = F.regexp_extract("tag", r"""(?is)[\s;,"'=]url\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    target = _decoded(F.when(F.col("tag").rlike("(?i)^<link"), of_link).otherwise(of_meta))
+    return tags.select("src", resolve(F.col("base"), target).alias("dst")).filter("dst <> ''")
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, default: str = "allow") -> DataFrame:
@@ -81,7 +127,7 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[tuple[s
     return joined.select("page_id", "host", "path", "rule", F.coalesce(own, "class_verdict", F.lit(default)).alias("verdict"))
 
 
-#: DuckDB SQL of judge(pages).
+#: DuckDB SQL of judge(pages) where all targets are absolute and without character references.
 URL_SQL = r"""
 WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,

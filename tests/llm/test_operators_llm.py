@@ -218,6 +218,27 @@ def test_redirects_carry_decisions(spark):
     assert got == {1: "block", 2: "block", 4: "allow", 5: "allow"}
 
 
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://example.com/a/b?q=1#f", "https://example.com", "http://h.org/x/", "http://h.org?z"]
+    targets = ["/de/x", "//bad.net/p?k", "?p=2&r", "c/d", "../e", "./f/./g/..", "../../../h", "http://z.io/1", "i?u=http://y.io/", "j#k"]
+    pairs = [(a, b) for a in bases for b in targets if not (b.startswith("?") and a.count("/") == 2)]
+    got = spark.createDataFrame(pairs, "a string, b string").select(url_rules.resolve(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [urljoin(a, b) for a, b in pairs]
+    odd = spark.createDataFrame([("http://a.com/", x) for x in ("", "#f", "mailto:x@y.z", None)] + [("no scheme", "/x"), (None, "/x")], "a string, b string")
+    assert all(r[0] is None for r in odd.select(url_rules.resolve(F.col("a"), F.col("b"))).collect())
+    tags = [
+        ("http://example.com/alias", '<link rel=canonical href="/de/x">', "block"), ("http://free.io/1", '<link rel="canonical" href="//bad.net/p">', "block"),
+        ("http://free.io/2", '<meta http-equiv="refresh" content="0; url=3">', "block"), ("http://free.io/3", "<link href='http://bad.net/?a&amp;b' rel='canonical'>", "block"),
+        ("http://free.io/4", '<base target="_top" href="http://example.com/de/"><link rel="canonical" href="k">', "block"), ("http://free.io/5", '<link rel="canonical" href="#top">', "allow"),
+        ("http://free.io/6?v", '<link rel="canonical" data-href="//bad.net/" href="?w">', "allow"), ("http://free.io/7", '<link rel="canonical" href="/login?url=http://bad.net/">', "allow"),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(tags)], "page_id int, url string, html string")
+    assert [r.verdict for r in url_rules.judge(pages).orderBy("page_id").collect()] == [v for *_, v in tags]
+    assert ("http://free.io/3", "http://bad.net/?a&b") in {tuple(r) for r in url_rules.html_edges(pages).collect()}
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 470)] + [(999, k) for k in range(500, 560)] + [(5, 5), (7, None)]
