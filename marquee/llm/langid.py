@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import appended
-from .kernel import BLANK, Words, slices
+from .frames import appended, broadcast_if_small, written
+from .kernel import BLANK, SLICE_BYTES, Words, slices
 
 BUCKETS = 1 << 15
 #: Bound of the training sample: about so many documents of a language.
@@ -89,11 +89,10 @@ class Model:
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """A model from the rows of docs (doc_id, text, lang) with text and lang; about per_lang rows of a language, chosen by a hash of doc_id."""
     labelled = docs.filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share * (1 << 20))
+    sizes = docs.filter("lang is not null").groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("of_size"))
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("of_size"))
+    sized = labelled.select("doc_id", "lang", "text").join(broadcast_if_small(written(sizes)), F.col("lang") == F.col("of_lang"))
+    chosen = sized.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,15 +125,16 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENALT
     counts = np.diff(first)
     order = np.argsort(-counts, kind="stable")
     active = np.searchsorted(-counts[order], -np.arange(counts.max(initial=0)), side="left")  # rows longer than t
-    labels = np.arange(score.shape[1], dtype=np.uint8)
-    came, at, best = np.empty(score.shape, dtype=np.uint8), first[:-1][order], np.zeros((len(order), score.shape[1]), dtype=np.float64)
+    kind = np.min_scalar_type(max(score.shape[1] - 1, 0))  # wide enough for all labels
+    labels = np.arange(score.shape[1], dtype=kind)
+    came, at, best = np.empty(score.shape, dtype=kind), first[:-1][order], np.zeros((len(order), score.shape[1]), dtype=np.float64)
     for t, n in enumerate(active):
         now, v = at[:n] + t, best[:n]
         top = v.argmax(axis=1)
         move = v[np.arange(n), top][:, None] - (penalty if t else 0)
         came[now] = np.where(v >= move, labels, top[:, None])
         best[:n] = np.maximum(v, move) + score[now]
-    path, label = np.empty(len(score), dtype=np.uint8), best.argmax(axis=1).astype(np.uint8)
+    path, label = np.empty(len(score), dtype=kind), best.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         now = at[:n] + t
@@ -156,11 +156,11 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         m = shared.value
         known, n_langs = np.array([*m.langs, "und"], dtype=object), len(m.langs)
         langs, scores, n_spans, parts = [], [], [], []
-        for low, w in slices(pc.utf8_lower(texts), max_bytes=SLICE):
+        for low, w in slices(pc.utf8_lower(texts), max_bytes=max(1 << 16, SLICE * 32 // max(n_langs, 32))):
             has = np.zeros(w.rows, dtype=bool)
             by_word, kind = np.zeros((len(w.start), n_langs), dtype=np.float32), np.zeros(len(w.start), dtype=np.int64)
             # scored in parts of some rows, to hold little at once; labelled all together
-            for at, part in w.parts():
+            for at, part in w.parts(max(1 << 12, SLICE_BYTES // 2 * 32 // max(n_langs, 32))):
                 letter = scripts(part)
                 has[at + np.searchsorted(part.row_at[1:], np.flatnonzero((letter > 0) & (part.buf < 128)), side="right")] = True
                 if n_langs and len(part.start):
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             by_word[kind == 0] = 0
             by_word += m.barred[kind]
             path, row = viterbi(by_word, w.first), w.row_of_word()
-            count = lambda which: np.bincount(row[which] * n_langs + path[which], minlength=w.rows * n_langs).reshape(w.rows, n_langs)  # noqa: B023, E731
+            count = lambda which: np.bincount(row[which] * n_langs + path[which].astype(np.int64), minlength=w.rows * n_langs).reshape(w.rows, n_langs)  # noqa: B023, E731
             held = count(kind > 0)
             # letters outside the script ranges: all words of the text vote
             held = np.where(held.any(axis=1, keepdims=True), held, count(kind >= 0))

@@ -319,6 +319,20 @@ def test_viterbi_against_all_paths():
             assert worth(path[a:b]) == pytest.approx(max(worth(p) for p in itertools.product(range(3), repeat=b - a)), abs=1e-4)
 
 
+def test_viterbi_with_more_than_256_labels():
+    import numpy as np
+
+    score = np.full((3, 300), -50.0, dtype=np.float32)
+    score[:, 299] = 0
+    assert langid.viterbi(score, np.array([0, 2, 3])).tolist() == [299] * 3
+
+
+def test_training_learns_every_language(spark):
+    rows = [(k, f"word{k} house", f"l{k:04d}") for k in range(1005)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert model.langs == [x for *_, x in rows]
+
+
 # ---- 8
 
 
