@@ -50,10 +50,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group stays: the one with the least doc_id. Texts without words are linked with nothing and stay."""
-    classes = link_components(docs.select("doc_id", "text"), width=SHINGLE_WORDS, num=SHINGLE_NUM, den=SHINGLE_DEN)
+    """One document of each linked group stays: the one with the least doc_id. Texts without words are linked with nothing and stay.
+
+    Rows with one doc_id are one document: one of them stays, chosen by a hash of its values. Rows without doc_id all stay.
+    """
+    classes = written(link_components(docs.select("doc_id", "text"), width=SHINGLE_WORDS, num=SHINGLE_NUM, den=SHINGLE_DEN))
     gone = written(classes.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = written(classes.filter("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(broadcast_if_small(again), "doc_id", "left_semi").select(*docs.columns)
+    one = one.groupBy(F.col("doc_id").alias("of_id")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return kept.join(broadcast_if_small(again), "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

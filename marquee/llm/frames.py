@@ -72,14 +72,24 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes in memory up to which a table may be broadcast, or handled by one task.
+SMALL = 64 << 20
+
+
 def written_bytes(df: DataFrame) -> int:
-    """Size of a table that written() returned, as Spark's statistics have it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """An estimate of the memory that a table that written() returned takes: its files' size, or its rows at the width of their types, whichever is more."""
+    files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(files, df.count() * (16 + int(df._jdf.schema().defaultSize())))
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table that written() returned may be broadcast."""
+    return written_bytes(df) <= SMALL
 
 
-def broadcast_if_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """A written table with a broadcast hint if its files have at most `most` bytes; else as it is, for a shuffled join."""
-    return F.broadcast(df) if written_bytes(df) <= most else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it takes at most SMALL bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def small_batches(spark: SparkSession) -> None:

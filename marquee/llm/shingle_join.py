@@ -5,17 +5,20 @@ ceil(s * n) of them, so it is found in the lists of the n - ceil(s * n) + 1 shor
 are the lists DivideSkip merges, all others are the long ones that it probes. A fixed-size count-min
 table of all shingles orders the lists by length.
 
-1. Each document posts its short-list shingles; postings meet by hash bucket, and shingles that
+1. One scan counts the shingles and describes each document: size, digest and parity sketch of its set.
+   Documents with equal sets are linked by digest; only one of each class goes on.
+2. Each of these posts its short-list shingles; postings meet by hash bucket, and shingles that
    no other document has go.
-2. In each list, neighbours by set size are candidates. They are checked against the full sets by
-   divide_skip(), and connected components of the links found.
-3. Only pairs of a list from different components are candidates now, first the two nearest of
-   each two components, then all that are left. After the last check no pair that could
-   link is unchecked, so the components are exact; a group of m near copies costs about m checks.
-
-A bound from 256-bit parity sketches of the sets prunes candidates exactly (an odd bit needs a shingle
-that one set lacks). Equal sets of one slice of text post once. Lists that the table estimates as
-very long are split over several buckets in step 1 and into blocks of pairs in step 3.
+3. In each list, neighbours by set size are candidates. Those that the sketches allow are checked against the
+   full sets by divide_skip(), and connected components of the links found.
+4. Only pairs of a list from different components are candidates now, first the two nearest of
+   each two components, then all that are left and not refuted before. After the last check no pair that
+   could link is unchecked, so the components are exact; a group of m near copies costs about m checks.
+
+A parity sketch has about as many bits as its set has shingles and excludes pairs exactly (an odd bit of two
+sketches' difference needs a shingle that one set lacks). Full sets are made only of documents that a pair
+still names then. Lists that the table estimates as very long are split over several buckets in step 2 and
+into blocks of pairs in step 4.
 """
 
 from __future__ import annotations
@@ -31,25 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import written, written_bytes
-from .kernel import BLANK, Words, buffers, cut, key_order, sequence_hashes, slices, splitmix, window_hashes
+from .frames import broadcast_if_small, written
+from .kernel import BLANK, Words, key_order, sequence_hashes, slices, splitmix, window_hashes
 
 WIDTH, NUM, DEN = 3, 90, 100
 SLICE, SLICE_ROWS = 1 << 20, 1 << 10
 #: Cells of the count-min table: a bound of its size in tasks, shuffles and the broadcast.
 MIN_CELLS, MAX_CELLS = 1 << 18, 1 << 24
-#: Text bytes whose postings share a bucket, and of a group of documents.
-BUCKET_BYTES, GROUP_BYTES = 8 << 20, 4 << 20
+#: Text bytes whose postings share a bucket.
+BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 1 << 20
-#: Bytes up to which the ids that have postings left are broadcast to shuffle only their texts.
-SMALL = 16 << 20
 #: A list estimated longer than this is split over buckets of about so many postings.
 LONG_LIST = 1 << 18
 #: Postings of a list in a block of pairs.
 BLOCK = 1 << 10
 #: Postings compared in one call, pairs at once, and the partners of a posting that are looked at before its whole list stays.
 ROWS_AT_ONCE, PAIRS, WIDEST = 1 << 15, 1 << 19, 256
-SKETCH_BITS = 256
+#: Bits of the least sketch, and of the largest that goes with each posting.
+SKETCH_BITS, POSTED_BITS = 256, 4096
 
 _U = np.uint64
 TOKEN_BITS = 54  # of a shingle's hash, beside 10 bits for the row in a slice
@@ -78,19 +80,55 @@ def slice_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return both & _U((1 << TOKEN_BITS) - 1), row, np.searchsorted(row, np.arange(w.rows + 1))
 
 
-def _counts(cells: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Levels of a count for each doubling: a count goes as a byte, its logarithm.
+LEVELS = 8
+SCANNED = "part int, counts binary, id long, t long, n int, a long, b long, sketch binary"
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(LEVELS * np.log2(1 + counts))).astype(np.uint8)
+
+
+def _counted(levels: np.ndarray) -> np.ndarray:
+    return 2.0 ** (levels.astype(np.float64) / LEVELS) - 1
+
+
+def sketches(token: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketches of the sets of n tokens each: a power of two of bits, n at least. Half of a larger one's bits, each combined with the other half's, are a smaller one."""
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    odd = (np.bincount(at[row] + (token & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=at[-1]) & 1).astype(np.uint8)
+    packed = np.packbits(odd)
+    return [packed[x // 8 : y // 8].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows x 64-bit words) cut to `size` words, if they have more."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, size), axis=1) if sketch.shape[1] > size else sketch
+
+
+def _scan(cells: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (id, t, text): one row of each document (id, t, n, a, b: digest, sketch), and the parts of the task's count-min table."""
     shift = _U(TOKEN_BITS - (cells.bit_length() - 1))
+    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("t", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(cells, dtype=np.uint32)
         for batch in batches:
-            for _, w in slices(batch.column(0), BLANK, lower=True, max_bytes=SLICE, max_rows=SLICE_ROWS):
-                token, _, _ = slice_sets(w, width)
+            for low, w in slices(batch.column(2), BLANK, lower=True, max_bytes=SLICE, max_rows=SLICE_ROWS):
+                token, row, first = slice_sets(w, width)
                 np.add.at(table, (token >> shift).astype(np.int64), 1)
-        part = min(cells, 1 << 15)
-        # a byte a cell and task is enough: what is common is so in many tasks
-        small = np.minimum(table, 0xFF).astype(np.uint8).reshape(-1, part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())], ["part", "counts"])
+                n = np.diff(first)
+                a, b, some = np.zeros(w.rows, dtype=np.uint64), np.zeros(w.rows, dtype=np.uint64), np.flatnonzero(n)
+                if len(some):
+                    a[some], b[some] = np.add.reduceat(splitmix(token), first[some]), np.bitwise_xor.reduceat(splitmix(token ^ _U(0x5851F42D4C957F2D)), first[some])
+                none = pa.nulls(w.rows)
+                own = [none.cast(pa.int32()), none.cast(pa.binary()), batch.column(0).slice(low, w.rows), batch.column(1).slice(low, w.rows), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sketches(token, row, n), pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, schema=schema)
+        # a logarithm of each cell fits in a byte, so that long lists stay long in the sum
+        small = _level(table).reshape(-1, min(cells, 1 << 15))
+        none = pa.nulls(len(small))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary()), *(none.cast(f.type) for f in list(schema)[2:])], schema=schema)
 
     return run
 
@@ -100,80 +138,55 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
+            x = _counted(np.frombuffer(raw, dtype=np.uint8))
             sums[part] = sums[part] + x if part in sums else x
-    levels = {k: np.minimum(255, np.round(8 * np.log2(1 + x))).astype(np.uint8).tobytes() for k, x in sums.items()}
+    levels = {k: _level(x).tobytes() for k, x in sums.items()}
     yield pa.RecordBatch.from_arrays([pa.array(levels.keys(), pa.int32()), pa.array(levels.values(), pa.binary())], ["part", "levels"])
 
 
-def list_levels(rows: DataFrame, cells: int, width: int) -> np.ndarray:
-    """For each cell, 8 * log2(1 + shingles that fall in it), over all documents: an order of the lists by length, of a fixed size."""
-    parts = rows.select("text").mapInArrow(_counts(cells, width), "part int, counts binary")
+def list_levels(scanned: DataFrame) -> np.ndarray:
+    """For each cell, LEVELS * log2(1 + shingles that fall in it), over all documents: an order of the lists by length, of a fixed size."""
+    parts = scanned.filter("part is not null").select("part", "counts")
     found = parts.repartition("part").mapInArrow(_sum_counts, "part int, levels binary").collect()
     return np.concatenate([np.frombuffer(r[1], dtype=np.uint8) for r in sorted(found)])
 
 
 def _post(levels: Callable[[], np.ndarray], buckets: int, width: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packed postings (key: bucket; token, id, n, place) and, under key -1, each document's (id, n, the first of its equals in the slice)."""
+    """Packed postings (key: bucket; token, id, n, place) of rows (id, text) with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels()
         shift = _U(TOKEN_BITS - (len(level).bit_length() - 1))
         for batch in batches:
-            ids, known = _ids(batch.column(0))
+            ids = _ids(batch.column(0))
             for low, w in slices(batch.column(1), BLANK, lower=True, max_bytes=SLICE, max_rows=SLICE_ROWS):
-                own, has_id = ids[low : low + w.rows], known[low : low + w.rows]
+                own = ids[low : low + w.rows]
                 token, row, first = slice_sets(w, width)
                 n = np.diff(first)
-                twin = _equals(token, first, n, own, has_id)
-                rows = [(-1, None, own.tobytes(), n.astype(np.int32).tobytes(), own[twin].tobytes(), has_id.tobytes())]
-                posts = (twin == np.arange(w.rows)) & has_id
-                mine = posts[row]
-                token, row = token[mine], row[mine]
                 # the order of lists: level, then token; the low 8 bits of a token don't matter for it
                 order = np.sort(row.astype(np.uint64) << _U(54) | level[(token >> shift).astype(np.int64)].astype(np.uint64) << _U(46) | token >> _U(8))
                 row = (order >> _U(54)).astype(np.int64)
                 place = np.arange(len(row)) - np.searchsorted(row, np.arange(w.rows))[row]
                 short = place <= n[row] + (-num * n[row] // den)
                 order, row, place = order[short], row[short], place[short]
-                token, estimate = order & _U((1 << 46) - 1), 2.0 ** ((order >> _U(46) & _U(255)).astype(np.float64) / 8)
+                token, estimate = order & _U((1 << 46) - 1), 1 + _counted(order >> _U(46) & _U(255))
                 pieces = np.maximum(1, np.ceil(estimate / LONG_LIST)).astype(np.int64)
                 mixed = splitmix(token) + np.where(pieces > 1, splitmix(own[row]) % pieces.astype(np.uint64), 0).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
                 key = (splitmix(mixed) >> _U(32)).astype(np.int64) * buckets >> 32
                 at = key_order(key)
                 cuts = np.flatnonzero(np.append(True, key[at][1:] != key[at][:-1])[: len(at)])
+                rows = []
                 for part in np.split(at, cuts[1:]) if len(at) else []:
                     long_list = (pieces[part] > 1).astype(np.uint64) << _U(46)
-                    rows.append((int(key[part[0]]), (token[part] | long_list).tobytes(), own[row[part]].tobytes(), n[row[part]].astype(np.int32).tobytes(), place[part].astype(np.int32).tobytes(), None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["key", "token", "id", "n", "place", "known"])
+                    rows.append((int(key[part[0]]), (token[part] | long_list).tobytes(), own[row[part]].tobytes(), n[row[part]].astype(np.int32).tobytes(), place[part].astype(np.int32).tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["key", "token", "id", "n", "place"])
 
     return run
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), ~np.asarray(column.is_null())
-
-
-def _equals(token: np.ndarray, first: np.ndarray, n: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """For each row, the row with the least id (then place) among those with an equal set; rows without elements or without an id stand for themselves."""
-    out = np.arange(len(n))
-    some = np.flatnonzero(n)
-    if len(some):
-        a, b = np.add.reduceat(splitmix(token), first[some]), np.bitwise_xor.reduceat(splitmix(token ^ _U(0x5851F42D4C957F2D)), first[some])
-        with_id = known[some]
-        some, a, b = some[with_id], a[with_id], b[with_id]
-        order = np.lexsort((some, ids[some], n[some], b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (n[some][order][1:] != n[some][order][:-1]))[: len(order)]
-        out[some[order]] = some[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return out
-
-
-def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, twin) of each document, from the rows under key -1."""
-    for batch in batches:
-        for i, n, t, k in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "place", "known")), strict=True):
-            gone = ~np.frombuffer(k, dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(i, dtype=np.int64), mask=gone), pa.array(np.frombuffer(n, dtype=np.int32).astype(np.int64)), pa.array(np.frombuffer(t, dtype=np.int64), mask=gone)], ["id", "n", "twin"])
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 POSTING = "token long, id long, n int, place int, other long"
@@ -198,8 +211,11 @@ def _meet(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         same = np.append(False, token[order][1:] == token[order][:-1])[: len(order)]
         shared = same | np.append(same[1:], False)[: len(order)]
         order = order[shared | (token[order] >> _U(46) > 0)]
-        order = order[np.lexsort((ids[order], n[order], token[order]))]
+        order = order[np.lexsort((place[order], ids[order], n[order], token[order]))]
         token, ids, n, place = token[order], ids[order], n[order], place[order]
+        # repeated rows post alike
+        new = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1]) | (place[1:] != place[:-1]))[: len(token)]
+        token, ids, n, place = token[new], ids[new], n[new], place[new]
         list_ = np.cumsum(np.append(True, token[1:] != token[:-1])[: len(token)])
         high = np.searchsorted(list_ << 32 | n, list_ << 32 | n * den // num, side="right")
         at = np.arange(len(ids))
@@ -222,25 +238,51 @@ def fits(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, d
     return np.minimum(n - i, m - j) >= least_overlap(n, m, num, den) if len(n) else np.zeros(0, dtype=bool)
 
 
-def _sets(width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """(id, n, bag, sketch) of a group's documents that have postings left: the sorted set, and its parity sketch."""
-
-    def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        ids, known = _ids(docs.column("id").combine_chunks())
-        mine = np.flatnonzero(known & np.isin(ids, wanted.column("id").to_numpy()))
-        raw, at = buffers(docs.column("text").combine_chunks().take(pa.array(mine)))
-        w = cut(raw, at, BLANK, True)
-        h, row = shingles(w, width)
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
-        h, row = h[new], row[new]
-        first = np.searchsorted(row, np.arange(len(mine) + 1))
-        bits, sketch = row * SKETCH_BITS + (h % _U(SKETCH_BITS)).astype(np.int64), []
-        odd = (np.bincount(bits, minlength=len(mine) * SKETCH_BITS) & 1).astype(bool).reshape(len(mine), SKETCH_BITS)
-        sketch = [x.tobytes() for x in np.packbits(odd, axis=1)]
-        bags = [h[first[k] : first[k + 1]].tobytes() for k in range(len(mine))]
-        return pa.Table.from_arrays([pa.array(ids[mine]), pa.array(np.diff(first).astype(np.int32)), pa.array(bags, pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "bag", "sketch"])
+def may_link(n: np.ndarray, m: np.ndarray, one: list[bytes], two: list[bytes], num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m elements with the sketches one and two can link."""
+    out, size = np.zeros(len(n), dtype=bool), np.array([(len(x), len(y)) for x, y in zip(one, two, strict=True)]).reshape(-1, 2) // 8
+    for k, l in np.unique(size, axis=0).tolist():  # noqa: E741
+        at = np.flatnonzero((size[:, 0] == k) & (size[:, 1] == l))
+        x = folded(np.frombuffer(b"".join(one[i] for i in at), dtype=np.uint64).reshape(len(at), k), min(k, l))
+        y = folded(np.frombuffer(b"".join(two[i] for i in at), dtype=np.uint64).reshape(len(at), l), min(k, l))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        out[at] = (n[at] + m[at] - apart) // 2 >= least_overlap(n[at], m[at], num, den)
+    return out
+
+
+def _near(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs (a, b) of (a, b, n, m, one, two) that their sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            at = pa.array(np.flatnonzero(may_link(n, m, batch.column(4).to_pylist(), batch.column(5).to_pylist(), num, den)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return run
+
+
+def allowed(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that sketches allow; written."""
+    of = lambda x, n, sketch: heads.select(F.col("id").alias(x), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    both = pairs.join(of("a", "n", "one"), "a").join(of("b", "m", "two"), "b").select("a", "b", "n", "m", "one", "two")
+    return written(both.mapInArrow(_near(num, den), "a long, b long").distinct())
+
+
+def _bags(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, bag) of rows (id, text): the sorted hashes of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, w in slices(batch.column(1), BLANK, lower=True, max_bytes=SLICE):
+                h, row = shingles(w, width)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+                h, row = h[new], row[new]
+                first = np.searchsorted(row, np.arange(w.rows + 1)).tolist()
+                bags = [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, w.rows), pa.array(bags, pa.binary())], ["id", "bag"])
 
     return run
 
@@ -294,13 +336,52 @@ def _verify(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links among pairs (a, b); written."""
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("bag").alias(f"bag_{x}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b")
+def _checked(pairs: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The links among written pairs (a, b); written. Sets are made only of texts that a pair names, and go once to each pair's b and once to each a."""
+
+    def of(x: str) -> DataFrame:
+        named = broadcast_if_small(written(pairs.select(F.col(x).alias("id")).distinct()))
+        bags = rows.select("id", "text").join(named, "id", "left_semi").mapInArrow(_bags(width), "id long, bag binary")
+        return bags.select(F.col("id").alias(x), F.col("bag").alias(f"bag_{x}"))
+
+    both = of("b").join(broadcast_if_small(pairs), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b")
     return written(both.mapInArrow(_verify(num, den), "a long, b long"))
 
 
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sketch) with sketches of POSTED_BITS at most."""
+    most = POSTED_BITS // 64
+    for batch in batches:
+        cut_ = lambda x: x if len(x) <= 8 * most else folded(np.frombuffer(x, dtype=np.uint64)[None, :], most).tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cut_(x) for x in batch.column(1).to_pylist()], pa.binary())], ["id", "sketch"])
+
+
+def _differences(sketches: list[bytes]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that counts the bits in which the sketches of i and j differ, after the larger is folded."""
+    size = np.array([len(x) for x in sketches]) // 8
+    levels, place = {}, {}
+    for k in np.unique(size).tolist():
+        mine = np.flatnonzero(size >= k)
+        at = np.zeros(len(sketches), dtype=np.int64)
+        at[mine] = np.arange(len(mine))
+        out = np.empty((len(mine), k), dtype=np.uint64)
+        for of in np.unique(size[mine]).tolist():
+            some = np.flatnonzero(size[mine] == of)
+            out[some] = folded(np.frombuffer(b"".join(sketches[x] for x in mine[some].tolist()), dtype=np.uint64).reshape(len(some), of), k)
+        levels[k], place[k] = out, at
+
+    def count(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        least, out = np.minimum(size[i], size[j]), np.zeros(len(i), dtype=np.int64)
+        for k in np.unique(least).tolist():
+            which = np.flatnonzero(least == k)
+            for low in range(0, len(which), max(1, PAIRS * 4 // k)):
+                now = which[low : low + max(1, PAIRS * 4 // k)]
+                out[now] = np.bitwise_count(levels[k][place[k][i[now]]] ^ levels[k][place[k][j[now]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    return count
+
+
 def _cross(num: int, den: int, nearest: int | None) -> Callable[[pa.Table], pa.Table]:
     """Candidates of some blocks of lists: pairs of different components that all bounds allow; nearest: so many of each two components."""
 
@@ -308,7 +389,8 @@ def _cross(num: int, den: int, nearest: int | None) -> Callable[[pa.Table], pa.T
         number = lambda c: rows.column(c).to_numpy().astype(np.int64)
         order = np.lexsort([number(c) for c in ("id", "n", "side", "y", "x", "kind", "token")])
         token, kind, x, y, side, ids, comp, n, place = (number(c)[order] for c in ("token", "kind", "x", "y", "side", "id", "component", "n", "place"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), SKETCH_BITS // 64)[order]
+        raw = rows.column("sketch").to_pylist()
+        differences = _differences([raw[k] for k in order.tolist()])
         new = np.append(True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
         half = np.cumsum(new) * 2
         # a row of the main component meets the other side of its block, one of the rest all later rows: both are sorted by size
@@ -320,7 +402,7 @@ def _cross(num: int, den: int, nearest: int | None) -> Callable[[pa.Table], pa.T
         for i, j in _ranges(low, high):
             ok = (comp[i] != comp[j]) & fits(n[i], n[j], place[i], place[j], num, den)
             i, j = i[ok], j[ok]
-            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            apart = differences(i, j)
             near = (n[i] + n[j] - apart) // 2 >= least_overlap(n[i], n[j], num, den)
             found.append(np.stack([i[near], j[near], apart[near]]))
         i, j, apart = np.concatenate(found, axis=1)
@@ -336,7 +418,7 @@ def _cross(num: int, den: int, nearest: int | None) -> Callable[[pa.Table], pa.T
     return run
 
 
-def _candidates(posts: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
+def _candidates(posts: DataFrame, heads: DataFrame, found: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
     """Pairs of a list whose documents are in different components, by blocks: the list's largest component against the others, and these against each other."""
     component = found.select(F.col("node").alias("id"), "component")
     member = written(posts.select("token", "id", "n", "place").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -345,7 +427,7 @@ def _candidates(posts: DataFrame, sets: DataFrame, found: DataFrame, num: int, d
     blocks = lambda m: F.ceil(m / BLOCK).cast("int")
     sizes = sizes.filter("components > 1").select("token", "main", blocks(F.col("m_main")).alias("b_main"), F.greatest(F.lit(1), blocks(F.col("m_all") - F.col("m_main"))).alias("b_rest"), "m_all")
     sizes = written(sizes)  # a table of its own, so that adaptive execution can split a very long list in the join
-    rows = member.join(sizes, "token").join(sets.select("id", "sketch"), "id")
+    rows = member.join(sizes, "token").join(heads.select("id", "sketch").mapInArrow(_folds, "id long, sketch binary"), "id")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     key = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
     in_main, rest = own(F.col("b_main")), own(F.col("b_rest"))
@@ -363,7 +445,16 @@ def _candidates(posts: DataFrame, sets: DataFrame, found: DataFrame, num: int, d
     return flat.groupBy("part").applyInArrow(_cross(num, den, nearest), "a long, b long").distinct()
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _one_of_equals(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of documents with equal sets, by digest: (a, b) links of each to the least, and (id, t) of the rows that needn't post."""
+    key = ["n", "a", "b"]
+    several = written(scanned.filter("id is not null and n > 0").groupBy(*key).agg(F.min("id").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m"))
+    # the classes are a table of their own: adaptive execution can split one with very many documents
+    others = written(scanned.filter("id is not null and n > 0").join(broadcast_if_small(several), key).filter("id <> least").select("id", "t", "least"))
+    return others.select(F.col("id").alias("a"), F.col("least").alias("b")), others.select("id", "t").distinct()
+
+
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; doc_id must be an integer column, other columns are ignored.
 
     Two documents link when den * (shingles they share) >= num * (shingles of either); component_id is
@@ -373,32 +464,32 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links with nothing. An empty table gives no rows.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.withColumn("t", F.xxhash64("text"))  # tells rows of one id apart
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups, buckets = size // group_bytes + 1, min(size // bucket_bytes + 1, MAX_BUCKETS)
+    buckets = min(size // bucket_bytes + 1, MAX_BUCKETS)
     cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (size // 512).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(list_levels(rows, cells, width))
-    posted = written(rows.mapInArrow(_post(lambda: shared.value, buckets, width, num, den), "key int, token binary, id binary, n binary, place binary, known binary"))
-    documents = posted.filter("key = -1").mapInArrow(_document_rows, "id long, n long, twin long")
-    posts = written(posted.filter("key >= 0").groupBy("key").applyInArrow(_meet(num, den), POSTING))
-    group = lambda: F.pmod(F.crc32(F.col("id").cast("string")), F.lit(groups)).cast("int").alias("g")
-    wanted = written(posts.select("id").distinct())
-    with_text = rows.filter("id is not null").select(group(), "id", "text")
-    if written_bytes(wanted) <= SMALL:
-        with_text = with_text.join(F.broadcast(wanted), "id", "left_semi").select("g", "id", "text")
-    wanted = wanted.select(group(), "id")
-    sets = written(with_text.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_sets(width), "id long, n int, bag binary, sketch binary"))
-    links = documents.filter("id <> twin").select(F.col("id").alias("a"), F.col("twin").alias("b"))
-    near = posts.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    links = links.union(_checked(near, sets, num, den))
+    scanned = written(rows.select("id", "t", "text").mapInArrow(_scan(cells, width), SCANNED))
+    shared = docs.sparkSession.sparkContext.broadcast(list_levels(scanned))
+    documents = scanned.filter("part is null")
+    equal, others = _one_of_equals(documents)
+    own = rows.filter("id is not null and text is not null").join(broadcast_if_small(written(others)), ["id", "t"], "left_anti")
+    posted = own.select("id", "text").mapInArrow(_post(lambda: shared.value, buckets, width, num, den), "key int, token binary, id binary, n binary, place binary")
+    posts = written(posted.groupBy("key").applyInArrow(_meet(num, den), POSTING))
+    near = allowed(posts.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), documents, num, den)
+    links = equal.union(_checked(near, own, width, num, den))
     found = components(links)
+    refuted = near
     for nearest in (2, None):
-        more = _checked(_candidates(posts, sets, found, num, den, nearest), sets, num, den)
+        pairs = _candidates(posts, documents, found, num, den, nearest)
+        pairs = allowed(pairs.join(broadcast_if_small(refuted), ["a", "b"], "left_anti"), documents, num, den)
+        more = _checked(pairs, own, width, num, den)
         if not more.isEmpty():
             links = found.selectExpr("node as a", "component as b").union(more)
             found = components(links)
+        refuted = refuted.union(pairs)
     kind = docs.schema[doc_id].dataType.simpleString()
     out = documents.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
 
 
 #: DuckDB SQL of op10.

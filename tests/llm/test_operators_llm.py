@@ -8,7 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from marquee.llm import chat, decontaminate, langid, line_dedup, mixing, pii, quality, shingle_join, substring_dedup, url_rules
+from marquee.llm import chat, decontaminate, frames, langid, line_dedup, mixing, pii, quality, shingle_join, substring_dedup, url_rules
 from marquee.llm.components import components
 from pyspark.sql import functions as F
 
@@ -239,7 +239,9 @@ def test_relative_targets(spark):
     assert ("http://free.io/3", "http://bad.net/?a&b") in {tuple(r) for r in url_rules.html_edges(pages).collect()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_components(spark, kind):
+    """Of 64-bit numbers one task joins small tables; others take the rounds of steps."""
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 470)] + [(999, k) for k in range(500, 560)] + [(5, 5), (7, None)]
     parent = {}
@@ -254,7 +256,7 @@ def test_components(spark):
         if a is not None and b is not None and a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    got = components(spark.createDataFrame(edges, "a int, b int")).collect()
+    got = components(spark.createDataFrame(edges, f"a {kind}, b {kind}")).collect()
     assert sorted((n, c) for n, c in got) == sorted((n, find(n)) for n in parent)
 
 
@@ -413,7 +415,7 @@ def test_shingle_join(spark, docs, small, monkeypatch):
     if small:
         monkeypatch.setattr(shingle_join, "BLOCK", 2)
         monkeypatch.setattr(shingle_join, "LONG_LIST", 1)
-        monkeypatch.setattr(shingle_join, "SMALL", 0)
+        monkeypatch.setattr(frames, "SMALL", 0)
     rows = docs.select("doc_id", "text").collect()
     sets = defaultdict(list)
     for i, t in rows:
@@ -433,10 +435,56 @@ def test_shingle_join(spark, docs, small, monkeypatch):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     want = Counter((i, len(s), None if i is None else find(i)) for i, all_ in sets.items() for s in all_)
-    got = shingle_join.link_components(docs, bucket_bytes=5000, group_bytes=5000).collect()
+    got = shingle_join.link_components(docs, bucket_bytes=5000).collect()
     assert Counter(map(tuple, got)) == want and sum(find(i) != i for i in ids) > 5
 
 
+def test_sketches_never_exclude_a_link():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    excluded = 0
+    for n in (1, 5, 200, 256, 257, 900, 5000):
+        for extra in (0, n // 50, n // 20, n // 5, n):
+            one = r.choice(1 << 40, n, replace=False).astype(np.uint64)
+            two = np.concatenate([one[extra:], r.choice(1 << 40, extra, replace=False).astype(np.uint64) + np.uint64(1 << 41)])
+            two = np.append(two, r.choice(1 << 40, n // 30).astype(np.uint64) + np.uint64(1 << 42))
+            sides = [shingle_join.sketches(np.sort(x), np.zeros(len(x), dtype=np.int64), np.array([len(x)]))[0] for x in (one, two)]
+            may = shingle_join.may_link(np.array([len(one)]), np.array([len(two)]), sides[:1], sides[1:], 90, 100)[0]
+            apart = len(np.setxor1d(one, two))
+            assert shingle_join._differences(sides)(np.array([0]), np.array([1]))[0] <= apart
+            assert may or 100 * len(np.intersect1d(one, two)) < 90 * len(np.union1d(one, two))
+            excluded += not may
+    assert excluded >= 12
+
+
+def test_templated_texts_make_few_candidates(spark, monkeypatch):
+    """300 long texts of one template, each two about 0.84 alike: none links, and hardly a pair gets past the sketches."""
+    r = random.Random(21)
+    base = [f"w{r.randrange(3000)}" for _ in range(3000)]
+    variants = [[f"v{k}x{j}" for j in range(10)] for k in range(90)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in range(90):
+            w[33 * k + 7] = r.choice(variants[k])
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for _, t in rows[:20])]
+    alike = [len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k]]
+    assert 0.8 < min(alike) and max(alike) < 0.9
+    counted, allowed = [], shingle_join.allowed
+
+    def counting(*args):
+        out = allowed(*args)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_join, "allowed", counting)
+    got = shingle_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.component_id == x.doc_id for x in got)
+    assert sum(counted) < 300
+
+
 def test_divide_skip_against_sets():
     import numpy as np
 

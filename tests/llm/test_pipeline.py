@@ -37,7 +37,7 @@ def test_stages(spark, sf):
         if name != names[-1]:
             assert out.columns == columns and out.schema == docs.schema
         if name == "near_duplicates":
-            classes = link_components(docs).collect()
+            classes = link_components(docs, width=5, num=80, den=100).collect()
             assert kept == {r.component_id for r in classes}
         if name == "decontamination":
             assert ids - kept == {r[0] for r in find_contamination(docs, table(spark, sf, "benchmark")).filter("contaminated").collect()}
@@ -82,7 +82,11 @@ def test_near_duplicates_against_brute_force(spark):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    again = docs.union(docs.filter("doc_id % 7 = 0")).union(docs.filter("doc_id = 0"))
+    kept = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, again, "").collect()]
+    assert len(kept) == len(set(kept))
+    assert set(kept) == {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    kept = set(kept)
     assert kept == {k for k in range(len(rows)) if find(k) == k}
     assert 1 not in kept and 3 in kept
 
