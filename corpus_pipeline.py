@@ -19,28 +19,37 @@ from marquee.llm.line_dedup import drop_boilerplate_lines
 from marquee.llm.mixing import mix
 from marquee.llm.shingle_join import link_components
 
-#: A text whose most frequent language labels a smaller share of its words is rejected: it has no leading language, or one that isn't learned.
-MIN_LANG_SCORE = 1 / 3
+#: A text is rejected if its most frequent language labels a smaller share of its words: it has no main language, or one that isn't learned.
+MIN_LANG_SCORE = 1 / 2
+#: The languages whose texts are kept; None: all that are learned.
+KEEP_LANGS: tuple[str, ...] | None = None
 #: Near copies: texts whose sets of shingles of so many words have a Jaccard similarity of at least NUM / DEN. The query op10 has limits of its own.
 SHINGLE_WORDS, SHINGLE_NUM, SHINGLE_DEN = 5, 80, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that labels a third of their words, go.
+    """Documents without a letter, without a language that labels half of their words, or of a language that isn't kept, go.
 
-    The model learns from the labelled rows of docs itself, without those that op7 holds out; if no
-    row is labelled, all rows stay.
+    Those that stay without lang get the language found. The model learns from the labelled rows of
+    docs itself, without those that op7 holds out; if no row is labelled, all rows stay as they are.
+    Null and empty texts have no letter. Repeated rows are judged each, very long texts whole.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     if not model.langs:
         return docs
-    names = tuple(free_name(docs, x) for x in ("lang_pred", "lang_score", "lang_spans"))
+    lang, score, spans = names = tuple(free_name(docs, x) for x in ("lang_pred", "lang_score", "lang_spans"))
     out = identify(docs, model, tuple(docs.columns), "text", names)
-    return out.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_LANG_SCORE)).select(*docs.columns)
+    out = out.filter((F.col(lang) != "und") & (F.col(score) >= MIN_LANG_SCORE))
+    if KEEP_LANGS is not None:
+        out = out.filter(F.col(lang).isin(*KEEP_LANGS))
+    return out.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from the texts; n_chars, if it is there, is the new length."""
+    """Boilerplate lines of a source go from the texts; n_chars, if it is there, is the new length.
+
+    All rows stay, also those whose text is empty now. Null texts and sources stay as they are; repeated rows are pages each.
+    """
     dropped = free_name(docs, "n_dropped")
     out = drop_boilerplate_lines(docs, host="source", text="text", n_dropped=dropped)
     if "n_chars" in docs.columns:
@@ -67,7 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule finds go."""
+    """Documents that the contamination rule finds go: null and empty texts never do. Repeated rows are judged each, very long texts whole; without a benchmark all rows stay."""
     prefix = "found_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
@@ -76,7 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, source_size, target, taken): what the mix takes of each document."""
+    """(doc_id, size, source_size, target, taken): what the mix takes of each row of docs; null and empty texts have size 0. Other odd cases are as in mix()."""
     return mix(docs)
 
 

@@ -1,6 +1,7 @@
 """Language identification of mixed-language text (operator 7).
 
-Script ranges narrow the candidates of each word; byte trigrams give each word a score per language;
+Script ranges narrow the candidates: a text is scored only in languages that use a script of its letters, and a
+word counts against those that don't use its own. Byte trigrams give each word a score per candidate;
 Viterbi with a penalty for each switch labels the words, and runs of one label are the spans. The
 trigram counts are learned from a bounded, hash-chosen sample of labelled rows (SAMPLE_PER_LANG).
 """
@@ -80,11 +81,36 @@ class Model:
         self.logs = np.ascontiguousarray(logs - logs.max(axis=1, keepdims=True) if self.langs else logs, dtype=np.float32)
         share = np.array([script_words[k] / max(script_words[k].sum(), 1) for k in self.langs]).reshape(len(self.langs), SCRIPTS)
         uses = (share >= SCRIPT_SHARE).T
+        self.uses = uses.copy()
         self.known = uses.any(axis=1) if self.langs else np.zeros(SCRIPTS, dtype=bool)
         uses[~uses.any(axis=1)] = True  # a script that no language uses tells nothing
         uses[0] = True
         self.barred = np.where(uses, 0, -SCRIPT_PENALTY).astype(np.float32)
 
+    def candidates(self, scripts_seen: int) -> tuple[int, ...]:
+        """The languages that use one of the scripts, given as bits; all languages if none does."""
+        seen = [k for k in range(1, SCRIPTS) if scripts_seen >> k & 1]
+        found = np.flatnonzero(self.uses[seen].any(axis=0)) if seen and self.langs else np.zeros(0, dtype=np.int64)
+        return tuple(found.tolist()) or tuple(range(len(self.langs)))
+
+    def narrowed(self, langs: tuple[int, ...]) -> Model:
+        """The model of some of its languages only."""
+        if len(langs) == len(self.langs):
+            return self
+        out = object.__new__(Model)
+        out.langs, out.known, at = [self.langs[k] for k in langs], self.known, list(langs)
+        out.logs, out.uses, out.barred = np.ascontiguousarray(self.logs[:, at]), self.uses[:, at], np.ascontiguousarray(self.barred[:, at])
+        return out
+
+
+def scripts_seen(texts: pa.Array) -> np.ndarray:
+    """For each text, the scripts of its letters as bits."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for _, w in slices(texts):
+        bits = np.append(np.int64(1) << scripts(w).astype(np.int64), 0)
+        out.append(np.where(np.diff(w.row_at) > 0, np.bitwise_or.reduceat(bits, w.row_at[:-1]), 0) & ~1 if w.rows else out[0])
+    return np.concatenate(out)
+
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """A model from the rows of docs (doc_id, text, lang) with text and lang; about per_lang rows of a language, chosen by a hash of doc_id."""
@@ -149,14 +175,15 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     lang_pred has most of the words with a letter (ties: the first in code-point order); score is its
     share of them, where words in a script that it doesn't use count for no language. spans: array of (lang, start, end), in words, end exclusive. Null text, or text
     without a letter, is `und` with score 0 and no spans; so is all text if the model has no language.
+    Repeated rows are labelled each; an empty table gives no rows. A very long text is labelled whole: time follows its
+    length, memory its words times its candidate languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        m = shared.value
+    def labelled(texts: pa.Array, m: Model) -> list[pa.Array]:
         known, n_langs = np.array([*m.langs, "und"], dtype=object), len(m.langs)
         langs, scores, n_spans, parts = [], [], [], []
-        for low, w in slices(pc.utf8_lower(texts), max_bytes=max(1 << 16, SLICE * 32 // max(n_langs, 32))):
+        for low, w in slices(texts, max_bytes=max(1 << 16, SLICE * 32 // max(n_langs, 32))):
             has = np.zeros(w.rows, dtype=bool)
             by_word, kind = np.zeros((len(w.start), n_langs), dtype=np.float32), np.zeros(len(w.start), dtype=np.int64)
             # scored in parts of some rows, to hold little at once; labelled all together
@@ -197,4 +224,18 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(n_spans))])
         return [pa.array(known[np.concatenate(langs)], pa.string()), pa.array(np.concatenate(scores)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
 
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        texts, m = pc.utf8_lower(texts), shared.value
+        seen = scripts_seen(texts)
+        of = {int(x): m.candidates(int(x)) for x in np.unique(seen)}
+        if len(set(of.values())) < 2:
+            return labelled(texts, m.narrowed(next(iter(of.values()))) if of else m)
+        parts, rows = [], []
+        for langs in sorted(set(of.values())):
+            mine = np.flatnonzero(np.isin(seen, [x for x, own in of.items() if own == langs]))
+            rows.append(mine)
+            parts.append(labelled(texts.take(pa.array(mine)), m.narrowed(langs)))
+        back = pa.array(np.argsort(np.concatenate(rows)))
+        return [pa.concat_arrays(c).take(back) for c in zip(*parts, strict=True)]
+
     return appended(docs, keep, text, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` array<struct<lang:string,start:bigint,end:bigint>>", compute)
