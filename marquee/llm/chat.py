@@ -41,16 +41,13 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    start = F.array().cast("array<struct<role:string,body:string>>")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        role, body = escape_role(t["role"]), escape(t["text"])
-        last = F.element_at(blocks, -1)
-        joined = F.struct(role.alias("role"), F.concat(last["body"], F.lit(BREAK), body).alias("body"))
-        grown = F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(joined))
-        return F.when((F.size(blocks) > 0) & (last["role"] == role), grown).otherwise(F.concat(blocks, F.array(F.struct(role.alias("role"), body.alias("body")))))
-
-    blocks = F.aggregate("turns", start, merge)
+    # blocks begin where the role changes; each is a slice of the turns, so the work follows the turns' number
+    changes = lambda t, i: (i == 0) | (t["role"] != F.get("turns", i - 1)["role"])
+    marked = F.transform("turns", lambda t, i: F.when(changes(t, i), i + 1))
+    turns = turns.withColumn("starts", F.filter(marked, lambda i: i.isNotNull()))
+    block = lambda s, k: F.slice("turns", s, F.coalesce(F.get("starts", k + 1), F.size("turns") + 1) - s)
+    body = lambda ts: F.array_join(F.transform(ts, lambda t: escape(t["text"])), BREAK)
+    blocks = F.transform("starts", lambda s, k: F.struct(escape_role(F.element_at("turns", s)["role"]).alias("role"), body(block(s, k)).alias("body")))
     text = F.array_join(F.transform(blocks, lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), b["body"], F.lit(END), F.lit("\n"))), "")
     return turns.select("conv_id", text.alias("formatted"))
 
