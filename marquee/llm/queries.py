@@ -12,10 +12,10 @@ from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import MIX_SQL, mix
 from .pii import KINDS, find_personal_data, learn
-from .quality import judge_quality
+from .quality import QUALITY_SQL, judge_quality
 from .shingle_join import SHINGLE_SQL, link_components
 from .substring_dedup import SUBSTRING_SQL, remove_repeats
-from .url_rules import URL_SQL, judge
+from .url_rules import MIRROR_SQL, URL_SQL, judge, mirror_edges
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], rows.schema)
+    extra = spark.sql("SELECT * FROM VALUES (-1, 0, 'user', :said), (-1, 1, 'assistant', :said) AS v(conv_id, turn, role, text)", {"said": TRICKY})
+    extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
     return digests(format_conversations(rows.unionByName(extra)))
 
 
@@ -71,8 +72,14 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join)}
+def url_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over classes that the table itself has: pages that share a path carry each other's decisions."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, mirror_edges(pages))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join, url_mirrors)}
 ORACLES = {
-    "op1_mixing": MIX_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL,
-    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL,
+    "op1_mixing": MIX_SQL, "op3_quality": QUALITY_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL,
+    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL, "url_mirrors": MIRROR_SQL,
 }

@@ -101,13 +101,24 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return tags.select("src", resolve(F.col("base"), target).alias("dst")).filter("dst <> ''")
 
 
+def mirror_key(url: Column) -> Column:
+    """What pages that mirror each other share: the path without a last / or .html; empty if there is none."""
+    return F.regexp_replace(path_of(url), r"(/|\.html)$", "")
+
+
+def mirror_edges(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(src, dst) that link every page with a node of its mirror_key(), for corpora whose hosts carry the same pages."""
+    key = mirror_key(F.col(url))
+    return pages.select(F.col(url).alias("src"), F.concat(F.lit("http://mirror"), key).alias("dst")).filter(key != "")
+
+
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages (page_id, url, html).
 
     edges: (src, dst) urls of redirects and canonical links; if None, those found in html. Urls that
     no page has can link pages and carry a rule's decision too. Null urls, or urls without ://, have
     empty host and path, fit no rule and no class, and get the default; so does a url whose class has no ruled member.
-    Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    Repeated rows are judged each; an empty table gives no rows; other columns are ignored. Very long urls and html are read whole.
     """
     edges = html_edges(pages) if edges is None else edges
     nodes = written(edges.select(node_of(F.col("src")).alias("a"), node_of(F.col("dst")).alias("b")).filter("a <> '' and b <> ''").distinct())
@@ -147,3 +158,7 @@ pr AS (SELECT p.page_id, p.host, p.path, p.tail, arg_max(r.rule, length(r.rule))
        LEFT JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.pre) GROUP BY ALL)
 SELECT pr.page_id, pr.host, pr.path, pr.rule, coalesce(pr.own, cls.v, 'allow') AS verdict FROM pr LEFT JOIN cls ON pr.host || pr.tail = cls.node
 """
+
+#: DuckDB SQL of judge(pages, mirror_edges(pages)).
+MIRROR_SQL = URL_SQL[: URL_SQL.index("t AS (SELECT host")] + r"""e AS (SELECT DISTINCT host || tail AS a, 'mirror' || regexp_replace(path, '(/|\.html)$', '') AS b FROM p WHERE host || tail <> '' AND regexp_replace(path, '(/|\.html)$', '') <> ''),
+""" + URL_SQL[URL_SQL.index("both_ways AS") :]

@@ -180,10 +180,10 @@ def test_line_dedup(spark, docs):
         lines = (t or "").split("\n")
         bad = [bool(x.strip()) and s is not None and counts[s, x.strip()] >= 3 and pages[s] >= 20 and counts[s, x.strip()] > 0.05 * pages[s] for x in lines]
         worded = sum(bool(x.strip()) for x in lines)
-        cut = 0 < sum(bad) < worded
+        cut = sum(bad) > 0
         assert got[k].text == ("\n".join(x for x, b in zip(lines, bad, strict=True) if not b) if cut else t)
         assert (got[k].n_lines, got[k].n, got[k].bad) == (worded, sum(bad) if cut else 0, "x")
-    assert got[200].text == "Boiler plate"
+    assert got[200].text == "" and line_dedup.drop_boilerplate_lines(frame, spare_whole=True).filter("doc_id = 200").first().text == "Boiler plate"
     assert line_dedup.drop_boilerplate_lines(docs).columns == docs.columns
 
 

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
 
 import corpus_pipeline
+import duckdb
+import pyarrow as pa
 import pytest
 from marquee.llm.decontaminate import find_contamination
 from marquee.llm.frames import table, written
+from marquee.llm.langid import held_out, identify, train
+from marquee.llm.line_dedup import LINE_DEDUP_SQL
+from marquee.llm.mixing import MIX_SQL
 from marquee.llm.queries import ORACLES, QUERIES
 from marquee.llm.shingle_join import link_components
 from oracle import same_rows
 from pyspark.sql import functions as F
 
 from .data import documents
+from .test_operators_llm import brute_spans
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -22,7 +30,7 @@ def test_query_equals_its_sql(name, spark, sf, duck):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 def test_stages(spark, sf):
@@ -36,6 +44,21 @@ def test_stages(spark, sf):
         assert kept <= ids
         if name != names[-1]:
             assert out.columns == columns and out.schema == docs.schema
+        if name == "language_id":
+            model = train(docs.filter(~held_out(F.col("doc_id"))))
+            found = {r.doc_id for r in identify(docs, model).collect() if r.lang_pred != "und" and r.score >= 0.5}
+            assert kept == found
+        if name in ("line_dedup", "mixing"):
+            # the operator's SQL on the stage's own input
+            con = duckdb.connect()
+            con.register("documents", pa.Table.from_pylist([r.asDict() for r in docs.collect()]))
+            want = con.sql({"line_dedup": LINE_DEDUP_SQL, "mixing": MIX_SQL}[name])
+            if name == "mixing":
+                assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
+            else:
+                digest = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+                assert sorted((r.doc_id, digest(r.text)) for r in out.collect()) == sorted((r[0], r[3]) for r in want.fetchall())
+                assert all(r.n_chars == len(r.text) for r in out.collect())
         if name == "near_duplicates":
             classes = link_components(docs, width=5, num=80, den=100).collect()
             assert kept == {r.component_id for r in classes}
@@ -58,6 +81,40 @@ def test_stages_on_odd_tables(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()
 
 
+def test_op2_strings(spark, sf):
+    """The registered query's digests and strings against plain patterns, for every document."""
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    rows = QUERIES["op2_personal_data"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        base = [f"{k}:{s}:{e}" for k, s, e in brute_spans(texts[r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        said = [x for x in r.spans.split(",") if x]
+        assert [x for x in said if x in base] == base
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x.startswith(k) for x in base) for k in ("email", "ip", "card", "phone")]
+        order = [(("email", "ip", "card", "phone").index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in said)]
+        assert order == sorted(order) and all(0 <= s < e <= len(texts[r.doc_id]) for _, s, e in order)
+
+
+def test_op7_on_held_out_rows(spark, sf):
+    rows = QUERIES["op7_langid"](spark, sf).collect()
+    truth = {r.doc_id: (r.lang, zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in table(spark, sf, "documents").collect()}
+    assert len(rows) == len(truth) and all(r.held_out == truth[r.doc_id][1] and 0 <= r.score <= 1 for r in rows)
+    held = [r.lang_pred == truth[r.doc_id][0] for r in rows if r.held_out]
+    assert held and sum(held) >= 0.97 * len(held)
+
+def test_language_stage(spark):
+    """A text that halves share stays if one language has most words; texts without a letter go; a missing lang is filled in."""
+    r = random.Random(3)
+    words = {"en": "the of and house with that river".split(), "ru": "дом река и что это был свет".split()}
+    rows = [(k, " ".join(r.choices(words[g], k=40)), g if k % 5 else None) for k, g in enumerate(r.choices(list(words), k=200))]
+    rows += [(900, " ".join(r.choices(words["en"], k=30) + r.choices(words["ru"], k=10)), None), (901, "12 + 3", "en"), (902, None, None), (903, "", "ru"), (904, "日本 語 文", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    truth = {k: ("ru" if "о" in t or "и" in t else "en") for k, t, _ in rows[:200]}
+    assert got == truth | {900: "en"}
+
+
 def test_near_duplicates_against_brute_force(spark):
     """Shingles of five words at 0.8: two separated edits of a word in 104 link, which three words at 0.9 do not."""
     r = random.Random(14)
