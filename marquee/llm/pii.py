@@ -4,12 +4,17 @@ Patterns with checks give the base spans, which are observed labels. Other menti
 personal data (numbers, handles, incomplete addresses) are the free nodes of a random field over the
 document: neighbours in the text share chain potentials, and mentions that repeat or resemble each
 other share skip potentials, however far apart. Loopy sum-product message passing labels the free
-nodes; those not labelled O are added spans. Node and edge potentials are log-odds of counts over a
-bounded, hash-chosen sample of documents (SAMPLE), with the base spans as labels.
+nodes; those not labelled O are added spans.
+
+The potentials are learned by held-out masking on a bounded, hash-chosen sample of documents (SAMPLE): half of
+the base spans are hidden, and described as they would look if they had lost what makes them match. From what
+they look like, their neighbours and their twins, a regression learns to find their labels again,
+among free mentions that share nothing with any base span, which count as O.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -27,10 +32,16 @@ from .kernel import buffers
 #: Fixed values of the contract: kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-#: Documents that the potentials are learned from, about.
-SAMPLE = 20000
-#: Log-odds are clipped, so that agreement with an observed twin can overrule what a mention looks like.
-NODE_CLIP, CHAIN_CLIP, SKIP_CLIP = 2.5, 1.0, 6.0
+#: Documents that the potentials are learned from, about; kinds of examples among them, the most frequent first.
+SAMPLE, EXAMPLES = 20000, 50000
+#: Steps of the regression, its rate, and the weight of the prior that keeps potentials small.
+STEPS, RATE, PRIOR = 300, 0.1, 1.0
+#: Log-odds against O that a free mention needs to become a span: 9 to 1.
+LEAST_ODDS = 2.2
+#: What a mention looks like counts for at most so much: a free mention has failed every pattern, so looks alone don't make it a span, nor do they keep a twin from it.
+NODE_CLIP = 2.0
+#: The skip potential where a sample has nothing to learn it from, and the mean of its prior: twins share a name, an address or nine digits.
+DEFAULT_SKIP = 6.0
 ROUNDS, DAMPING = 12, 0.3
 #: Digits that two numbers must share at their ends to be alike, and the least length of a handle.
 ALIKE_DIGITS, HANDLE = 9, 5
@@ -68,11 +79,11 @@ class Mention:
 
 @dataclass
 class Weights:
-    """Log-odds: of a feature for each label, of labels of neighbours, and of twins having one label."""
+    """Potentials: of a feature for each label, of labels of neighbours, and of twins having one label."""
 
     node: dict[str, np.ndarray] = field(default_factory=dict)
     chain: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
-    skip: float = SKIP_CLIP
+    skip: float = DEFAULT_SKIP
 
 
 def _at_signs(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -103,24 +114,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _describe(text: str, m: Mention) -> None:
+def _describe(text: str, m: Mention, broken: bool = False) -> None:
+    """Sets features and keys; broken: features as if the mention of a base kind had lost its +, its domain, its check digit."""
     said = text[m.start : m.end]
-    digits = NOT_DIGIT.sub("", said)
+    seen = said if not broken else said.partition("@")[0] if m.label == 1 else said.lstrip("+")
+    digits = NOT_DIGIT.sub("", seen)
     before = LAST_WORD.search(text, max(0, m.start - 24), m.start)
     m.features = (
-        f"digits {min(len(digits), 20)}", f"marks {''.join(sorted(set(said) & set('@. -()')))}", f"luhn {len(digits) >= 13 and luhn(digits)}",
-        f"plus {said[0] == '+'}", f"after {zlib.crc32(before[1].lower().encode()) % 64 if before else 'none'}",
+        "any", f"digits {min(len(digits) // 4, 5)}", f"marks {''.join(sorted(set(seen) & set('@. -()')))}", f"letters {any(c.isalpha() for c in seen)}", f"plus {seen[:1] == '+'}",
+        f"luhn {not broken and len(digits) >= 13 and luhn(digits)}", f"after {zlib.crc32(before[1].lower().encode()) % 64 if before else 'none'}",
     )
-    keys = []
+    digits = NOT_DIGIT.sub("", said)
+    parts = [x for x in NOT_DIGIT.split(said) if x]
     if "@" in said:
-        keys.append("name " + said.partition("@")[0].lower())
+        key = "name " + said.partition("@")[0].lower()
     elif len(digits) >= ALIKE_DIGITS and len(digits) * 2 > len(said):
-        keys.append("digits " + digits[-ALIKE_DIGITS:])
-    elif digits and said.count(".") == 3 and all(said.split(".")):
-        keys.append("ip " + ".".join(p.lstrip("0") for p in said.split(".")))
+        key = "digits " + digits[-ALIKE_DIGITS:]
+    elif len(parts) == 4 and not any(c.isalpha() for c in said) and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in parts):
+        key = "ip " + ".".join(str(int(x)) for x in parts)
     else:
-        keys.append("name " + said.lower())
-    m.keys = tuple(keys)
+        key = "name " + said.lower()
+    m.keys = (key,)
 
 
 def mentions(text: str) -> list[Mention]:
@@ -151,8 +165,58 @@ def mentions(text: str) -> list[Mention]:
     return out
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Weights:
-    """Weights from about `sample` rows of docs with text, chosen by a hash of the text; repeated texts are chosen together."""
+def examples(text: str) -> Iterator[tuple[int, tuple[str, ...], tuple[int, ...], int, int]]:
+    """(label, features, twins of each label, label before, label after) of a text's hidden base spans and of its free mentions that have no base twin."""
+    nodes = mentions(text)
+    hidden = [m.base and zlib.crc32(f"{text[m.start : m.end]} {m.start}".encode()) % 2 == 0 for m in nodes]
+    for m, h in zip(nodes, hidden, strict=True):
+        _describe(text, m, h)
+    known = {k for m in nodes if m.base for k in m.keys}
+    observed = [m.label if m.base and not h else 0 for m, h in zip(nodes, hidden, strict=True)]
+    twins = np.zeros((len(nodes), len(LABELS)), dtype=np.int64)
+    for a, b, skip in edges(nodes):
+        if skip:
+            twins[a, observed[b]] += 1
+            twins[b, observed[a]] += 1
+    for k, (m, h) in enumerate(zip(nodes, hidden, strict=True)):
+        if h or not m.base and not known & set(m.keys):
+            near = [observed[j] if 0 <= j < len(nodes) else 0 for j in (k - 1, k + 1)]
+            yield m.label, m.features, tuple(np.minimum(twins[k, 1:], 2).tolist()), *near
+
+
+def fit(rows: list[tuple[int, tuple[str, ...], tuple[int, ...], int, int, int]]) -> Weights:
+    """Weights that maximise the likelihood of the examples' labels (each with its number at the end), with a Gaussian prior."""
+    out, n_labels = Weights(), len(LABELS)
+    if not any(r[0] for r in rows):
+        return out
+    names = sorted({f for r in rows for f in r[1]})
+    place = {f: k for k, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, [place[f] for f in r[1]]] = 1
+    label, before, after, n = (np.array([r[k] for r in rows]) for k in (0, 3, 4, 5))
+    twins = np.concatenate([np.zeros((len(rows), 1)), np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), -1)], axis=1)
+    eye = np.eye(n_labels)
+    prev, next_ = eye[before] * (before > 0)[:, None], eye[after] * (after > 0)[:, None]
+    now = [np.zeros((len(names), n_labels)), np.zeros((n_labels, n_labels)), np.array(DEFAULT_SKIP)]
+    mean, square = [np.zeros_like(p) for p in now], [np.zeros_like(p) for p in now]
+    for step in range(1, STEPS + 1):
+        score = x @ now[0] + prev @ now[1] + next_ @ now[1].T + now[2] * twins
+        score -= score.max(axis=1, keepdims=True)
+        p = np.exp(score)
+        gap = n[:, None] * (eye[label] - p / p.sum(axis=1, keepdims=True))
+        slope = [x.T @ gap - PRIOR * now[0], prev.T @ gap + gap.T @ next_ - PRIOR * now[1], (gap * twins).sum() - PRIOR * (now[2] - DEFAULT_SKIP)]
+        for k, g in enumerate(slope):  # Adam
+            mean[k], square[k] = 0.9 * mean[k] + 0.1 * g, 0.999 * square[k] + 0.001 * g * g
+            now[k] = now[k] + RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+    # a label's potential is what it has over O
+    theta = now[0] - now[0][:, :1]
+    out.node, out.chain, out.skip = dict(zip(names, theta, strict=True)), now[1], max(0.0, float(now[2]))
+    return out
+
+
+def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE, most: int = EXAMPLES) -> Weights:
+    """Weights from about `sample` rows of docs with text, chosen by a hash of the text; repeated texts are chosen together. Of their kinds of examples the `most` frequent count."""
     rows = docs.select(F.col(f"`{text}`").alias("text")).filter("text is not null")
     share = min(1.0, sample / max(docs.count(), 1))
 
@@ -160,38 +224,13 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Weights:
         n: Counter[str] = Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                found = mentions(x)
-                twins: dict[str, int] = {}
-                for k, m in enumerate(found):
-                    if not m.features:
-                        _describe(x, m)
-                    n.update(f"node {f}\t{m.label}" for f in m.features)
-                    if k:
-                        n[f"chain\t{found[k - 1].label} {m.label}"] += 1
-                    for key in m.keys if m.base else ():
-                        if key in twins:
-                            n[f"skip\t{int(twins[key] == m.label)}"] += 1
-                        twins[key] = m.label
+                n.update(json.dumps(e) for e in examples(x))
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["what", "n"])
 
     chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    counts = {w: n for w, n in chosen.mapInArrow(count, "what string, n long").groupBy("what").agg(F.sum("n")).toLocalIterator()}
-    out, raw = Weights(), {}
-    for what, n in counts.items():
-        kind, _, value = what.partition("\t")
-        if kind.startswith("node "):
-            raw.setdefault(kind[5:], np.full(len(LABELS), 0.5))[int(value)] += n
-        elif kind == "chain":
-            out.chain[tuple(map(int, value.split()))] += n
-    total = sum(raw.values(), np.zeros(len(LABELS))) + 1
-    for f, n in raw.items():
-        logs = np.log(n / total)
-        out.node[f] = np.clip(logs - logs[0], -NODE_CLIP, NODE_CLIP)
-    pair = out.chain + 1
-    apart = np.outer(pair.sum(axis=1), pair.sum(axis=0)) / pair.sum()
-    out.chain = np.clip(np.log(pair / apart), -CHAIN_CLIP, CHAIN_CLIP)
-    out.skip = float(np.clip(np.log((counts.get("skip\t1", 0) + 50) / (counts.get("skip\t0", 0) + 1)), 0, SKIP_CLIP))
-    return out
+    kinds = chosen.filter(F.col("text").rlike("[0-9@]")).mapInArrow(count, "what string, n long").groupBy("what").agg(F.sum("n").alias("n"))
+    found = kinds.orderBy(F.desc("n"), "what").limit(most).collect()
+    return fit([(e[0], tuple(e[1]), tuple(e[2]), e[3], e[4], n) for e, n in ((json.loads(w), n) for w, n in found)])
 
 
 def edges(nodes: list[Mention]) -> list[tuple[int, int, bool]]:
@@ -206,18 +245,17 @@ def edges(nodes: list[Mention]) -> list[tuple[int, int, bool]]:
     return out
 
 
-def message_passing(nodes: list[Mention], w: Weights) -> np.ndarray:
-    """The label of each node after loopy sum-product message passing; base labels are observed."""
+def beliefs(nodes: list[Mention], w: Weights) -> np.ndarray:
+    """For each node, the log-beliefs of its labels after loopy sum-product message passing; base labels are observed. Exact where the graph has no loop."""
     n, none = len(LABELS), np.zeros(len(LABELS))
-    # looks alone never make a free node personal data: it failed the pattern of every kind
-    own = np.array([np.clip(sum((w.node.get(f, none) for f in m.features), none), -NODE_CLIP, 0) for m in nodes])
+    own = np.array([np.clip(sum((w.node.get(f, none) for f in m.features), none), -NODE_CLIP, NODE_CLIP) for m in nodes])
     for k, m in enumerate(nodes):
         if m.base:
             own[k] = -50.0
             own[k, m.label] = 0.0
     links = edges(nodes)
     if not links:
-        return own.argmax(axis=1)
+        return own
     a, b, skips = (np.array(x) for x in zip(*links, strict=True))
     same = np.where(np.eye(n, dtype=bool), w.skip, 0.0)
     forward = np.where(skips[:, None, None], same, w.chain)
@@ -237,7 +275,15 @@ def message_passing(nodes: list[Mention], w: Weights) -> np.ndarray:
         message = DAMPING * message + (1 - DAMPING) * new
     belief = own.copy()
     np.add.at(belief, target, message)
-    return belief.argmax(axis=1)
+    return belief
+
+
+def message_passing(nodes: list[Mention], w: Weights) -> np.ndarray:
+    """The label of each node: a free one's best if it beats O by LEAST_ODDS, else O."""
+    belief = beliefs(nodes, w)
+    best = belief.argmax(axis=1)
+    sure = belief[np.arange(len(nodes)), best] - belief[:, 0] >= LEAST_ODDS
+    return np.where([m.base for m in nodes], [m.label for m in nodes], np.where(sure, best, 0))
 
 
 def label(text: str, w: Weights) -> list[tuple[str, int, int, bool]]:
