@@ -4,79 +4,89 @@ A shard is about SLICE bytes of whole documents, cut where it exceeds SHARD_SYMB
 mapped to the benchmark's alphabet; a word outside it can be in no match, so it separates runs, and
 runs shorter than the shortest window go (no occurrence is lost). All benchmark windows are searched
 backwards in the shard's index, their occurrences located by sampled suffix positions, and the spans
-merged. The benchmark is read in blocks of at most BLOCK_BYTES, each broadcast by itself: what a
-broadcast holds is bounded, whatever the benchmark's size, and all blocks are searched in every shard.
+merged. Tasks build blocks of the benchmark, of about BLOCK_BYTES of text each, and write them to the
+shared folder. One pass over the documents searches as many blocks as PASS_BYTES allow, which is all
+that the driver reads and broadcasts at once; a larger benchmark takes further passes, each of which
+adds to the spans and items of the last. A shard has one block decoded at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fm_index import FMIndex
-from .frames import appended
-from .kernel import NOT_ALNUM, slices
+from .frames import free_name, give_back, small_batches, written
+from .kernel import NOT_ALNUM, slices, window_hashes
 
 WINDOW = 13
 #: A document is contaminated if at least one word in this many is hit.
 ONE_IN = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, PASS_BYTES = 4 << 20, 128 << 20
 SHARD_SYMBOLS = 1 << 20
 SLICE = 4 << 20
 #: Occurrences located at once.
 LOCATE = 1 << 18
+#: Patterns searched at once.
+PATTERNS = 1 << 16
 
 
 @dataclass
 class Block:
-    """Some benchmark items: sorted word hashes (symbol = place + 1), windows by length, and each window's items."""
+    """Some benchmark items: sorted word hashes (symbol = place + 1), their texts as symbols, and by length of the windows where each different one begins, and its items."""
 
     alphabet: np.ndarray
+    symbols: np.ndarray
     windows: dict[int, np.ndarray]
     items: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length: offsets by window, item numbers
     names: list[str]
 
+    def patterns(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(length, number of the first, windows as rows of symbols), some windows at a time."""
+        for k, at in self.windows.items():
+            for low in range(0, len(at), PATTERNS):
+                yield k, low, self.symbols[at[low : low + PATTERNS, None] + np.arange(k)]
+
 
 def make_block(names: list[str], texts: list[str | None], width: int) -> Block:
-    hashes, lengths = [], []
+    hashes, lengths = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for _, w in slices(pa.array(texts, pa.string()), NOT_ALNUM, lower=True):
         hashes.append(w.hashes())
         lengths.append(w.counts)
     words, counts = np.concatenate(hashes), np.concatenate(lengths)
     alphabet, symbols = np.unique(words, return_inverse=True)
-    symbols, at = symbols + 1, np.cumsum(counts) - counts
-    found: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-    for i, (start, n) in enumerate(zip(at, counts, strict=True)):
-        if n:
-            k = min(int(n), width)
-            rows = np.lib.stride_tricks.sliding_window_view(symbols[start : start + n], k)
-            found.setdefault(k, ([], []))[0].append(rows)
-            found[k][1].append(np.full(len(rows), i))
+    begin, size = np.cumsum(counts) - counts, np.minimum(counts, width)
     windows, items = {}, {}
-    for k, (rows, owner) in found.items():
-        windows[k], which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owner)]), axis=1)
-        items[k] = (np.searchsorted(pairs[0], np.arange(len(windows[k]) + 1)), pairs[1])
-    return Block(alphabet, windows, items, names)
-
-
-def read_blocks(benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The benchmark (item_id, text), a block at a time; rows with null item_id are left out."""
-    names, texts, size = [], [], 0
-    for item, text in benchmark.selectExpr("cast(item_id as string)", "text").filter("item_id is not null").toLocalIterator():
-        names.append(item)
-        texts.append(text)
-        size += len(text or "") + 8
-        if size >= block_bytes:
-            yield make_block(names, texts, width)
-            names, texts, size = [], [], 0
-    if names:
-        yield make_block(names, texts, width)
+    for k in np.unique(size[size > 0]).tolist():
+        mine = np.flatnonzero(size == k)
+        n = counts[mine] - k + 1
+        owner = np.repeat(mine, n)
+        at = np.repeat(begin[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        _, first, which = np.unique(window_hashes(words, at, k), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([which.reshape(-1), owner]), axis=1)
+        windows[k], items[k] = at[first].astype(np.int32), (np.searchsorted(pairs[0], np.arange(len(first) + 1)), pairs[1].astype(np.int32))
+    return Block(alphabet, (symbols + 1).astype(np.int32), windows, items, names)
+
+
+def build_blocks(benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, size, pickled) of the benchmark (item_id, text); written. Rows with null item_id or text are left out, equal rows count once."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def build(group: pa.Table) -> pa.Table:
+        pairs = sorted(set(zip(group.column("item").to_pylist(), group.column("text").to_pylist(), strict=True)))
+        raw = pickle.dumps(make_block([i for i, _ in pairs], [t for _, t in pairs], width))
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int64()), "size": pa.array([len(raw)], pa.int64()), "pickled": pa.array([raw], pa.binary())})
+
+    dealt = rows.distinct().withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(size // block_bytes + 1)))
+    return written(dealt.groupBy("block").applyInArrow(build, "block long, size long, pickled binary"))
 
 
 def _hits(block: Block, symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -103,7 +113,7 @@ def _hits(block: Block, symbols: np.ndarray, first: np.ndarray) -> Iterator[tupl
         within = inside < np.repeat(length, length + 1)
         text[within] = symbols[word[within]]
         index = FMIndex(text, len(block.alphabet) + 1)
-        for k, patterns in block.windows.items():
+        for k, number, patterns in block.patterns():
             low, high = index.search(patterns)
             which = np.flatnonzero(high > low)
             n_rows = (high - low)[which]
@@ -111,27 +121,31 @@ def _hits(block: Block, symbols: np.ndarray, first: np.ndarray) -> Iterator[tupl
                 if len(group):
                     n = n_rows[group]
                     rows = np.repeat(low[which[group]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield word[index.locate(rows)], k, np.repeat(which[group], n)
+                    yield word[index.locate(rows)], k, number + np.repeat(which[group], n)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
-    """The columns keep of every row of docs, and (n_words, n_hit, n_items, items_sha256, contaminated, spans), their names after prefix.
+def _pass(docs: DataFrame, keep: Sequence[str], text: str, names: tuple[str, str, str], load: Callable[[], list[bytes]]) -> DataFrame:
+    """The columns keep of docs, and the spans and items found so far (names; null at first), to which the blocks of load() are added."""
+    small_batches(docs.sparkSession)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    spans, items, counted = names
+    started = spans in docs.columns
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(f"`{spans}` array<struct<start:bigint,end:bigint>>, `{items}` array<string>, `{counted}` long").fields])
+    out_names, n_kept = [f.name for f in schema.fields], len(keep)
 
-    spans: the merged hit words, array of (start, end), in words, end exclusive. Null or empty text has
-    no words and isn't contaminated; benchmark items with null id are ignored, with null or empty text
-    match nothing; an id that is repeated counts once; an empty benchmark hits nothing. Repeated rows
-    of docs are judged each. Very long texts are handled whole, in shards of their runs.
-    """
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in read_blocks(benchmark, width, block_bytes)]
-    empty = hashlib.sha256(b"").hexdigest()
-
-    def shard(words: np.ndarray, n_words: np.ndarray) -> list[np.ndarray | list]:
+    def shard(words: np.ndarray, n_words: np.ndarray, before: tuple[list, list] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
         first = np.concatenate([[0], np.cumsum(n_words)])
         change = np.zeros(len(words) + 1, dtype=np.int64)
-        items: dict[int, set[str]] = {}
-        for shared in blocks:
-            block = shared.value
+        found: dict[int, set[str]] = {}
+        if before is not None:
+            for row, (ranges, own) in enumerate(zip(*before, strict=True)):
+                for x in ranges:
+                    change[first[row] + x["start"]] += 1
+                    change[first[row] + x["end"]] -= 1
+                if own:
+                    found[row] = set(own)
+        for raw in load():
+            block = pickle.loads(raw)
             place = np.searchsorted(block.alphabet, words)
             known = block.alphabet[np.minimum(place, len(block.alphabet) - 1)] == words if len(block.alphabet) else np.zeros(len(words), dtype=bool)
             for at, k, window in _hits(block, np.where(known, place + 1, 0), first):
@@ -140,30 +154,73 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
                 offsets, owner = block.items[k]
                 pairs = np.unique((np.searchsorted(first, at, side="right") - 1) * len(offsets) + window)
                 for row, x in zip(*divmod(pairs, len(offsets)), strict=True):
-                    items.setdefault(int(row), set()).update(block.names[i] for i in owner[offsets[x] : offsets[x + 1]])
-            if len(blocks) > 1:
-                del shared._value  # one block in a worker's memory at a time
+                    found.setdefault(int(row), set()).update(block.names[i] for i in owner[offsets[x] : offsets[x + 1]])
         hit = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
-        n_hit = np.diff(np.concatenate([[0], np.cumsum(hit[1:-1])])[first])
         edge = np.zeros(len(words) + 2, dtype=bool)
         edge[first + 1] = True  # spans end where documents do
         start = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[1:-1]))
         end = np.flatnonzero(hit[1:-1] & (~hit[2:] | edge[2:])) + 1
         row = np.searchsorted(first, start, side="right") - 1
-        digest, n_items = [empty] * len(n_words), np.zeros(len(n_words), dtype=np.int64)
-        for r, found in items.items():
-            digest[r], n_items[r] = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found)
-        return [n_words, n_hit, n_items, digest, start - first[row], end - first[row], np.bincount(row, minlength=len(n_words))]
-
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        done = [shard(w.hashes(), w.counts) for _, w in slices(texts, NOT_ALNUM, lower=True, max_bytes=SLICE)]
-        n_words, n_hit, n_items, digest, start, end, n_spans = (np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*done, strict=True))
-        spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n_spans)]), pa.int32())
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words)), pa.ListArray.from_arrays(offsets, spans)]
-
-    fields = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "spans": "array<struct<start:bigint,end:bigint>>"}
-    return appended(docs, keep, text, ", ".join(f"`{prefix}{k}` {v}" for k, v in fields.items()), compute)
+        return start - first[row], end - first[row], np.bincount(row, minlength=len(n_words)), [sorted(found.get(r, ())) for r in range(len(n_words))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done, n_words = [], []
+            for low, w in slices(batch.column(n_kept), NOT_ALNUM, lower=True, max_bytes=SLICE):
+                before = tuple(batch.column(n_kept + k).slice(low, w.rows).to_pylist() for k in (1, 2)) if started else None
+                n_words.append(w.counts)
+                done.append(shard(w.hashes(), w.counts, before))
+            start, end, n_spans = (np.concatenate(c) for c in list(zip(*done, strict=True))[:3])
+            ranges = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
+            found = [ranges, pa.array([x for d in done for x in d[3]], pa.list_(pa.string()))]
+            found[0] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]), pa.int32()), ranges)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *found, pa.array(np.concatenate(n_words), pa.int64())], out_names)
+        give_back()
+
+    more = [F.col(f"`{spans}`"), F.col(f"`{items}`")] if started else []
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("the text"), *more).mapInArrow(run, schema)
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES, prefix: str = "", pass_bytes: int = PASS_BYTES,
+) -> DataFrame:
+    """The columns keep of every row of docs, and (n_words, n_hit, n_items, items_sha256, contaminated, spans), their names after prefix.
+
+    spans: the merged hit words, array of (start, end), in words, end exclusive. Null or empty text has
+    no words and isn't contaminated; benchmark items with null id are ignored, with null or empty text
+    match nothing; an id that is repeated counts once; an empty benchmark hits nothing. Repeated rows
+    of docs are judged each. Very long texts are handled whole, in shards of their runs.
+    """
+    context = docs.sparkSession.sparkContext
+    blocks = build_blocks(benchmark, width, block_bytes)
+    passes: list[list[int]] = [[]]
+    room = pass_bytes
+    for number, size in blocks.select("block", "size").orderBy("block").collect():
+        if passes[-1] and size > room:
+            passes.append([])
+            room = pass_bytes
+        passes[-1].append(number)
+        room -= size
+    names = (free_name(docs, "hit_spans"), free_name(docs, "hit_items"), free_name(docs, "hit_words"))
+    state, columns = docs, list(dict.fromkeys([*keep, text]))
+    for k, numbers in enumerate(passes):
+        raw = [bytes(r[0]) for r in blocks.filter(F.col("block").isin(numbers)).orderBy("block").select("pickled").collect()] if numbers else []
+        shared = context.broadcast(raw)
+        load = lambda shared=shared: shared.value
+        if k == len(passes) - 1:
+            state = _pass(state, keep, text, names, load)
+        else:
+            state = written(_pass(state, columns, text, names, load).drop(names[2]))
+            shared.unpersist()
+    n_hit = F.aggregate(names[0], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = {
+        "n_words": F.col(names[2]), "n_hit": n_hit, "n_items": F.size(names[1]).cast("long"), "items_sha256": F.sha2(F.array_join(names[1], ","), 256),
+        "contaminated": (n_hit > 0) & (n_hit * ONE_IN >= F.col(names[2])), "spans": F.col(names[0]),
+    }
+    return state.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(f"{prefix}{k}") for k, v in out.items()])
 
 
 #: DuckDB SQL of op8.

@@ -416,8 +416,8 @@ def test_training_learns_every_language(spark):
 # ---- 8
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
-def test_decontamination(spark, docs, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_bytes"), [(8 << 20, 1 << 30), (300, 1 << 30), (300, 6000)])
+def test_decontamination(spark, docs, block_bytes, pass_bytes):
     passage = " ".join((docs.filter("length(text) between 200 and 2000").orderBy("doc_id").first().text).split()[5:25])
     items = [(1, passage.upper()), (2, "the"), (3, None), (4, ""), (5, "of w1"), (None, "x"), (1, passage), (6, "日本語 текст"), (7, passage + " unseen")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -438,7 +438,7 @@ def test_decontamination(spark, docs, block_bytes):
                     found |= wins[tuple(w[p : p + k])]
         hits += bool(cov)
         want[(r.doc_id, len(w), len(cov), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), 0 < len(w) <= 20 * len(cov))] += 1
-    got = decontaminate.find_contamination(docs, bench, block_bytes=block_bytes)
+    got = decontaminate.find_contamination(docs, bench, block_bytes=block_bytes, pass_bytes=pass_bytes)
     assert hits and Counter(tuple(x[:6]) for x in got.collect()) == want
 
 
