@@ -100,16 +100,16 @@ def _bin(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(BINS)).astype(np.int64)
 
 
-def _summed(docs: DataFrame, count: Callable[[str, Words, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(lang, at, n): the sums of what count(language, words, rows of the language) finds, (at, n), over all rows with text and lang."""
+def _summed(docs: DataFrame, counter: Callable[[Words], Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(lang, at, n): the sums of what counter(words)(language, rows of the language) finds, (at, n), over all rows with text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for low, w in slices(batch.column(1)):
-                own = langs[low : low + w.rows]
+                own, count = langs[low : low + w.rows], counter(w)
                 for lang in sorted(set(own)):
-                    at, n = count(lang, w, own == lang)
+                    at, n = count(lang, own == lang)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lang", "at", "n"])
 
     rows = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(run, "lang string, at long, n long")
@@ -122,11 +122,16 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     Every language has one, however few its rows; its size is bounded by 1 / COMMON_SHARE words.
     """
 
-    def binned(lang: str, w: Words, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def binned(w: Words) -> Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         classes, hashes = histograms(w)
-        x = np.concatenate([classes[mine].sum(axis=0), np.bincount(_bin(hashes[mine[w.row_of_word()]]), minlength=BINS)])
-        at = np.flatnonzero(x)
-        return at, x[at]
+        bins, row = _bin(hashes), w.row_of_word()
+
+        def count(lang: str, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x = np.concatenate([classes[mine].sum(axis=0), np.bincount(bins[mine[row]], minlength=BINS)])
+            at = np.flatnonzero(x)
+            return at, x[at]
+
+        return count
 
     table = written(_summed(docs, binned))
     words = table.filter(F.col("at") >= CLASSES).groupBy(F.col("lang").alias("of_lang")).agg(F.sum("n").alias("total"))
@@ -142,10 +147,16 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
             bins.setdefault(lang, np.zeros(BINS, dtype=bool))[at - CLASSES] = True
     shared = docs.sparkSession.sparkContext.broadcast(bins)
 
-    def each_word(lang: str, w: Words, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = w.byte_ranges(w.start, w.end, LOWER)[mine[w.row_of_word()]]
-        at, n = np.unique(hashes[shared.value[lang][_bin(hashes)]] if lang in shared.value else hashes[:0], return_counts=True)
-        return at.view(np.int64), n
+    def each_word(w: Words) -> Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        hashes = w.byte_ranges(w.start, w.end, LOWER)
+        bins, row = _bin(hashes), w.row_of_word()
+
+        def count(lang: str, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = mine[row] & shared.value[lang][bins] if lang in shared.value else np.zeros(len(hashes), dtype=bool)
+            at, n = np.unique(hashes[own], return_counts=True)
+            return at.view(np.int64), n
+
+        return count
 
     least = docs.sparkSession.createDataFrame([(k, COMMON_SHARE * n) for k, n in totals.items()], "of_lang string, least double")
     found = _summed(docs, each_word).join(F.broadcast(least), F.col("lang") == F.col("of_lang")).filter("n >= least")
