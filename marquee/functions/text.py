@@ -133,17 +133,6 @@ def pad(n: Column, width: int = 2) -> Column:
     return F.when(F.length(n.cast("string")) >= width, n.cast("string")).otherwise(F.lpad(n.cast("string"), width, "0"))
 
 
-def episode_tokens(x: Column) -> Column:
-    """The first season and episode marks of a text in any spelling, as sNNeNN, sNN or eNN; null without any.
-
-    The batch form of plans.query.normalize_tokens(), which rewrites all marks of one query.
-    """
-    group = lambda p, k: F.nullif(F.regexp_extract(x, rx(p), k), F.lit("")).cast("int")
-    season = F.coalesce(group(V.QUERY_COMBINED, 1), group(V.CROSS_EPISODE, 1), group(V.QUERY_SEASON, 1), group(V.QUERY_SEASON, 2))
-    episode = F.coalesce(group(V.QUERY_COMBINED, 2), group(V.CROSS_EPISODE, 2), group(V.QUERY_EPISODE, 1))
-    return F.nullif(F.concat(F.coalesce(F.concat(F.lit("s"), pad(season)), F.lit("")), F.coalesce(F.concat(F.lit("e"), pad(episode)), F.lit(""))), F.lit(""))
-
-
 #: First letters of two decorative alphabets.
 ALPHABETS = {"bold": (0x1D400, 0x1D41A), "mono": (0x1D670, 0x1D68A)}
 

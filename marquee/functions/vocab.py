@@ -81,6 +81,13 @@ QUERY_COMBINED = rf"\bs(?:eason)?{GAP}(\d{{1,2}}){GAP}(?:episode|ep|e){GAP}(\d{{
 QUERY_SEASON = rf"\bseason{GAP}(\d{{1,2}})\b|\bs{GAP}(\d{{1,2}})\b"
 QUERY_EPISODE = rf"\b(?:episode|ep){GAP}(\d{{1,3}})\b"
 QUERY_APART = rf"\b(s\d{{2}}){GAP}(e\d{{2,3}})\b"
+#: In the order they apply, with the letter before the number of each group; the last one joins marks that stand apart.
+QUERY_MARKS = ((QUERY_COMBINED, "se"), (CROSS_EPISODE, "se"), (QUERY_SEASON, "ss"), (QUERY_EPISODE, "e"), (QUERY_APART, "se"))
+NUMBER_BOTH = r"s(?P<season>\d{1,2})e(?P<episode>\d{1,3})"
+NUMBER_SEASON, NUMBER_EPISODE = r"s(?P<season>\d{1,2})\b", r"e(?P<episode>\d{1,3})\b"
+NUMBER_WORDS = r"\b(?:s\d{1,2}(?:e\d{1,3})?|e\d{1,3})\b"
+REQUEST_SEASON = r"(?is)(?P<rest>.*?)\s*(?:\bs(?P<season>\d{1,2}))?"
+REQUEST_YEAR = r"\b((?:19|20)\d{2})\b"
 QUERY_FILLER = r"\b(?:all\s+episodes?|complete\s+series|full\s+season)\b"
 MOVIE_WORD = r"\b(movie|movies|film|films)\b"
 EPISODE_RANGE = r"e\s*(\d{1,3})\s*[-–_]\s*e?\s*(\d{1,3})"

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import extract, scalar, text
+from .functions import extract, parse, scalar, text
 from .functions import vocab as V
 from .operators import engage, fuzzy, groups, mutate, rollup, search
 from .plans.query import prepare
@@ -437,13 +437,53 @@ def readable_times(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", scalar.readable_time(F.col("event_id") * 977 % 1000000).alias("readable"), scalar.greeting(F.col("ts")).alias("greeting"))
 
 
-@query("SELECT event_id, 's' || lpad((event_id % 30 + 1)::VARCHAR, 2, '0') || 'e' || lpad((event_id % 120)::VARCHAR, greatest(2, length((event_id % 120)::VARCHAR))::INT, '0') AS token FROM events")
+@query("""WITH t AS (SELECT event_id, 's' || lpad((event_id % 30 + 1)::VARCHAR, 2, '0') || 'e' || lpad((event_id % 120)::VARCHAR, greatest(2, length((event_id % 120)::VARCHAR))::INT, '0') AS token FROM events)
+SELECT event_id, 'loki ' || token || ' or s07 to ' || token || CASE event_id % 3 WHEN 0 THEN ' e05' ELSE ' x' END AS said FROM t""")
 def normalize_tokens(spark: SparkSession, sf: str) -> DataFrame:
     e, k = X.table(spark, sf, "events"), F.col("event_id")
     s, n = (k % 30 + 1).cast("string"), (k % 120).cast("string")
-    kinds = [F.concat(F.lit("loki season "), s, F.lit(" episode "), n), F.concat(F.lit("loki season"), s, F.lit("episode"), n), F.concat(F.lit("loki S"), s, F.lit("."), F.lit("EP"), n), F.concat(F.lit("loki "), s, F.lit("x"), n)]
+    kinds = [F.concat(F.lit("season "), s, F.lit(" episode "), n), F.concat(F.lit("season"), s, F.lit("episode"), n), F.concat(F.lit("S"), s, F.lit("."), F.lit("EP"), n), F.concat(s, F.lit("x"), n)]
     spelled = F.element_at(F.array(*kinds), (k % 4 + 1).cast("int"))
-    return e.select("event_id", text.episode_tokens(spelled).alias("token"))
+    said = F.concat(F.lit("loki "), spelled, F.lit("  or Season 7 to "), spelled, F.when(k % 3 == 0, " episode 5").otherwise(" x"))
+    return e.select("event_id", parse.normalized(said).alias("said"))
+
+
+def _marks(x: str) -> str:
+    for pattern, letters in V.QUERY_MARKS:
+        by = "\\1\\2" if pattern == V.QUERY_APART else "s¤00\\1\\2" if letters == "ss" else "".join(f"{c}¤00\\{k}" for k, c in enumerate(letters, 1))
+        x = _sub(_sub(x, pattern, by), "¤0*([0-9]{2,})", "\\1")
+    return x
+
+
+def _spaced(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+_ASKED_TEXTS = f"{X.FILES.partition(',' + chr(10) + 'files AS')[0]}, asked AS (SELECT file_id, {X.ASKED_SQL} AS said FROM named)"
+
+
+@query(f"WITH {_ASKED_TEXTS} SELECT file_id, {_spaced(_sub(_sub('said', '[^a-zA-Z0-9_' + chr(92) + 's]', ' '), X.STOP_SQL, ''))} AS said FROM asked")
+def cleaned_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return X.asked(spark, sf).select("file_id", parse.cleaned(F.col("said"), X.STOP_PHRASES).alias("said"))
+
+
+_BARE = _sub("said", V.FACET_LANGUAGE)
+_NUMBER = lambda p, k: f"coalesce(nullif(regexp_extract(normalized, '(?i){p}', {k}), '')::INT, 0)"
+
+
+@query(f"""WITH {_ASKED_TEXTS}, parsed AS (SELECT *, {_spaced(_sub(_marks(_sub(_BARE, V.YEAR)), V.QUERY_FILLER, ''))} AS normalized, coalesce(nullif(regexp_extract({_BARE}, '(?i){V.YEAR}', 1), '')::INT, 0) AS year FROM asked)
+SELECT file_id, normalized, {_spaced(_sub('normalized', V.NUMBER_WORDS, ''))} AS title, CASE WHEN regexp_matches(normalized, '(?i){V.NUMBER_BOTH}') THEN {_NUMBER(V.NUMBER_BOTH, 1)} ELSE {_NUMBER(V.NUMBER_SEASON, 1)} END AS season,
+CASE WHEN regexp_matches(normalized, '(?i){V.NUMBER_BOTH}') THEN {_NUMBER(V.NUMBER_BOTH, 2)} ELSE {_NUMBER(V.NUMBER_EPISODE, 1)} END AS episode, year,
+array_to_string(regexp_extract_all(lower(said), '{V.FACET_LANGUAGE}'), ',') AS languages, regexp_matches(said, '(?i){V.MOVIE_WORD}') AS wants_movie FROM parsed""")
+def parsed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    out = parse.parsed(X.asked(spark, sf), "said")
+    return out.select("file_id", "normalized", "title", "season", "episode", "year", F.array_join("languages", ",").alias("languages"), "wants_movie")
+
+
+@query(f"""WITH {_ASKED_TEXTS}, r AS (SELECT file_id, nullif(regexp_extract(trim(said), '(?i)\\bs(\\d{{1,2}})$', 1), '')::INT AS season, trim(regexp_replace(trim(said), '(?i)\\s*\\bs\\d{{1,2}}$', '')) AS rest FROM asked)
+SELECT file_id, season, nullif(regexp_extract(rest, '{V.REQUEST_YEAR}', 1), '') AS year, trim(regexp_replace(rest, '(?s)^(.*?){V.REQUEST_YEAR}(.*)$', '\\1\\3')) AS title FROM r""")
+def manual_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return parse.requested(X.asked(spark, sf), "said").select("file_id", "season", "year", "title")
 
 
 def repeat_collapse(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-01-01 00:00:00"
 STOP_PHRASES = ("movie", "please", "send")
+STOP_SQL = r"\b(?:please|movie|send)\b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +157,18 @@ FEED = """feed AS (SELECT p_name AS base_name, file_name AS filename, CASE WHEN
   CASE WHEN k % 3 <> 0 THEN '#SERIES' ELSE '#MOVIE' END AS tag FROM named JOIN part ON k = p_partkey)"""
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, said): what users might type for each named file, its marks in many spellings."""
+    k, name = F.col("k"), F.col("file_name")
+    spelled = _pick(k, 7, ["season 2 episode 3", "Season3Episode12", "s4 ep 5", "1x02", "season 6", "episode 7", "S01.E09"])
+    ending = _pick(k, 5, [" all episodes", " movie", " 2019 please", " s08", ""])
+    return named_files(spark, sf_dir).select("file_id", F.concat(name, F.lit("  "), spelled, F.lit(", "), ending).alias("said"))
+
+
+ASKED_SQL = """(file_name || '  ' || ['season 2 episode 3', 'Season3Episode12', 's4 ep 5', '1x02', 'season 6', 'episode 7', 'S01.E09'][k % 7 + 1] || ', '
+  || [' all episodes', ' movie', ' 2019 please', ' s08', ''][k % 5 + 1])"""
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, user_id, text): chat messages, some with links, mentions of the admin and language words."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")

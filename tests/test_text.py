@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from marquee.functions import extract, scalar, text
+from marquee.functions import extract, parse, scalar, text
 from marquee.functions import vocab as V
 from marquee.operators import fuzzy, rollup, search
 from marquee.plans import query as Q
@@ -19,7 +19,7 @@ def value(spark, column):
 @pytest.mark.parametrize("said", ["season 1 episode 2", "season1episode2", "s01 e02", "s01.e02", "s1e2", "S01_EP02", "1x02"])
 def test_episode_tokens(spark, said):
     assert Q.normalize(said) == "s01e02"
-    assert value(spark, text.episode_tokens(F.lit(f"loki {said}"))) == "s01e02"
+    assert value(spark, parse.normalized(F.lit(f"loki {said}"))) == "loki s01e02"
 
 
 @pytest.mark.parametrize("name,title", [("Shiddat 2021 480p Hindi BluRay", "Shiddat"), ("Loki S02E01 1080p WEBRip", "Loki"), ("You S01E01 Hindi", "You")])
@@ -78,6 +78,20 @@ def test_phrase_gap_against_a_model(spark):
         assert {k: g for k, g in got} == {k: model_gap(w, wanted) for k, w in enumerate(rows)}
 
 
+def test_parsing_on_driver_and_in_columns(spark):
+    r = random.Random(16)
+    parts = ["Loki", "season 2", "Season2episode 3", "s01 e002", "S1.E2", "3x4", "ep 5", "e7", "hindi", "TAMIL", "1999", "2035", "movie", "all episodes", "dom's", "S.W.A.T", "é", "send", "s5", "-", "full season"]
+    rows = [r.choice(["", " "]) + r.choice([" ", "  ", "."]).join(r.choices(parts, k=r.randint(0, 7))) for _ in range(400)]
+    frame = spark.createDataFrame([(x,) for x in rows], "x string")
+    for x in parse.parsed(frame, "x").collect():
+        q = Q.parse(x.x)
+        assert (x.normalized, x.title, x.season, x.episode, x.year, tuple(x.languages), x.wants_movie) == (q.normalized, q.title, q.season, q.episode, q.year, q.languages, q.wants_movie), x.x
+    for x in parse.requested(frame, "x").collect():
+        assert (x.title, x.year, x.season) == Q.title_year_season(x.x), x.x
+    for x, a, b in frame.select("x", parse.cleaned(F.col("x"), ("send", "all")), parse.normalized(F.col("x"))).collect():
+        assert (a, b) == (Q.clean(x, ("send", "all")), Q.normalize(x)), x
+
+
 def test_strip_tech_on_driver_and_in_columns(spark):
     r = random.Random(6)
     words = ["Loki", "S02E01", "s3", "1999", "1080p", "web-dl", "hindi", "dom's", "S.W.A.T", "é", "DDP5.1", "x"]
