@@ -33,9 +33,7 @@ class Catalog:
         if q is None:
             return found, None, 0
         if lang:
-            rows = search.in_language(found, lang)
-            total = rows.count()
-            return rows.offset(offset).limit(limit), (offset + limit if offset + limit < total else None), total
+            return search.counted(found.filter(search.names(lang)), lambda rows: search.in_language(rows, lang), offset, limit)
         return search.page(found, q, offset, limit)
 
     def facets(self, asked: str) -> DataFrame:

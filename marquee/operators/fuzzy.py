@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,19 @@ def per_word_score(wanted: list[str], candidate_words: Column) -> Column:
     return F.floor(sum((best(w) for w in wanted[1:]), best(wanted[0])) / len(wanted)).cast("int")
 
 
+def may_score(wanted: list[str], candidate_words: Column, least: int) -> Column:
+    """Whether per_word_score() can reach `least`: a word's share is bounded by its edit distance, which changes and
+    removals take part in at most once each, and every other word can give 100 at most."""
+    share = least * len(wanted) - 100 * (len(wanted) - 1)
+
+    def near(w: str) -> Column:
+        total = lambda c: F.length(c) + len(w)
+        alike = lambda c: (F.abs(F.length(c) - len(w)) <= 2) & (100 * (total(c) - F.levenshtein(F.lit(w), c)) >= (share - 1) * total(c))
+        return F.exists(candidate_words, lambda c: alike(c) | (text.collapse(c) == collapse(w)))
+
+    return reduce(and_, [near(w) for w in wanted], F.lit(True))
+
+
 def word_count_fits(wanted: list[str], candidate_words: Column) -> Column:
     return F.size(candidate_words) <= len(wanted) + 1
 
@@ -62,7 +76,7 @@ def spell_candidates(titles: DataFrame, q: Query, least: int = V.SPELL_LEAST, li
     letters = collapse(" ".join(wanted))
     rows = titles.withColumn("words", text.words(F.col("base")))
     same = text.collapse(F.col("base")) == letters
-    rows = rows.filter(same | word_count_fits(wanted, F.col("words")))
+    rows = rows.filter(same | word_count_fits(wanted, F.col("words")) & may_score(wanted, F.col("words"), least))
     scored = rows.withColumn("score", F.when(same, 100).otherwise(per_word_score(wanted, F.col("words"))))
     return scored.filter(F.col("score") >= least).orderBy(F.desc("score"), "base").limit(limit).select("base", "original", "score")
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
@@ -19,20 +22,19 @@ def quoted(x: str) -> str:
 
 
 def matches(x: Column, q: Query, norm: str | None = None) -> Column:
-    """Whether a text has the query: its letters in a row, or all its words, or the phrase."""
+    """Whether a text has the query: its letters in a row, or all its words, or the phrase.
+
+    A word is looked for with a plain search first, which spares most texts the pattern; texts beyond ASCII have
+    letters that only the pattern equates.
+    """
     norm = q.raw if norm is None else norm
-    found = F.lit(False)
-    if letters := collapse(q.title or norm):
-        found = found | text.collapse(x).contains(letters)
+    low, plain = F.lower(x), F.octet_length(x) == F.length(x)
+    bounded = lambda w, pattern: (~plain | low.contains(w.lower())) & x.rlike(text.rx(pattern))
+    found = low.contains(norm.lower()) if " " in norm else bounded(norm, rf"(\b|[._\-+\[\]()\s]){quoted(norm)}(\b|[._\-+\[\]()\s]|$)")
     if words := [w for w in norm.split() if len(w) > 1]:
-        every = F.lit(True)
-        for w in words:
-            every = every & x.rlike(text.rx(rf"\b{quoted(w)}\b"))
-        found = found | every
-    if " " in norm:
-        found = found | F.lower(x).contains(norm.lower())
-    else:
-        found = found | x.rlike(text.rx(rf"(\b|[._\-+\[\]()\s]){quoted(norm)}(\b|[._\-+\[\]()\s]|$)"))
+        found = found | reduce(and_, [bounded(w, rf"\b{quoted(w)}\b") for w in words])
+    if letters := collapse(q.title or norm):
+        found = found | low.rlike("[^a-z0-9]*".join(letters))
     return F.coalesce(found, F.lit(False))
 
 
@@ -123,15 +125,33 @@ def ranked(found: DataFrame, q: Query) -> DataFrame:
     return found.orderBy(*[F.desc(k) for k in rank_keys(q)], F.asc("file_id"))
 
 
+def top(found: DataFrame, q: Query, limit: int = V.RANKED_ROWS) -> DataFrame:
+    """The best rows of the ranking with their place: the window without a key runs over `limit` rows at most."""
+    order = [*[F.desc(k) for k in rank_keys(q)], F.asc("file_id")]
+    return ranked(found, q).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def page(found: DataFrame, q: Query, offset: int = 0, limit: int = V.PAGE_SIZE) -> tuple[DataFrame, int | None, int]:
     """(rows of the page, next offset or None at the end, total)."""
-    total = found.count()
-    return ranked(found, q).offset(offset).limit(limit), (offset + limit if offset + limit < total else None), total
+    return counted(found, lambda rows: ranked(rows, q), offset, limit)
+
+
+def counted(found: DataFrame, ordered: Callable[[DataFrame], DataFrame], offset: int, limit: int) -> tuple[DataFrame, int | None, int]:
+    """As page(), in any order: one pass counts what it orders, and reads the rows of the page, which are few."""
+    seen = Observation()
+    rows = ordered(found.observe(seen, F.count(F.lit(1)).alias("total"))).offset(offset).limit(limit)
+    kept = found.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    total = seen.get["total"]
+    return kept, (offset + limit if offset + limit < total else None), total
+
+
+def names(lang: str) -> Column:
+    return F.lower("file_name").contains(lang.lower())
 
 
 def in_language(found: DataFrame, lang: str) -> DataFrame:
     """Those whose name has the language as a substring; this path is not ranked but in the order of ids."""
-    return found.filter(F.lower("file_name").contains(lang.lower())).orderBy("file_id")
+    return found.filter(names(lang)).orderBy("file_id")
 
 
 def both_texts() -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, parse, scalar, text
@@ -146,27 +146,25 @@ def search_basic(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(_files(spark, sf), prepare(ASKED, X.STOP_PHRASES)).select("file_id", "file_name", "store")
 
 
-def _placed(rows: DataFrame, asked: str) -> DataFrame:
-    """Ranked rows with their place; the window has no key, so it is for a search's result only."""
-    q = prepare(asked, X.STOP_PHRASES)
-    w = Window.orderBy(*[F.desc(k) for k in search.rank_keys(q)], F.asc("file_id"))
-    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+def _top(spark: SparkSession, sf: str, asked: str, stop: tuple[str, ...] = ()) -> DataFrame:
+    q = prepare(asked, stop)
+    return search.top(search.search(_files(spark, sf), q), q).select("place", "file_id", F.col("title_tier").cast("int"))
 
 
-@query(f"WITH {_ranked(ASKED, 0)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked")
+@query(f"WITH {_ranked(ASKED, 0)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked WHERE place <= {V.RANKED_ROWS}")
 def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return _placed(search.search(_files(spark, sf), prepare(ASKED, X.STOP_PHRASES)), ASKED).select("place", "file_id", F.col("title_tier").cast("int"))
+    return _top(spark, sf, ASKED, X.STOP_PHRASES)
 
 
-@query(f"WITH {_ranked(TIER_ASKED, 1999)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked")
+@query(f"WITH {_ranked(TIER_ASKED, 1999)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked WHERE place <= {V.RANKED_ROWS}")
 def search_ranked_year(spark: SparkSession, sf: str) -> DataFrame:
-    return _placed(search.search(_files(spark, sf), prepare(TIER_ASKED)), TIER_ASKED).select("place", "file_id", F.col("title_tier").cast("int"))
+    return _top(spark, sf, TIER_ASKED)
 
 
 @query(f"WITH {_ranked(ASKED, 0)} SELECT file_id, file_name FROM ranked ORDER BY place LIMIT 10 OFFSET 10")
 def search_page(spark: SparkSession, sf: str) -> DataFrame:
     q = prepare(ASKED, X.STOP_PHRASES)
-    return search.page(search.search(_files(spark, sf), q), q, offset=10)[0].select("file_id", "file_name")
+    return search.ranked(search.search(_files(spark, sf), q), q).offset(10).limit(V.PAGE_SIZE).select("file_id", "file_name")
 
 
 @query(f"WITH {_found(ASKED)} SELECT file_id FROM found WHERE contains(lower(file_name), 'hindi')")
@@ -252,11 +250,15 @@ def keyed_scan(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.by_key(_files(spark, sf), "blue bolt").select("file_id", "title_key")
 
 
-def loose_key_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.by_loose_key(_files(spark, sf), "bluue boltt").select("file_id")
+def _loose(x: str) -> str:
+    """Repeated characters once, then only a-z, 0-9 and what is not ASCII."""
+    chars = f"string_split(lower({x}), '')"
+    return f"regexp_replace(array_to_string(list_filter({chars}, lambda c, i: i = 1 OR c <> {chars}[i - 1]), ''), '[\\x00-/:-`{{-\\x7f]', '', 'g')"
 
 
-QUERIES["loose_key_scan"] = loose_key_scan  # RE2 has no back references, so no SQL
+@query(f"WITH {X.FILES}, {KEYED}, l AS (SELECT file_id, {_loose('title_key')} AS loose FROM keyed) SELECT file_id FROM l WHERE loose <> '' AND (contains(loose, 'blue bolt') OR contains('bluebolt', loose) OR contains(loose, 'bluebolt'))")
+def loose_key_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.by_loose_key(_files(spark, sf), "bluue boltt").select("file_id")
 
 
 @query(f"""WITH {X.FILES}, b AS (SELECT lower({_squeeze(f"regexp_replace({_sub('file_name', V.BASE_JUNK, '')}, '[._\\-\\+\\[\\]()''\"]+', ' ', 'g')")}) AS base, file_name FROM catalog)
@@ -486,12 +488,11 @@ def manual_requests(spark: SparkSession, sf: str) -> DataFrame:
     return parse.requested(X.asked(spark, sf), "said").select("file_id", "season", "year", "title")
 
 
+@query(f"WITH {NAMED} SELECT file_id, {_loose('file_name')} AS loose FROM named")
 def repeat_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, sf).select("file_id", text.fuzzy_normal(F.col("file_name")).alias("loose"))
 
 
-QUERIES["repeat_collapse"] = repeat_collapse  # RE2 has no back references, so no SQL
-
 
 @query(f"""WITH {NAMED} SELECT file_id, concat_ws(' · ', nullif({_first("file_name", V.QUALITY_LABELS, "")}, ''), nullif({_langs("file_name")}, ''),
 CASE WHEN {_web_se("file_name", 1)} > 0 THEN 'S' || lpad({_web_se("file_name", 1)}::VARCHAR, 2, '0') || CASE WHEN {_web_se("file_name", 2)} > 0 THEN 'E' || lpad({_web_se("file_name", 2)}::VARCHAR, 2, '0') ELSE '' END END,
@@ -773,28 +774,79 @@ def media_info(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["media_info"] = media_info  # its patterns look ahead and behind, which RE2 can't; tests hold golden cases
 
 
+def _feed_said(x: str) -> str:
+    """Languages of a text: a key that stands somewhere without a subtitle word behind it."""
+    some = lambda k: f"len(regexp_extract_all({x}, '\\b{k}\\b')) > len(regexp_extract_all({x}, '\\b{k}\\b{V.FEED_SUBTITLE}'))"
+    return "list_filter([" + ", ".join(f"CASE WHEN {some(k)} THEN '{v}' END" for k, v in V.FEED_LANGUAGES) + "], lambda v: v IS NOT NULL)"
+
+
+def _feed_platforms(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, '\\b{k}\\b') THEN '{v}' END" for k, v in V.FEED_PLATFORMS) + "], lambda v: v IS NOT NULL)"
+
+
+_SERIES = " OR ".join(f"regexp_matches(file_name, '(?i){p}')" for p in (V.FEED_RANGE, V.FEED_SINGLE, V.FEED_NAMED, V.FEED_EPISODES_ONLY))
+
+
+@query(f"""WITH {_found(ASKED)}, a AS (SELECT DISTINCT file_name, caption, concat_ws(' ', file_name, caption) AS said FROM found),
+w AS (SELECT *, list_filter(string_split({_strip("said")}, ' '), lambda x: x <> '') AS w, lower(said) AS low, {_SERIES} AS series FROM a),
+p AS (SELECT file_name, min(series) AS series, flatten(list(regexp_extract_all(low, lower('{V.FEED_SOURCE.replace(chr(92) + "b", "@")}').replace('@', '{chr(92)}b')))) AS q,
+flatten(list(list_transform(regexp_extract_all(low, '(?i){V.FEED_RESOLUTION}'), lambda r: CASE WHEN r = '4k' THEN '4K' ELSE r END))) AS r, flatten(list({_feed_said("low")})) AS l, flatten(list({_feed_platforms("low")})) AS o
+FROM w WHERE list_contains(w, 'blue') AND list_contains(w, 'bolt') GROUP BY file_name)
+SELECT 'blue bolt' AS base_name, count(*) AS files, CASE WHEN bool_or(series) THEN '#SERIES' ELSE '#MOVIE' END AS tag, {_UNION("q")} AS qualities, {_UNION("r")} AS resolutions, {_UNION("l")} AS languages, {_UNION("o")} AS platforms FROM p HAVING count(*) > 0""")
 def manual_rollup(spark: SparkSession, sf: str) -> DataFrame:
     found = search.search(_files(spark, sf), prepare(ASKED))
     return rollup.title_rollup(rollup.from_catalog(found, ASKED))
 
 
-QUERIES["manual_rollup"] = manual_rollup  # of the same parts as rollup_sets and media_info
+# ---- spelling
 
+#: (a, b, common): the longest common subsequence of the pairs in a table `pairs` (a, b), a letter of a at a time.
+_COMMON = """lcs AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda k: 0) AS row FROM pairs UNION ALL
+SELECT a, b, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (SELECT a, b, i,
+  list_transform(range(0, length(b) + 1), lambda k: CASE WHEN k > 0 AND substr(a, i + 1, 1) = substr(b, k, 1) THEN row[k] + 1 ELSE row[k + 1] END) AS c FROM lcs WHERE i < length(a)) x),
+common AS (SELECT a, b, row[length(b) + 1] AS common FROM lcs WHERE i = length(a))"""
+_BASE = f"""b AS (SELECT lower({_squeeze(f"regexp_replace({_sub('file_name', V.BASE_JUNK, '')}, '[._\\-\\+\\[\\]()''\"]+', ' ', 'g')")}) AS base, file_name FROM catalog),
+titles AS (SELECT base, min(file_name) AS original, list_filter(string_split(base, ' '), lambda w: w <> '') AS words, {_collapse("base")} AS letters FROM b WHERE base <> '' GROUP BY base)"""
+MISTYPED = "bluue bollt"
+
+
+@query(f"""WITH RECURSIVE {X.FILES}, {_BASE}, wanted AS (SELECT unnest(string_split('{MISTYPED}', ' ')) AS a),
+fitting AS (SELECT * FROM titles WHERE letters = '{MISTYPED.replace(" ", "")}' OR len(words) <= 3), own AS (SELECT DISTINCT base, unnest(words) AS b FROM fitting),
+pairs AS (SELECT DISTINCT a, b FROM wanted, (SELECT DISTINCT b FROM own) x WHERE abs(length(a) - length(b)) <= 2), {_COMMON},
+best AS (SELECT own.base, w.a, max(CASE WHEN {_collapse("own.b")} = w.a THEN 100 ELSE coalesce(round(200 * common / (length(w.a) + length(own.b))), 0) END) AS s
+  FROM own CROSS JOIN wanted w LEFT JOIN common ON common.a = w.a AND common.b = own.b GROUP BY own.base, w.a),
+scored AS (SELECT f.base, f.original, CASE WHEN letters = '{MISTYPED.replace(" ", "")}' THEN 100 ELSE coalesce((SELECT floor(sum(s) / 2) FROM best WHERE best.base = f.base), 0) END::INT AS score FROM fitting f)
+SELECT base, original, score FROM scored WHERE score >= {V.SPELL_LEAST} ORDER BY score DESC, base LIMIT {V.SPELL_TRIED}""")
+def spell_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return fuzzy.spell_candidates(catalog.titles(_files(spark, sf)), prepare(MISTYPED))
 
-# ---- spelling
 
+#: What an outside source suggests: title and place.
+SUGGESTED = (("Blue Bolt", 0), ("BLUE BOLT", 1), ("Blue Bold (2020)", 2), ("Nothing Like It", 3))
+_WINDOWS = "unnest(list_transform(range(0, length(y) - length(x) + 1), lambda k: substr(y, k + 1, length(x))))"
 
-def spell_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return fuzzy.spell_candidates(catalog.titles(_files(spark, sf)), prepare("bluue bollt"))
 
+def _alike(table: str) -> str:
+    """CTEs that give scored (a, b, score) of the pairs (a, b) in a table: the whole ratio or the best window of the longer text."""
+    return f"""sides AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM {table}),
+cuts AS (SELECT a, b, x, y AS part FROM sides UNION SELECT a, b, x, {_WINDOWS} FROM sides WHERE x <> ''), pairs AS (SELECT DISTINCT x AS a, part AS b FROM cuts), {_COMMON},
+scored AS (SELECT cuts.a, cuts.b, max(CASE WHEN cuts.a = '' OR cuts.b = '' THEN 0 WHEN {_collapse("cuts.a")} = {_collapse("cuts.b")} THEN 100 ELSE round_even(200 * common / (length(x) + length(part)), 0) END)::INT AS score
+  FROM cuts JOIN common ON common.a = x AND common.b = part GROUP BY cuts.a, cuts.b)"""
 
-QUERIES["spell_candidates"] = spell_candidates  # tested against a model in Python
 
+_OUTSIDE = "outside AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {k})" for t, k in SUGGESTED) + ") v(title, place))"
 
+
+@query(f"""WITH RECURSIVE {_OUTSIDE}, once AS (SELECT arg_min(title, place) AS title, min(place) AS place, {_strip("lower(title)")} AS a, 'blue bolt' AS b FROM outside GROUP BY lower(title)), {_alike("once")}
+SELECT title, score FROM once JOIN scored USING (a, b) WHERE score >= {V.SUGGEST_LEAST} ORDER BY score DESC, place LIMIT {V.SUGGESTED}""")
+def suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return fuzzy.suggestions(spark.createDataFrame(list(SUGGESTED), "title string, place int"), "blue bolt")
+
+
+@query(f"""WITH RECURSIVE {X.FILES}, {KEYED}, {_OUTSIDE}, s AS (SELECT title, {_strip("regexp_replace(title, '\\s*\\(\\d{4}\\)\\s*$', '')")} AS a FROM outside WHERE place IN (0, 2)),
+t AS (SELECT DISTINCT title_key AS b FROM keyed WHERE title_key <> ''), near AS (SELECT DISTINCT a, b FROM s, t WHERE abs(length(a) - length(b)) <= {V.IN_STORE_GAP}), {_alike("near")}
+SELECT DISTINCT title FROM s WHERE {_collapse("a")} IN (SELECT {_collapse("b")} FROM t) OR a IN (SELECT a FROM scored WHERE score >= {V.IN_STORE_LEAST})""")
 def suggestion_matches(spark: SparkSession, sf: str) -> DataFrame:
     titles = groups.cards(catalog.with_keys(catalog.federate(_files(spark, sf)))).select(F.col("title_key").alias("base"))
-    asked = spark.createDataFrame([("Blue Bolt", 0), ("BLUE BOLT", 1), ("Blue Bold (2020)", 2), ("Nothing Like It", 3)], "title string, place int")
+    asked = spark.createDataFrame(list(SUGGESTED), "title string, place int")
     return fuzzy.in_store(fuzzy.suggestions(asked, "blue bolt"), titles)
-
-
-QUERIES["suggestion_matches"] = suggestion_matches

@@ -22,8 +22,10 @@ def federate(files: DataFrame) -> DataFrame:
 
 
 def federate_filtered(files: DataFrame, condition: F.Column) -> DataFrame:
-    """federate() of the rows that fit, with the filter before the shuffle: a row of each store is judged by itself."""
-    return federate(files.filter(condition))
+    """federate() of the rows that fit. Each row is judged once, before the shuffle: only what fits meets its twin."""
+    row = F.struct(*files.columns)
+    hits = files.filter(condition).groupBy("file_id").agg(F.min_by(row, F.coalesce(F.col("store") != "primary", F.lit(True))).alias("r"))
+    return hits.select("r.*")
 
 
 def lookup(files: DataFrame, file_id: str) -> DataFrame:
@@ -66,9 +68,10 @@ def tokens(files: DataFrame) -> DataFrame:
 
 
 def text_prefilter(files: DataFrame, terms: str) -> DataFrame:
-    """The files that have any of the terms as a word, with the number of terms they have: no cap on candidates."""
-    wanted = sorted({w for w in terms.lower().split() if w})
-    return tokens(files).filter(F.col("token").isin(wanted)).groupBy("file_id").agg(F.count("*").alias("hits"))
+    """The files that have any of the terms as a word, with the number of terms they have: no cap on candidates. Words are compared within the row."""
+    wanted = F.array(*[F.lit(w) for w in sorted({w for w in terms.lower().split() if w})]).cast("array<string>")
+    hits = F.size(F.array_intersect(wanted, F.split(F.lower("file_name"), "[^a-z0-9]+"))).cast("long")
+    return federate(files).select("file_id", hits.alias("hits")).filter("hits > 0")
 
 
 def titles(files: DataFrame) -> DataFrame:
