@@ -93,15 +93,20 @@ def languages(x: Column, most: int = 4) -> Column:
     return F.slice(F.when(F.arrays_overlap(found, both), F.array_intersect(found, both)).otherwise(found), 1, most)
 
 
+def _labels(x: Column, table: tuple[tuple[str, str], ...], behind: str = "") -> Column:
+    """The sorted labels of the table's words that a text has as whole words: one pattern finds them all."""
+    found = F.regexp_extract_all(x, F.lit(rx(rf"\b({'|'.join(k for k, _ in table)})\b{behind}")), F.lit(1))
+    label = F.create_map(*[F.lit(v) for kv in table for v in kv])
+    return F.sort_array(F.array_distinct(F.transform(found, lambda w: F.element_at(label, F.lower(w)))))
+
+
 def feed_languages(x: Column) -> Column:
     """Sorted languages named as whole words, but not where the word names a subtitle; empty without any."""
-    named = [F.when(x.rlike(rx(rf"\b{k}\b(?!{V.FEED_SUBTITLE})")), F.lit(v)) for k, v in V.FEED_LANGUAGES]
-    return F.sort_array(F.array_distinct(F.filter(F.array(*named), lambda v: v.isNotNull())))
+    return _labels(x, V.FEED_LANGUAGES, f"(?!{V.FEED_SUBTITLE})")
 
 
 def feed_platforms(x: Column) -> Column:
-    named = [F.when(x.rlike(rx(rf"\b{k}\b")), F.lit(v)) for k, v in V.FEED_PLATFORMS]
-    return F.sort_array(F.array_distinct(F.filter(F.array(*named), lambda v: v.isNotNull())))
+    return _labels(x, V.FEED_PLATFORMS)
 
 
 def _first_of_each(x: Column, pattern: str) -> Column:

@@ -59,4 +59,4 @@ def code_hash(code: Column) -> Column:
 
 
 def rating(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f", x), F.lit("N/A"))
+    return F.when(x.isNotNull(), F.format_string("%.1f", x)).otherwise("N/A")

@@ -5,6 +5,8 @@ Patterns carry (?iU): case and \\w \\d \\b follow Unicode. A null input gives nu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,6 +135,12 @@ def pad(n: Column, width: int = 2) -> Column:
     return F.when(F.length(n.cast("string")) >= width, n.cast("string")).otherwise(F.lpad(n.cast("string"), width, "0"))
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with {name} for values, null ones empty; {{ and }} are braces."""
+    said = [F.coalesce(values[name].cast("string"), F.lit("")) if name else F.lit(plain.replace("{{", "{").replace("}}", "}")) for plain, name in re.findall(r"((?:\{\{|\}\}|[^{}])+)|\{(\w+)\}", template)]
+    return F.concat(*said) if said else F.lit("")
+
+
 #: First letters of two decorative alphabets.
 ALPHABETS = {"bold": (0x1D400, 0x1D41A), "mono": (0x1D670, 0x1D68A)}
 

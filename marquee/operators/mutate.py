@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,12 @@ def emptied(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.limit(0), rows.count()
 
 
+def by_key(tables: dict[str, DataFrame], key: int | str) -> DataFrame:
+    """(kind, id, value) of one key in several tables (id, value): the equality reaches every scan."""
+    found = [rows.filter(F.col("id") == key).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "value") for kind, rows in tables.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def write_listing(rows: DataFrame, path: str, column: str = "line") -> None:
     """A listing that is too long for a message, as text files."""
     rows.select(column).write.mode("overwrite").text(path)

@@ -501,14 +501,6 @@ def file_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, sf).select("file_id", extract.file_label(F.col("file_name"), F.col("file_size")).alias("label"))
 
 
-def encode_ids(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.hex("p_partkey")
-    return X.table(spark, sf, "part").select("p_partkey", extract.encode_id(F.unhex(F.concat(F.lpad(k, 16, "0"), F.lit("0000"), F.lpad(F.hex("p_size"), 8, "0")))).alias("encoded"))
-
-
-QUERIES["encode_ids"] = encode_ids  # tested against a model in Python
-
-
 @query(f"""WITH {NAMED} SELECT file_id, {_web_se("file_name", 1)} AS season, coalesce(CASE WHEN regexp_matches(file_name, '(?i){V.WEB_SEASON_EPISODE}') THEN {_group("file_name", V.WEB_SEASON_EPISODE, 2)} ELSE {_group("file_name", V.EPISODE, 1)} END, 0) AS episode,
 length(file_name) > 35 AS cut, CASE WHEN length(file_name) > 35 THEN file_name[:32] || '...' ELSE file_name END AS short, array_to_string(list_filter(string_split_regex(file_name, '\\s+'), lambda w: w <> ''), ' ') AS words FROM named""")
 def file_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -767,13 +759,6 @@ def episode_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.episode_ranges(X.feed(spark, sf))
 
 
-def media_info(spark: SparkSession, sf: str) -> DataFrame:
-    return rollup.media_info(X.incoming(spark, sf).withColumnRenamed("file_id", "id"))
-
-
-QUERIES["media_info"] = media_info  # its patterns look ahead and behind, which RE2 can't; tests hold golden cases
-
-
 def _feed_said(x: str) -> str:
     """Languages of a text: a key that stands somewhere without a subtitle word behind it."""
     some = lambda k: f"len(regexp_extract_all({x}, '\\b{k}\\b')) > len(regexp_extract_all({x}, '\\b{k}\\b{V.FEED_SUBTITLE}'))"
@@ -789,7 +774,7 @@ _SERIES = " OR ".join(f"regexp_matches(file_name, '(?i){p}')" for p in (V.FEED_R
 
 @query(f"""WITH {_found(ASKED)}, a AS (SELECT DISTINCT file_name, caption, concat_ws(' ', file_name, caption) AS said FROM found),
 w AS (SELECT *, list_filter(string_split({_strip("said")}, ' '), lambda x: x <> '') AS w, lower(said) AS low, {_SERIES} AS series FROM a),
-p AS (SELECT file_name, min(series) AS series, flatten(list(regexp_extract_all(low, lower('{V.FEED_SOURCE.replace(chr(92) + "b", "@")}').replace('@', '{chr(92)}b')))) AS q,
+p AS (SELECT file_name, min(series) AS series, flatten(list(regexp_extract_all(low, '(?i){V.FEED_SOURCE}'))) AS q,
 flatten(list(list_transform(regexp_extract_all(low, '(?i){V.FEED_RESOLUTION}'), lambda r: CASE WHEN r = '4k' THEN '4K' ELSE r END))) AS r, flatten(list({_feed_said("low")})) AS l, flatten(list({_feed_platforms("low")})) AS o
 FROM w WHERE list_contains(w, 'blue') AND list_contains(w, 'bolt') GROUP BY file_name)
 SELECT 'blue bolt' AS base_name, count(*) AS files, CASE WHEN bool_or(series) THEN '#SERIES' ELSE '#MOVIE' END AS tag, {_UNION("q")} AS qualities, {_UNION("r")} AS resolutions, {_UNION("l")} AS languages, {_UNION("o")} AS platforms FROM p HAVING count(*) > 0""")
@@ -850,3 +835,6 @@ def suggestion_matches(spark: SparkSession, sf: str) -> DataFrame:
     titles = groups.cards(catalog.with_keys(catalog.federate(_files(spark, sf)))).select(F.col("title_key").alias("base"))
     asked = spark.createDataFrame(list(SUGGESTED), "title string, place int")
     return fuzzy.in_store(fuzzy.suggestions(asked, "blue bolt"), titles)
+
+
+from . import queries_records  # noqa: E402, F401  it registers its own queries

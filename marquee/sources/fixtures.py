@@ -120,7 +120,7 @@ def group_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, file_name, caption): a batch to ingest, a third new, a third with another caption, a third as stored; some mentions and marks."""
-    f = named_files(spark, sf_dir).filter("k % 5 = 0")
+    f = named_files(spark, sf_dir)
     k = F.col("k")
     new_id = F.when(k % 3 == 0, F.concat(F.lit("n"), "file_id")).otherwise(F.col("file_id"))
     name = F.concat(F.lit("@team "), F.regexp_replace("file_name", " ", "_"))
@@ -129,7 +129,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INCOMING = """incoming AS (SELECT CASE WHEN k % 3 = 0 THEN 'n' || file_id ELSE file_id END AS file_id, '@team ' || replace(file_name, ' ', '_') AS file_name,
-  CASE WHEN k % 3 = 1 THEN file_name || ' v2' ELSE caption END AS caption FROM named WHERE k % 5 = 0)"""
+  CASE WHEN k % 3 = 1 THEN file_name || ' v2' ELSE caption END AS caption FROM named)"""
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,14 @@ from ..functions import vocab as V
 from ..operators.mutate import changes, delete_ids, with_changes
 from ..operators.rollup import once_per_name, title_rollup
 
-#: How late rows may come; later ones are dropped.
+#: How late rows may come to once_per_id() and to windows; later ones are dropped there. Ingest, tombstones and roll-ups drop none: their state is a log.
 LATENESS = "10 minutes"
 
 
+#: Ids of a batch up to which they are broadcast, so that the store is scanned but not shuffled.
+SMALL_BATCH = 1_000_000
+
+
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """A folder of Parquet files as a stream; the schema is fixed, never inferred."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -40,7 +44,7 @@ def debounced(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> D
 
 
 def _log_sink(path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink that appends what a batch changes, as partition epoch=N of a log: its cost follows the batch, and a batch that runs again replaces its own."""
+    """A sink that appends what a batch changes, as partition epoch=N of a log; a batch that runs again replaces its own."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         before = batch.sparkSession.read.parquet(path).filter(F.col("epoch") < epoch) if epoch else None
@@ -51,7 +55,14 @@ def _log_sink(path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame
 
 def ingest(rows: DataFrame, path: str, checkpoint: str, stored: DataFrame) -> StreamingQuery:
     """Files (file_id, file_name, caption) upserted into a store, as a log of changes; idempotent by id. The snapshot is current()."""
-    sink = _log_sink(path, lambda batch, log: changes(batch, stored if log is None else with_changes(stored, log)))
+
+    def step(batch: DataFrame, log: DataFrame | None) -> DataFrame:
+        ids = batch.select("file_id").distinct()
+        of_batch = lambda rows: rows.join(F.broadcast(ids) if batch_is_small else ids, "file_id", "left_semi")
+        batch_is_small = ids.count() <= SMALL_BATCH
+        return changes(batch, of_batch(stored) if log is None else with_changes(of_batch(stored), of_batch(log)))
+
+    sink = _log_sink(path, step)
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

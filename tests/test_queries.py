@@ -10,9 +10,8 @@ def test_query_equals_its_sql(name, spark, sf, duck):
     same_rows(QUERIES[name](spark, sf), duck, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(name, spark, sf):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
