@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -31,9 +32,11 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, a new one of this machine."""
+    """The folder that driver and executors share; where none is set, a new one of this machine if all runs on it."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="marquee-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

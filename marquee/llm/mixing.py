@@ -48,10 +48,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     the sum over a source is the whole part of its target. Null text has size 0 and takes nothing; a
     null source is a source of its own, the last one; null or repeated ids are rows like others (of
     rows that tie in key, id and size, any may be the one that is cut); an empty table gives no rows.
-    Other columns are ignored. Runs agree, whatever the partitions.
+    Other columns are ignored. Runs agree, whatever the partitions. Of a very long text only its number of words is kept;
+    rows of one id meet in one task, as numbers.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("key", key)
+    # rows without an id are dealt by their text, so that they don't meet in one range
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"))
     rows = rows.withColumn("rng", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int"))
     rows = written(rows)  # the texts are read once
     parts = rows.groupBy("source", "rng").agg(F.sum("size").alias("part"))
@@ -72,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 #: DuckDB SQL of mix(documents); `level` is found as in targets().
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+                  md5('mix' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (source_size * 3)::DOUBLE AS cap,
              [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w FROM s),

@@ -15,12 +15,11 @@ the size of the input.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import written
@@ -36,8 +35,17 @@ MAX_BUCKETS = 1 << 22
 NO_ID = np.iinfo(np.int64).min
 
 
+#: A Lehmer generator's modulus and factor: products stay within 64 bits, in Spark as in NumPy.
+MODULUS, FACTOR = (1 << 31) - 1, 48271
+
+
 def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return np.array([zlib.crc32(b"" if i == NO_ID else b"%d" % i) % groups for i in ids.tolist()], dtype=np.int64)
+    return np.mod(np.where(ids == NO_ID, 0, ids), MODULUS) * FACTOR % MODULUS % groups
+
+
+def _group(doc_id: Column, groups: int) -> Column:
+    """_group_of() as a column."""
+    return F.pmod(F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(MODULUS)) * FACTOR % MODULUS, F.lit(groups)).cast("int")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -266,7 +274,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id, or the same with an earlier start), array of (start, end) in words, end exclusive; kept: the
     other words, joined by one space. Null or empty text has no words. A null doc_id comes before all
     others. Rows with the same doc_id are the same document: neither starts earlier at equal places,
-    and both lose the same windows. Texts shorter than a window lose nothing; an empty table gives no rows.
+    and both lose the same windows; all rows of one id (or without one) are in one task. Texts shorter than a window lose
+    nothing; an empty table gives no rows. A very long text is handled whole, by one task in each step.
     block must be at most half of window + 1, so that every window holds a whole reference block.
     """
     if 2 * block - 1 > window:
@@ -274,8 +283,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = size // group_bytes + 1, min(size // bucket_bytes + 1, MAX_BUCKETS)
-    group = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(groups)).cast("int")
-    grouped = rows.withColumn("key", group).groupBy("key")
+    grouped = rows.withColumn("key", _group(F.col("id"), groups)).groupBy("key")
     probes = rows.mapInArrow(_probes(buckets, groups, block), Packer.SCHEMA)
     hits = written(probes.groupBy("key").applyInArrow(_match(groups), Packer.SCHEMA))
     candidates = grouped.cogroup(hits.groupBy("key")).applyInArrow(_candidates(buckets, window, block), Packer.SCHEMA)
