@@ -50,7 +50,9 @@ def with_keys(files: DataFrame) -> DataFrame:
 
 
 def by_key(files: DataFrame, key: str) -> DataFrame:
-    """The files of one title."""
+    """The files of one title. Where the key is stored (with_keys(), written), its equality reaches the scan of both stores."""
+    if "title_key" in files.columns:
+        return federate(files.filter(F.col("title_key") == key))
     return with_keys(federate(files)).filter(F.col("title_key") == key)
 
 

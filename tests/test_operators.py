@@ -161,3 +161,19 @@ def test_debounce_timers(spark, sf, tmp_path):
     finally:
         q.stop()
     assert got == {r.event_type: r["count"] for r in X.table(spark, sf, "events").groupBy("event_type").count().collect()}
+
+
+def test_a_stored_key_reaches_the_scan(spark, sf, tmp_path):
+    files = X.files(spark, sf)
+    mutate.write_partitioned(catalog.with_keys(files), str(tmp_path / "keyed"))
+    stored = spark.read.parquet(str(tmp_path / "keyed"))
+    key = catalog.with_keys(files).groupBy("title_key").count().orderBy(F.desc("count"), "title_key").first()[0]
+    found = catalog.by_key(stored, key)
+    assert f"EqualTo(title_key,{key})" in found._jdf.queryExecution().executedPlan().toString()
+    ids = lambda rows: sorted((r.file_id, r.store) for r in rows.collect())
+    assert ids(found) == ids(catalog.by_key(files, key)) and ids(found)
+
+
+def test_listing_and_pull(spark, tmp_path):
+    mutate.write_listing(spark.createDataFrame([("b",), ("a",)], "line string"), str(tmp_path / "list"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "list")).collect()) == ["a", "b"]
