@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.decontaminate import find_contamination
-from marquee.llm.frames import broadcast_if_small, free_name, table, written
+from marquee.llm.frames import broadcast_if_small, free_name, made, release, table, written
 from marquee.llm.langid import held_out, identify, train
 from marquee.llm.line_dedup import drop_boilerplate_lines
 from marquee.llm.mixing import mix
@@ -102,7 +102,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's own tables, and its input, are removed once its result is written; the last stage's stay, since the result reads them."""
+    docs, first = table(spark, sf_dir, "documents"), made()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        release(spark, first, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,12 +67,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all tables that written() has made; results that are not written by then can't be read any more."""
+def made() -> int:
+    """How many tables written() has made that are still there: what release() takes."""
+    return len(_TABLES)
+
+
+def release(spark: SparkSession, after: int = 0, keep: DataFrame | None = None) -> None:
+    """Removes the tables that written() has made after the first `after` ones, but for the one that keep reads; results that need them must be written by then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
+    kept = [] if keep is None else [x.rpartition("/")[0].rpartition("/")[2] for x in keep.inputFiles()]
+    for path in _TABLES[after:]:
+        if path.rpartition("/")[2] not in kept:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            _TABLES.remove(path)
 
 
 #: Bytes in memory up to which a table may be broadcast, or handled by one task.

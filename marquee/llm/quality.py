@@ -26,7 +26,7 @@ COMMON_SHARE = 0.004
 #: Minimum lengths: characters in words for the class distance, words for the word distance.
 MIN_CHARS, MIN_WORDS = 200, 50
 #: A text is far from a language beyond this class distance, or beyond this share of the word distance that a text without any of its common words has.
-#: Set on the labelled documents with even crc32(doc_id) of one small table; README has what they do on the others.
+#: Set with the labels of three small tables in view; README has what they do there and on a table that was not looked at before.
 MAX_CLASS_DISTANCE, MAX_WORD_SHARE = 0.28, 0.97
 #: The base rules.
 MIN_KEPT_WORDS, MAX_REPEAT_PERCENT = 50, 50

@@ -10,6 +10,7 @@ import corpus_pipeline
 import duckdb
 import pyarrow as pa
 import pytest
+from marquee.llm import frames
 from marquee.llm.decontaminate import find_contamination
 from marquee.llm.frames import table, written
 from marquee.llm.langid import held_out, identify, train
@@ -67,7 +68,10 @@ def test_stages(spark, sf):
         if name == "mixing":
             assert kept == ids
         docs = out
-    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, docs.collect()))
+    before = frames.made()
+    ran = corpus_pipeline.run(spark, sf)
+    assert frames.made() - before <= 3  # the last stage's input and what the mix has written
+    assert sorted(map(str, ran.collect())) == sorted(map(str, docs.collect()))
 
 
 def test_stages_on_odd_tables(spark, sf):
@@ -149,11 +153,13 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_release_removes_what_was_written(spark):
-    from marquee.llm import frames
-
     one = written(spark.range(5))
     path = frames._TABLES[-1]
     assert one.count() == 5 and spark.read.parquet(path).count() == 5
+    at = frames.made()
+    two, three = written(spark.range(3)), written(spark.range(4))
+    frames.release(spark, at, keep=three)
+    assert three.count() == 4 and one.count() == 5 and frames.made() == at + 1
     frames.release(spark)
     assert not frames._TABLES
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
