@@ -119,7 +119,8 @@ def n_words(text: Column) -> Column:
 
 
 def give_back() -> None:
-    """Returns the freed memory of this process to the system: Python workers wait for further tasks with what they have grown to."""
+    """Returns the freed memory of this process, Arrow's too, to the system: Python workers wait for further tasks with what they have grown to."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
 

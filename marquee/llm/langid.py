@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import appended, broadcast_if_small, written
+from .frames import appended, broadcast_if_small, give_back, written
 from .kernel import BLANK, SLICE_BYTES, Words, slices
 
 BUCKETS = 1 << 15
@@ -136,6 +136,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
             for lang, x in sums.items():
                 k = np.flatnonzero(x)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k, pa.int32()), pa.array(x[k], pa.int64())], ["lang", "at", "n"])
+        give_back()
 
     rows = chosen.select("lang", "text").mapInArrow(count, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import broadcast_if_small, written
+from .frames import broadcast_if_small, give_back, written
 from .kernel import BLANK, Words, key_order, sequence_hashes, slices, splitmix, window_hashes
 
 WIDTH, NUM, DEN = 3, 90, 100
@@ -129,6 +129,7 @@ def _scan(cells: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         small = _level(table).reshape(-1, min(cells, 1 << 15))
         none = pa.nulls(len(small))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary()), *(none.cast(f.type) for f in list(schema)[2:])], schema=schema)
+        give_back()
 
     return run
 
@@ -181,6 +182,7 @@ def _post(levels: Callable[[], np.ndarray], buckets: int, width: int, num: int,
                     rows.append((int(key[part[0]]), (token[part] | long_list).tobytes(), own[row[part]].tobytes(), n[row[part]].astype(np.int32).tobytes(), place[part].astype(np.int32).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["key", "token", "id", "n", "place"])
+        give_back()
 
     return run
 
@@ -283,6 +285,7 @@ def _bags(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 first = np.searchsorted(row, np.arange(w.rows + 1)).tolist()
                 bags = [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, w.rows), pa.array(bags, pa.binary())], ["id", "bag"])
+        give_back()
 
     return run
 
@@ -332,6 +335,7 @@ def _verify(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 bags = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(3).slice(low, high - low).to_pylist()]
                 kept += [low + k for k in divide_skip(query, bags, [-(-num * (len(query) + len(x)) // (num + den)) for x in bags])]
             yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+        give_back()
 
     return run
 
