@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import alphabets
 from . import vocab as V
 
 
@@ -141,12 +142,8 @@ def filled(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*said) if said else F.lit("")
 
 
-#: First letters of two decorative alphabets.
-ALPHABETS = {"bold": (0x1D400, 0x1D41A), "mono": (0x1D670, 0x1D68A)}
-
-
 def decorate(x: Column, alphabet: str) -> Column:
-    """A-Z and a-z in a decorative alphabet of Unicode."""
-    upper, lower = ALPHABETS[alphabet]
-    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    return F.translate(x, plain, "".join(chr(b + k) for b in (upper, lower) for k in range(26)))
+    """Letters, and digits where it has them, in a decorative alphabet; other characters stay."""
+    (plain, fancy), (letters, mark) = alphabets.swaps(alphabet), alphabets.marked(alphabet)
+    out = F.regexp_replace(x, letters, f"$1{mark}") if mark else x
+    return F.translate(out, plain, fancy) if plain else out

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import extract, scalar, text
+from .functions import alphabets, extract, scalar, text
 from .functions import vocab as V
 from .operators import engage, groups, mutate, rollup
 from .queries import _UNITS, NAMED, ORACLES, QUERIES, _feed_platforms, _feed_said, _first, _langs, _squeeze, _sub, _web_se, query
@@ -110,6 +110,19 @@ def captions(spark: SparkSession, sf: str) -> DataFrame:
     return X.named_files(spark, sf).select("file_id", text.filled("<b>{file_name}</b> {{size}} {file_size} {file_caption}", values).alias("said"))
 
 
+def _decorated_sql(name: str) -> str:
+    (plain, fancy), (letters, mark) = alphabets.swaps(name), alphabets.marked(name)
+    said = f"regexp_replace(s, '{letters}', '\\1{mark}', 'g')" if mark else "s"
+    return f"translate({said}, '{plain}', '{fancy}') AS in_{name}" if plain else f"{said} AS in_{name}"
+
+
+@query(f"WITH x AS (SELECT p_partkey AS id, p_name || ' ' || upper(p_name) || ' ' || p_partkey || ' AZ az 0123456789' AS s FROM part) SELECT id, {', '.join(map(_decorated_sql, alphabets.NAMES))} FROM x")
+def decorated(spark: SparkSession, sf: str) -> DataFrame:
+    name, k = F.col("p_name"), F.col("p_partkey")
+    rows = X.table(spark, sf, "part").select(k.alias("id"), F.concat_ws(" ", name, F.upper(name), k.cast("string"), F.lit("AZ az 0123456789")).alias("s"))
+    return rows.select("id", *[text.decorate(F.col("s"), a).alias(f"in_{a}") for a in alphabets.NAMES])
+
+
 @query(f"""WITH m AS (SELECT p_name AS title, 1990 + p_partkey % 35 AS year, p_partkey % 3 <> 0 AS poster, p_partkey % 17 AS votes, p_partkey AS rank FROM part)
 SELECT rank, title, year FROM m ORDER BY (year = 2001)::INT DESC, (regexp_replace(lower(title), '[^a-z0-9]', '', 'g') = 'bluebolt')::INT DESC, (poster AND votes > 5)::INT DESC, rank LIMIT 1""")
 def metadata_pick(spark: SparkSession, sf: str) -> DataFrame:

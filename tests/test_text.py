@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from marquee.functions import extract, parse, scalar, text
+from marquee.functions import alphabets, extract, parse, scalar, text
 from marquee.functions import vocab as V
 from marquee.operators import fuzzy, rollup, search
 from marquee.plans import query as Q
@@ -180,3 +180,34 @@ def test_encode_id(spark):
     ids = [b"", b"\0\0\0", b"\1\0\0\2", bytes(range(24)), b"\xff\xfe\0\0\0\0\0\0\0\3"]
     got = spark.createDataFrame([(bytearray(x),) for x in ids], "x binary").select(extract.encode_id(F.col("x"))).collect()
     assert [r[0] for r in got] == [model(x) for x in ids]
+
+
+@pytest.mark.parametrize(
+    "alphabet,said,want",
+    [
+        ("typewriter", "Az 1", "\U0001d670\U0001d6a3 1"),
+        ("serif", "Ab 1", "\U0001d400\U0001d41b \U0001d7cf"),
+        ("outline", "CDh0", "\u2102\U0001d53b\U0001d559\U0001d7d8"),
+        ("cool", "gh", "\U0001d454\u210e"),
+        ("small_cap", "Ajx", "A\u026ax"),
+        ("manga", "Ii-", "||-"),
+        ("gothic_bolt", "DO", "\U0001d57a\U0001d57a"),
+        ("circles", "a1", "\u24b6\ufe0e\u2460"),
+        ("circle_dark", "Zz0", "\U0001f169\U0001f169\ufe0e\u24ff"),
+        ("special", "a b", "\U0001f1e6\u200a \U0001f1e7\u200a"),
+        ("cloud", "a1B", "a\u0361\u035c1B\u0361\u035c"),
+        ("bubbles", "a", "a\u0366\u0325"),
+        ("strike", "", ""),
+    ],
+)
+def test_alphabets(spark, alphabet, said, want):
+    assert value(spark, text.decorate(F.lit(said), alphabet)) == want
+    assert value(spark, text.decorate(F.lit(None).cast("string"), alphabet)) is None
+
+
+def test_alphabets_are_whole():
+    assert len(alphabets.NAMES) == 41
+    for name in alphabets.NAMES:
+        plain, fancy = alphabets.swaps(name)
+        assert len(plain) == len(fancy) == len(set(plain)) or not plain
+        assert plain or alphabets.marked(name)[1]
