@@ -33,6 +33,6 @@ def duck(sf):
     import duckdb
 
     con = duckdb.connect()
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for file in sorted(os.listdir(sf)):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{sf}/{file}'")
     return con
