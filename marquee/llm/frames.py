@@ -83,6 +83,16 @@ def release(spark: SparkSession, after: int = 0, keep: DataFrame | None = None)
             _TABLES.remove(path)
 
 
+def release_one(spark: SparkSession, table: DataFrame) -> None:
+    """Removes one table that written() has made; nothing may read it any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    names = {x.rpartition("/")[0].rpartition("/")[2] for x in table.inputFiles()}
+    for path in [x for x in _TABLES if x.rpartition("/")[2] in names]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        _TABLES.remove(path)
+
+
 #: Bytes in memory up to which a table may be broadcast, or handled by one task.
 SMALL = 64 << 20
 

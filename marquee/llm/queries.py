@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import CHAT_SQL, TRICKY, digests, format_conversations
 from .decontaminate import DECONTAMINATION_SQL, find_contamination
 from .frames import table
+from .golden import GOLDEN_SQL, golden_records
 from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
 from .mixing import MIX_SQL, mix
@@ -16,6 +17,7 @@ from .quality import QUALITY_SQL, judge_quality
 from .shingle_join import SHINGLE_SQL, link_components
 from .substring_dedup import SUBSTRING_SQL, remove_repeats
 from .url_rules import MIRROR_SQL, URL_SQL, judge, mirror_edges
+from .vector_codes import CODES_SQL, codebooks_digest, encode_vectors
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +74,23 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_records(table(spark, sf_dir, "clients"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = encode_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def url_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over classes that the table itself has: pages that share a path carry each other's decisions."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, mirror_edges(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join, url_mirrors)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join, op12_golden_record, op13_vector_codes, url_mirrors)}
 ORACLES = {
     "op1_mixing": MIX_SQL, "op3_quality": QUALITY_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL,
-    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL, "url_mirrors": MIRROR_SQL,
+    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL, "op12_golden_record": GOLDEN_SQL, "op13_vector_codes": CODES_SQL, "url_mirrors": MIRROR_SQL,
 }
