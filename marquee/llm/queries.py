@@ -11,6 +11,7 @@ from .frames import table
 from .golden import GOLDEN_SQL, golden_records
 from .langid import held_out, identify, train
 from .line_dedup import LINE_DEDUP_SQL, drop_boilerplate_lines
+from .minmax import MINMAX_SQL, near_duplicates
 from .mixing import MIX_SQL, mix
 from .pii import KINDS, find_personal_data, learn
 from .quality import QUALITY_SQL, judge_quality
@@ -74,6 +75,10 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+def op11_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden_records(table(spark, sf_dir, "clients"))
 
@@ -89,8 +94,8 @@ def url_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, mirror_edges(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join, op12_golden_record, op13_vector_codes, url_mirrors)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_personal_data, op3_quality, op4_line_dedup, op5_url_rules, op6_chat, op7_langid, op8_decontamination, op9_substring_dedup, op10_shingle_join, op11_minmax_hash, op12_golden_record, op13_vector_codes, url_mirrors)}
 ORACLES = {
     "op1_mixing": MIX_SQL, "op3_quality": QUALITY_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_url_rules": URL_SQL, "op6_chat": CHAT_SQL, "op8_decontamination": DECONTAMINATION_SQL,
-    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL, "op12_golden_record": GOLDEN_SQL, "op13_vector_codes": CODES_SQL, "url_mirrors": MIRROR_SQL,
+    "op9_substring_dedup": SUBSTRING_SQL, "op10_shingle_join": SHINGLE_SQL, "op11_minmax_hash": MINMAX_SQL, "op12_golden_record": GOLDEN_SQL, "op13_vector_codes": CODES_SQL, "url_mirrors": MIRROR_SQL,
 }

@@ -458,6 +458,31 @@ def _one_of_equals(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return others.select(F.col("id").alias("a"), F.col("least").alias("b")), others.select("id", "t").distinct()
 
 
+def linked(posts: DataFrame, documents: DataFrame, own: DataFrame, equal: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, component) of all documents with links: the links `equal` (a, b), and those among documents that meet in a list of posts (POSTING).
+
+    documents: (id, n, sketch); own: (id, text) of those that post. No pair is asked for twice.
+    """
+    seen = written(posts.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    links = equal.union(_checked(allowed(seen, documents, num, den), own, width, num, den))
+    found = components(links)
+    for nearest in (2, None):
+        pairs = written(_candidates(posts, documents, found, num, den, nearest).join(broadcast_if_small(seen), ["a", "b"], "left_anti"))
+        more = _checked(allowed(pairs, documents, num, den), own, width, num, den)
+        if not more.isEmpty():
+            links = found.selectExpr("node as a", "component as b").union(more)
+            found = components(links)
+        seen = seen.union(pairs)
+    return found
+
+
+def member_rows(docs: DataFrame, doc_id: str, documents: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (id, n), by the components found; doc_id as in docs."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out = documents.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+
+
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; doc_id must be an integer column, other columns are ignored.
 
@@ -479,21 +504,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = rows.filter("id is not null and text is not null").join(broadcast_if_small(written(others)), ["id", "t"], "left_anti")
     posted = own.select("id", "text").mapInArrow(_post(lambda: shared.value, buckets, width, num, den), "key int, token binary, id binary, n binary, place binary")
     posts = written(posted.groupBy("key").applyInArrow(_meet(num, den), POSTING))
-    near = allowed(posts.filter("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), documents, num, den)
-    links = equal.union(_checked(near, own, width, num, den))
-    found = components(links)
-    refuted = near
-    for nearest in (2, None):
-        pairs = _candidates(posts, documents, found, num, den, nearest)
-        pairs = allowed(pairs.join(broadcast_if_small(refuted), ["a", "b"], "left_anti"), documents, num, den)
-        more = _checked(pairs, own, width, num, den)
-        if not more.isEmpty():
-            links = found.selectExpr("node as a", "component as b").union(more)
-            found = components(links)
-        refuted = refuted.union(pairs)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = documents.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    return out.select(F.col("id").cast(kind).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    return member_rows(docs, doc_id, documents, linked(posts, documents, own, equal, width, num, den))
 
 
 #: DuckDB SQL of op10.
