@@ -149,7 +149,8 @@ def list_levels(scanned: DataFrame) -> np.ndarray:
     """For each cell, LEVELS * log2(1 + shingles that fall in it), over all documents: an order of the lists by length, of a fixed size."""
     parts = scanned.filter("part is not null").select("part", "counts")
     found = parts.repartition("part").mapInArrow(_sum_counts, "part int, levels binary").collect()
-    return np.concatenate([np.frombuffer(r[1], dtype=np.uint8) for r in sorted(found)])
+    # a table without partitions runs no task, and counts nothing
+    return np.concatenate([np.frombuffer(r[1], dtype=np.uint8) for r in sorted(found)]) if found else np.zeros(MIN_CELLS, dtype=np.uint8)
 
 
 def _post(levels: Callable[[], np.ndarray], buckets: int, width: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
