@@ -142,7 +142,6 @@ VERIFY_GAP_SECONDS = 28800
 SPELL_LEAST, SUGGEST_LEAST, IN_STORE_LEAST, IN_STORE_GAP = 82, 30, 88, 4
 SPELL_TRIED, SUGGESTED = 15, 8
 CARD_ROWS, CARDS = 80, 20
-RANKED_ROWS = 1000  # of a ranked list
 REFERRAL_POINTS, REFERRAL_GOAL = 10, 100
 DEBOUNCE_SECONDS = 5
 GROUP_DEFAULTS = (("auto_delete", "true"), ("button", "true"), ("link", "true"), ("spell_check", "true"), ("welcome", "false"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from operator import and_
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import alike, text
 from ..functions import vocab as V
 from ..plans.query import Query, collapse, strip_tech
 
@@ -87,40 +89,95 @@ def correct(titles: DataFrame, q: Query) -> str | None:
     return row[0] if row else None
 
 
-@lru_cache(maxsize=100_000)
-def _common(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for k, y in enumerate(b, 1):
-            last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
-    return row[-1]
+def similarity(a: str, b: str) -> int:
+    """Of two cleaned texts: 100 if equal but for marks, else the better of the whole ratio and the best window of the longer one."""
+    return int(alike.similarities(pa.array([a]), pa.array([b]))[0])
 
 
-def _percent(a: str, b: str) -> int:
-    return round(200 * _common(a, b) / (len(a) + len(b))) if a or b else 0
+def scored_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with their similarity: the window ratio has no built-in form, so all pairs of an Arrow batch are compared at once."""
+    names = [f.name for f in pairs.schema.fields]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = alike.similarities(batch.column(names.index(a)), batch.column(names.index(b)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype("int32"))], [*names, "score"])
 
-def similarity(a: str, b: str) -> int:
-    """Of two cleaned texts: 100 if equal but for marks, else the better of the whole ratio and the best window of the longer one."""
-    a, b = a.lower().strip(), b.lower().strip()
-    if not a or not b:
-        return 0
-    if collapse(a) == collapse(b):
-        return 100
-    short, long_ = sorted((a, b), key=len)
-    return max(_percent(a, b), *(_percent(short, long_[k : k + len(short)]) for k in range(len(long_) - len(short) + 1)))
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("score", T.IntegerType())]))
 
 
-def scored_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with their similarity: the window ratio has no built-in form, so it runs in Arrow batches."""
+# ---- all texts at once: words by what is left of them
+
+
+#: Words of more letters are compared with all words of nearly the same length: they have too many parts to list.
+LONGEST_LISTED = 24
+
+
+def _left_out(x: Column, n: Column) -> Column:
+    """All texts that are x without n of its letters."""
+    one = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda k: F.concat(F.substr(v, F.lit(1), k - 1), F.substr(v, k + 1, F.length(v))))
+    rounds = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, F.array(x), lambda done, _: F.array_distinct(F.flatten(F.transform(done, one))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(score=[similarity(x or "", y or "") for x, y in zip(rows[a], rows[b], strict=True)])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInPandas(run, f"{fields}, score int")
+def word_parts(x: Column, least: int, apart: int = 2) -> Column:
+    """What words of which a pair may score `least` have in common at the least: subsequences of x, of the
+    lengths that x and a word of up to `apart` letters more or less must share."""
+    n = F.length(x)
+    needed = lambda m: F.ceil((2 * least - 1) * (n + m) / 400).cast("int")  # noqa: E731  half of the ratio's bound of both lengths
+    lengths = F.filter(F.sequence(F.greatest(F.lit(1), n - apart), n + apart), lambda m: needed(m) <= F.least(n, m))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform(lengths, lambda m: n - needed(m))), lambda k: _left_out(x, k))))
+
+
+def near_words(words: DataFrame, dictionary: DataFrame, least: int) -> DataFrame:
+    """(w, c): each word w with all dictionary words c that score `least` or more with it.
+
+    Both are looked up by their parts, so a word meets only words that share a long subsequence with it.
+    """
+    w, c = words.filter("w <> ''").distinct(), dictionary.filter("c <> ''").distinct()
+    listed = lambda rows, x: rows.filter(F.length(x) <= LONGEST_LISTED).select(x, F.explode(word_parts(F.col(x), least)).alias("part"))
+    pairs = listed(w, "w").join(listed(c, "c"), "part").select("w", "c")
+    sizes = lambda x: F.explode(F.sequence(F.length(x) - 2, F.length(x) + 2))
+    long_ = w.filter(F.length("w") > LONGEST_LISTED - 2).withColumn("size", sizes("w")).join(c.filter(F.length("c") > LONGEST_LISTED - 2).withColumn("size", F.length("c")), "size").select("w", "c")
+    same = w.join(c, text.collapse(F.col("w")) == text.collapse(F.col("c"))).filter(text.collapse(F.col("w")) != "").select("w", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = alike.word_scores(batch.column(0), batch.column(1)) >= least
+            yield batch.filter(pa.array(good))
+
+    return pairs.union(long_).distinct().mapInArrow(run, "w string, c string").union(same).distinct()
+
+
+def corrections(asked: DataFrame, titles: DataFrame, least: int = V.SPELL_LEAST, limit: int = V.SPELL_TRIED) -> DataFrame:
+    """(text, base, original, score, place): for each distinct text of asked, the titles that it may mean, as spell_candidates() finds them for one.
+
+    asked: (text), stripped of technical words; titles: (base, original). A mean of at least `least` needs
+    one word that scores so much, so a text's candidates are the titles with a near word of some of its
+    words; they are looked up by word. Texts without words mean nothing.
+    """
+    texts = asked.select("text").filter("text <> ''").distinct().withColumn("wanted", text.words(F.col("text")))
+    bases = titles.withColumn("words", text.words(F.col("base")))
+    held = texts.select("text", F.size("wanted").alias("n"), F.explode("wanted").alias("w"))
+    postings = bases.select("base", F.size("words").alias("m"), F.explode(F.array_distinct("words")).alias("c"))
+    near = near_words(held.select("w"), postings.select("c"), least)
+    by_word = held.join(near, "w").join(postings, "c").filter("m <= n + 1").select("text", "base")
+    letters = texts.select("text", text.collapse(F.col("text")).alias("k")).join(bases.select("base", text.collapse(F.col("base")).alias("k")), "k").select("text", "base")
+    pairs = by_word.union(letters).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(0), batch.column(1)
+            split = lambda x: pc.split_pattern_regex(pc.utf8_trim(x, " "), " +")
+            score = alike.mean_of_best(split(one), split(two))
+            score[pc.equal(alike.collapsed(one), alike.collapsed(two)).to_numpy(zero_copy_only=False)] = 100
+            good = score >= least
+            yield pa.RecordBatch.from_arrays([one.filter(pa.array(good)), two.filter(pa.array(good)), pa.array(score[good].astype("int32"))], ["text", "base", "score"])
+
+    scored = pairs.mapInArrow(run, "text string, base string, score int")
+    best = Window.partitionBy("text").orderBy(F.desc("score"), "base")
+    ranked = scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+    return ranked.join(titles, "base").select("text", "base", "original", "score", "place")
 
 
 def suggestions(candidates: DataFrame, asked: str, least: int = V.SUGGEST_LEAST, limit: int = V.SUGGESTED) -> DataFrame:
@@ -133,12 +190,12 @@ def suggestions(candidates: DataFrame, asked: str, least: int = V.SUGGEST_LEAST,
 def in_store(suggested: DataFrame, titles: DataFrame, least: int = V.IN_STORE_LEAST, gap: int = V.IN_STORE_GAP) -> DataFrame:
     """The suggested titles that the dictionary has: the same letters, or alike and of nearly the same length.
 
-    suggested is a top list of a few titles, from suggestions(); each meets the titles of the lengths
-    within the gap, so the dictionary is read once and no title meets another one.
+    Distinct cleaned texts meet the titles of the lengths within the gap, each pair once.
     """
     s = suggested.select("title", text.strip_tech(F.regexp_replace("title", r"\s*\(\d{4}\)\s*$", "")).alias("a"))
-    t = titles.select(F.col("base").alias("b"))
+    t = titles.select(F.col("base").alias("b")).distinct()
     exact = s.join(t, text.collapse(F.col("a")) == text.collapse(F.col("b")), "left_semi").select("title")
-    near = s.withColumn("len", F.explode(F.sequence(F.greatest(F.length("a") - gap, F.lit(0)), F.length("a") + gap))).join(t.withColumn("len", F.length("b")), "len")
-    fuzzy = scored_pairs(near.select("title", "a", "b"), "a", "b").filter(F.col("score") >= least).select("title")
-    return exact.union(fuzzy).distinct()
+    left = s.join(t, text.collapse(F.col("a")) == text.collapse(F.col("b")), "left_anti").select("a").distinct()
+    near = left.withColumn("len", F.explode(F.sequence(F.greatest(F.length("a") - gap, F.lit(0)), F.length("a") + gap))).join(t.withColumn("len", F.length("b")), "len")
+    good = scored_pairs(near.select("a", "b"), "a", "b").filter(F.col("score") >= least).select("a").distinct()
+    return exact.union(s.join(good, "a", "left_semi").select("title")).distinct()

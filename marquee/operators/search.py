@@ -7,13 +7,15 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
 from ..functions import vocab as V
 from ..plans.query import Query, collapse, strip_tech
-from ..sources.catalog import federate, federate_filtered
+from ..sources.catalog import federate_filtered
+from ..sources.index import TextIndex
+from .order import placed
 
 
 def quoted(x: str) -> str:
@@ -110,8 +112,10 @@ def rank_keys(q: Query) -> dict[str, Column]:
     }
 
 
-def search(files: DataFrame, q: Query | None, captions: bool = True) -> DataFrame:
-    """The files that the query finds, with their ranking keys: filtered in the scan's stage, then one row per id."""
+def search(files: DataFrame | TextIndex, q: Query | None, captions: bool = True) -> DataFrame:
+    """The files that the query finds, with their ranking keys: filtered in the scan's stage, then one row per id. Of an index, only what its lists name is read."""
+    if isinstance(files, TextIndex):
+        files = files.rows(q, captions)
     if q is None:
         return files.limit(0).select(*files.columns, *[F.lit(0).alias(k) for k in ("title_tier",)])
     fits = matches(F.col("file_name"), q)
@@ -122,13 +126,27 @@ def search(files: DataFrame, q: Query | None, captions: bool = True) -> DataFram
 
 def ranked(found: DataFrame, q: Query) -> DataFrame:
     """In the order of the ranking, ties by file_id. With a limit after it Spark keeps only the top rows of each task."""
-    return found.orderBy(*[F.desc(k) for k in rank_keys(q)], F.asc("file_id"))
+    return found.orderBy(*order(q))
 
 
-def top(found: DataFrame, q: Query, limit: int = V.RANKED_ROWS) -> DataFrame:
-    """The best rows of the ranking with their place: the window without a key runs over `limit` rows at most."""
-    order = [*[F.desc(k) for k in rank_keys(q)], F.asc("file_id")]
-    return ranked(found, q).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+def order(q: Query) -> list[Column]:
+    """The order of the ranking: total, since ties go by file_id."""
+    return [*[F.desc(k) for k in rank_keys(q)], F.asc("file_id")]
+
+
+def top(found: DataFrame, q: Query) -> DataFrame:
+    """All rows with their place in the ranking, however many: no task sees more of them than a range."""
+    return placed(found, order(q))
+
+
+def page_after(found: DataFrame, q: Query, last: Row | None, limit: int = V.PAGE_SIZE) -> DataFrame:
+    """The rows that follow the last row seen (with its ranking keys; None: from the best), in order: deep pages cost what the first one does."""
+    if last is not None:
+        names = list(rank_keys(q))
+        keys = F.struct(*[F.col(k) for k in names])
+        seen = F.struct(*[F.lit(last[k]).cast(found.schema[k].dataType).alias(k) for k in names])
+        found = found.filter((keys < seen) | (keys == seen) & (F.col("file_id") > last["file_id"]))
+    return ranked(found, q).limit(limit)
 
 
 def page(found: DataFrame, q: Query, offset: int = 0, limit: int = V.PAGE_SIZE) -> tuple[DataFrame, int | None, int]:
@@ -208,8 +226,3 @@ def delete_pattern(asked: str) -> str:
     if not words:
         return "."
     return text.rx(rf"(\b|[.+\-_]){words[0]}(\b|[.+\-_])" if len(words) == 1 else r"[\s._\-+]+".join(words))
-
-
-def find_all(files: DataFrame) -> DataFrame:
-    """The whole catalog: what a query without any pattern finds."""
-    return federate(files)

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .functions import extract, parse, scalar, text
 from .functions import vocab as V
-from .operators import engage, fuzzy, groups, mutate, rollup, search
+from .operators import contain, engage, fuzzy, groups, mutate, rollup, search
 from .plans.query import prepare
 from .sources import catalog
 from .sources import fixtures as X
+from .sources.index import TextIndex
+from .sources.store import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,12 +153,12 @@ def _top(spark: SparkSession, sf: str, asked: str, stop: tuple[str, ...] = ()) -
     return search.top(search.search(_files(spark, sf), q), q).select("place", "file_id", F.col("title_tier").cast("int"))
 
 
-@query(f"WITH {_ranked(ASKED, 0)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked WHERE place <= {V.RANKED_ROWS}")
+@query(f"WITH {_ranked(ASKED, 0)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked")
 def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return _top(spark, sf, ASKED, X.STOP_PHRASES)
 
 
-@query(f"WITH {_ranked(TIER_ASKED, 1999)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked WHERE place <= {V.RANKED_ROWS}")
+@query(f"WITH {_ranked(TIER_ASKED, 1999)} SELECT place, file_id, title_tier::INT AS title_tier FROM ranked")
 def search_ranked_year(spark: SparkSession, sf: str) -> DataFrame:
     return _top(spark, sf, TIER_ASKED)
 
@@ -167,6 +169,35 @@ def search_page(spark: SparkSession, sf: str) -> DataFrame:
     return search.ranked(search.search(_files(spark, sf), q), q).offset(10).limit(V.PAGE_SIZE).select("file_id", "file_name")
 
 
+@query(f"WITH {_ranked(ASKED, 0)} SELECT place, file_id FROM ranked WHERE place > 10 ORDER BY place LIMIT {V.PAGE_SIZE}")
+def search_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page, from the last row of the first one."""
+    q = prepare(ASKED, X.STOP_PHRASES)
+    found = search.search(_files(spark, sf), q)
+    first = search.page_after(found, q, None).collect()
+    last = first[-1] if first else None
+    rows = search.page_after(found, q, last).select("file_id").collect()
+    return spark.createDataFrame([(len(first) + k, r[0]) for k, r in enumerate(rows, 1)], "place long, file_id string")
+
+
+def _index(spark: SparkSession, sf: str) -> TextIndex:
+    """The catalog's index, stored once a session: an older state of the catalog, and a segment with what has changed since."""
+
+    def make(path: str) -> None:
+        files, k = _files(spark, sf), F.col("file_id").cast("long")
+        old = files.filter(k % 10 != 1).withColumn("file_name", F.when(k % 7 == 0, F.concat(F.lit("blue bolt "), F.reverse("file_name"))).otherwise(F.col("file_name")))
+        gone = files.filter(k % 50 == 0).withColumn("file_id", F.concat(F.lit("x"), "file_id"))
+        index = TextIndex.build(old.unionByName(gone), path)
+        index.append(files.filter((k % 10 == 1) | (k % 7 == 0)), deleted=gone)
+
+    return TextIndex.open(spark, once(spark, "text_index", sf, make))
+
+
+@query(f"WITH {_found(ASKED)} SELECT file_id, file_name, store FROM found")
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_index(spark, sf), prepare(ASKED, X.STOP_PHRASES)).select("file_id", "file_name", "store")
+
+
 @query(f"WITH {_found(ASKED)} SELECT file_id FROM found WHERE contains(lower(file_name), 'hindi')")
 def search_lang(spark: SparkSession, sf: str) -> DataFrame:
     return search.in_language(search.search(_files(spark, sf), prepare(ASKED)), "hindi").select("file_id")
@@ -207,6 +238,13 @@ def facets(spark: SparkSession, sf: str) -> DataFrame:
     return search.facets(search.search(_files(spark, sf), prepare(ASKED)))
 
 
+def facets_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return search.facets(search.search(_index(spark, sf), prepare(ASKED)))
+
+
+QUERIES["facets_indexed"], ORACLES["facets_indexed"] = facets_indexed, ORACLES["facets"]
+
+
 @query(f"WITH {X.FILES} SELECT file_id FROM catalog WHERE regexp_matches({BOTH}, '(?i)\\bs0*3(\\D|$)') OR regexp_matches({BOTH}, '(?i)\\bseason[\\s._\\-]*0*3\\b')")
 def facet_season(spark: SparkSession, sf: str) -> DataFrame:
     return search.with_season(catalog.federate(_files(spark, sf)), 3).select("file_id")
@@ -261,6 +299,15 @@ def loose_key_scan(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.by_loose_key(_files(spark, sf), "bluue boltt").select("file_id")
 
 
+@query(f"""WITH {X.FILES}, {KEYED}, n AS (SELECT DISTINCT {_loose('title_key')} AS key FROM keyed), k AS (SELECT key FROM n WHERE key <> ''),
+a AS (SELECT DISTINCT {_loose(X.LOOSELY_SQL)} AS ask FROM part)
+SELECT ask, key, contains(key, ask) AS in_name, contains(ask, key) AS in_ask FROM a, k WHERE ask <> '' AND (contains(key, ask) OR contains(ask, key))""".replace("n AS (SELECT DISTINCT", "n2 AS (SELECT DISTINCT").replace("FROM n WHERE key", "FROM n2 WHERE key"))
+def loose_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """All titles asked for loosely, against all title keys."""
+    keys = catalog.with_keys(catalog.federate(_files(spark, sf))).select(text.fuzzy_normal(F.col("title_key")).alias("key"))
+    return contain.contained(X.loosely_asked(spark, sf).select(text.fuzzy_normal(F.col("said")).alias("ask")), keys, "ask", "key")
+
+
 @query(f"""WITH {X.FILES}, b AS (SELECT lower({_squeeze(f"regexp_replace({_sub('file_name', V.BASE_JUNK, '')}, '[._\\-\\+\\[\\]()''\"]+', ' ', 'g')")}) AS base, file_name FROM catalog)
 SELECT base, min(file_name) AS original FROM b WHERE base <> '' GROUP BY base""")
 def base_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -806,8 +853,24 @@ def spell_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy.spell_candidates(catalog.titles(_files(spark, sf)), prepare(MISTYPED))
 
 
-#: What an outside source suggests: title and place.
-SUGGESTED = (("Blue Bolt", 0), ("BLUE BOLT", 1), ("Blue Bold (2020)", 2), ("Nothing Like It", 3))
+@query(f"""WITH RECURSIVE {X.FILES}, {_BASE}, said AS (SELECT p_partkey AS id, {_strip(X.MISTYPED_SQL)} AS text FROM part), texts AS (SELECT DISTINCT text, list_filter(string_split(text, ' '), lambda w: w <> '') AS wanted, {_collapse("text")} AS letters FROM said WHERE text <> ''),
+wanted AS (SELECT DISTINCT text, unnest(wanted) AS a FROM texts), own AS (SELECT DISTINCT base, unnest(words) AS b FROM titles),
+pairs AS (SELECT a, b FROM (SELECT DISTINCT a FROM wanted), (SELECT DISTINCT b FROM own) WHERE abs(length(a) - length(b)) <= 2), {_COMMON},
+alike AS (SELECT w.a, o.b, max(CASE WHEN {_collapse("o.b")} = {_collapse("w.a")} THEN 100 ELSE round(200 * common / (length(w.a) + length(o.b))) END) AS s FROM (SELECT DISTINCT a FROM wanted) w, (SELECT DISTINCT b FROM own) o
+  LEFT JOIN common ON common.a = w.a AND common.b = o.b GROUP BY ALL HAVING s > 0),
+each_word AS (SELECT t.text, o.base, w.i, max(s) AS s FROM texts t, (SELECT unnest(range(1, 9)) AS i) w JOIN alike ON alike.a = t.wanted[w.i] JOIN own o ON o.b = alike.b GROUP BY ALL),
+sums AS (SELECT text, base, sum(s) AS s FROM each_word GROUP BY ALL),
+scored AS (SELECT x.text, y.base, CASE WHEN x.letters = y.letters THEN 100 ELSE floor(s / len(x.wanted)) END::INT AS score FROM sums JOIN texts x USING (text) JOIN titles y USING (base) WHERE x.letters = y.letters OR len(y.words) <= len(x.wanted) + 1
+  UNION SELECT x.text, y.base, 100 FROM texts x JOIN titles y ON x.letters = y.letters),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, base) AS place FROM scored WHERE score >= {V.SPELL_LEAST})
+SELECT said.id, base, score FROM said JOIN ranked USING (text) WHERE place = 1""")
+def spell_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The likeliest title of every mistyped text, in one job."""
+    said = X.mistyped(spark, sf).select("id", text.strip_tech(F.col("said")).alias("text"))
+    best = fuzzy.corrections(said, catalog.titles(_files(spark, sf)), limit=1)
+    return said.join(best, "text").select("id", "base", "score")
+
+
 _WINDOWS = "unnest(list_transform(range(0, length(y) - length(x) + 1), lambda k: substr(y, k + 1, length(x))))"
 
 
@@ -819,22 +882,22 @@ scored AS (SELECT cuts.a, cuts.b, max(CASE WHEN cuts.a = '' OR cuts.b = '' THEN
   FROM cuts JOIN common ON common.a = x AND common.b = part GROUP BY cuts.a, cuts.b)"""
 
 
-_OUTSIDE = "outside AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {k})" for t, k in SUGGESTED) + ") v(title, place))"
+_ONCE = f"""{X.OUTSIDE}, once AS (SELECT arg_min(title, place) AS title, min(place) AS place, {_strip("lower(title)")} AS a, 'blue bolt' AS b FROM outside GROUP BY lower(title))"""
 
 
-@query(f"""WITH RECURSIVE {_OUTSIDE}, once AS (SELECT arg_min(title, place) AS title, min(place) AS place, {_strip("lower(title)")} AS a, 'blue bolt' AS b FROM outside GROUP BY lower(title)), {_alike("once")}
+@query(f"""WITH RECURSIVE {_ONCE}, {_alike("once")}
 SELECT title, score FROM once JOIN scored USING (a, b) WHERE score >= {V.SUGGEST_LEAST} ORDER BY score DESC, place LIMIT {V.SUGGESTED}""")
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    return fuzzy.suggestions(spark.createDataFrame(list(SUGGESTED), "title string, place int"), "blue bolt")
+    return fuzzy.suggestions(X.outside(spark, sf), "blue bolt")
 
 
-@query(f"""WITH RECURSIVE {X.FILES}, {KEYED}, {_OUTSIDE}, s AS (SELECT title, {_strip("regexp_replace(title, '\\s*\\(\\d{4}\\)\\s*$', '')")} AS a FROM outside WHERE place IN (0, 2)),
+@query(f"""WITH RECURSIVE {X.FILES}, {KEYED}, {X.OUTSIDE}, s AS (SELECT DISTINCT title, {_strip("regexp_replace(title, '\\s*\\(\\d{{4}}\\)\\s*$', '')")} AS a FROM outside),
 t AS (SELECT DISTINCT title_key AS b FROM keyed WHERE title_key <> ''), near AS (SELECT DISTINCT a, b FROM s, t WHERE abs(length(a) - length(b)) <= {V.IN_STORE_GAP}), {_alike("near")}
 SELECT DISTINCT title FROM s WHERE {_collapse("a")} IN (SELECT {_collapse("b")} FROM t) OR a IN (SELECT a FROM scored WHERE score >= {V.IN_STORE_LEAST})""")
 def suggestion_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all titles that an outside source has, those in the store."""
     titles = groups.cards(catalog.with_keys(catalog.federate(_files(spark, sf)))).select(F.col("title_key").alias("base"))
-    asked = spark.createDataFrame(list(SUGGESTED), "title string, place int")
-    return fuzzy.in_store(fuzzy.suggestions(asked, "blue bolt"), titles)
+    return fuzzy.in_store(X.outside(spark, sf).select("title").distinct(), titles)
 
 
 from . import queries_records  # noqa: E402, F401  it registers its own queries

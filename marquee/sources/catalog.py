@@ -63,12 +63,6 @@ def by_loose_key(files: DataFrame, key: str) -> DataFrame:
     return federate(files).filter((F.length(loose) > 0) & (loose.contains(wanted) | wanted.contains(loose)))
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """The inverted index of names: (token, file_id), to be written partitioned by a hash of token."""
-    words = F.array_distinct(F.filter(F.split(F.lower("file_name"), "[^a-z0-9]+"), lambda w: w != ""))
-    return federate(files).select(F.explode(words).alias("token"), "file_id")
-
-
 def text_prefilter(files: DataFrame, terms: str) -> DataFrame:
     """The files that have any of the terms as a word, with the number of terms they have: no cap on candidates. Words are compared within the row."""
     wanted = F.array(*[F.lit(w) for w in sorted({w for w in terms.lower().split() if w})]).cast("array<string>")

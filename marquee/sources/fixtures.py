@@ -5,7 +5,7 @@ Every relation is a deterministic expression over one scan: no row is invented o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Times that queries are asked at: always a literal, never the clock.
@@ -187,7 +187,38 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "ts", "event_id", F.col("event_type").alias("text"))
 
 
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the order; Spark bounds what each task keeps."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+def loosely_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, said): parts of titles, whole titles with doubled letters, and titles with more words; of each part one."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    piece = F.substr(name, (k % 4 + 1).cast("int"), (k % 9 + 1).cast("int"))
+    said = F.when(k % 3 == 0, piece).when(k % 3 == 1, F.replace(name, F.lit("l"), F.lit("ll"))).otherwise(F.concat(F.lit("all of "), name, F.lit(" "), (k % 12).cast("string")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), said.alias("said"))
+
+
+LOOSELY_SQL = """CASE p_partkey % 3 WHEN 0 THEN substr(p_name, p_partkey % 4 + 1, p_partkey % 9 + 1) WHEN 1 THEN replace(p_name, 'l', 'll') ELSE 'all of ' || p_name || ' ' || (p_partkey % 12)::VARCHAR END"""
+
+
+def mistyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, said): titles with a letter left out, one doubled, without the space, or with two swapped words; of each part one."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    at = (k % F.length(name)).cast("int")
+    cut = F.concat(F.substr(name, F.lit(1), at), F.substr(name, at + 2, F.length(name)))
+    doubled = F.concat(F.substr(name, F.lit(1), at), F.substr(name, at, F.length(name)))
+    swapped = F.concat(F.substring_index(name, " ", -1), F.lit(" "), F.substring_index(name, " ", 1))
+    said = F.when(k % 4 == 0, cut).when(k % 4 == 1, doubled).when(k % 4 == 2, F.replace(name, F.lit(" "), F.lit(""))).otherwise(swapped)
+    return table(spark, sf_dir, "part").select(k.alias("id"), said.alias("said"))
+
+
+MISTYPED_SQL = """CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2)
+  WHEN 1 THEN substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, greatest(p_partkey % length(p_name), 1)) WHEN 2 THEN replace(p_name, ' ', '') ELSE split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) END"""
+
+
+def outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(title, place): titles as an outside source may suggest them, in several spellings; of each part one."""
+    k, name = F.col("p_partkey"), F.initcap("p_name")
+    title = F.when(k % 3 == 0, F.upper(name)).when(k % 3 == 1, F.concat(name, F.lit(" ("), (1990 + k % 7).cast("string"), F.lit(")"))).otherwise(name)
+    return table(spark, sf_dir, "part").select(title.alias("title"), k.cast("int").alias("place"))
+
+
+_CAPITALS = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+OUTSIDE = f"outside AS (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN {_CAPITALS} || ' (' || (1990 + p_partkey % 7)::VARCHAR || ')' ELSE {_CAPITALS} END AS title, p_partkey::INT AS place FROM part)"
