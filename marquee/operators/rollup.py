@@ -66,21 +66,26 @@ def once_per_name(feed: DataFrame) -> DataFrame:
     return feed.groupBy("base_name", "filename").agg(F.min(F.struct(*others)).alias("r")).select("base_name", "filename", *[f"r.{c}" for c in others])
 
 
-def title_rollup(feed: DataFrame) -> DataFrame:
-    """(base_name, files, tag, qualities, resolutions, languages, platforms): sorted unions over a title's files, each filename once.
-
-    A file without a resolution gives what its quality field says, split in sources and resolutions, as
-    well. The unions are sets of a bounded vocabulary: they combine before the shuffle whatever a title's size.
-    """
+def said_values(feed: DataFrame) -> DataFrame:
+    """(base_name, filename, tag, q, r, l, p): each file with what it says of quality, resolution, languages and platforms."""
     old = F.coalesce("resolution", F.lit("N/A")) == "N/A"
     quality = F.coalesce("quality", F.lit("N/A"))
     none = F.array().cast("array<string>")
-    rows = once_per_name(feed).select(
-        "base_name", "tag",
+    return feed.select(
+        "base_name", "filename", "tag",
         F.concat(_parts(F.col("quality"), ","), F.when(old, _parts(extract.feed_sources(quality), ",")).otherwise(none)).alias("q"),
         F.concat(_parts(F.col("resolution"), ","), F.when(old, _parts(extract.feed_resolutions(quality), ",")).otherwise(none)).alias("r"),
         _parts(F.col("language"), ",").alias("l"), _parts(F.col("ott_platform"), r"\|").alias("p"),
     )
+
+
+def title_rollup(feed: DataFrame) -> DataFrame:
+    """(base_name, files, tag, qualities, resolutions, languages, platforms): sorted unions over a title's files, each filename once.
+
+    A file without a resolution gives what its quality field says, split in sources and resolutions, as
+    well. The unions are sets of a bounded vocabulary: they combine before the shuffle whatever a title's size.
+    """
+    rows = said_values(once_per_name(feed))
     long = rows.select("base_name", F.explode(F.concat(*[_named(c) for c in ("q", "r", "l", "p")])).alias("v"))
     of = lambda k, name: F.coalesce(F.nullif(F.array_join(F.sort_array(F.collect_set(F.when(F.col("v.kind") == k, F.col("v.value")))), ", "), F.lit("")), F.lit("N/A")).alias(name)
     files = rows.groupBy("base_name").agg(F.count("*").alias("files"), F.max(F.col("tag") == "#SERIES").alias("series"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from .operators import engage, groups, mutate, rollup
 from .queries import _UNITS, NAMED, ORACLES, QUERIES, _feed_platforms, _feed_said, _first, _langs, _squeeze, _sub, _web_se, query
 from .sources import catalog
 from .sources import fixtures as X
+from .sources.store import shared_folder
 from .streaming import feeds
 
 # ---- reads by key
@@ -192,14 +192,6 @@ def media_info(spark: SparkSession, sf: str) -> DataFrame:
 # ---- streams: the batches of a folder, to its end; what they leave must be what one batch gives
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; only on one machine, where none is set, a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='marquee-stream-')}/stream-{uuid.uuid4().hex}"
-
-
 def _arriving(rows: DataFrame, path: str, files: int = 3) -> DataFrame:
     """rows as a stream of several batches, in no order of time: late rows are among them."""
     rows.repartition(files).write.parquet(f"{path}/in")
@@ -207,19 +199,19 @@ def _arriving(rows: DataFrame, path: str, files: int = 3) -> DataFrame:
 
 
 def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark)
+    path = shared_folder(spark)
     feeds.rollup_stream(_arriving(X.feed(spark, sf).drop("ts"), path), f"{path}/out", f"{path}/state").awaitTermination()
     return feeds.rollups(spark, f"{path}/out")
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    path, stored = _scratch(spark), _stored(spark, sf)
+    path, stored = shared_folder(spark), _stored(spark, sf)
     feeds.ingest(_arriving(X.incoming(spark, sf), path), f"{path}/out", f"{path}/state", stored).awaitTermination()
     return feeds.current(spark, f"{path}/out", stored).select("file_id", "file_name", "caption", "category")
 
 
 def stream_deletes(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark)
+    path = shared_folder(spark)
     gone = X.table(spark, sf, "part").filter("p_size > 25").select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("file_id"))
     feeds.tombstones(_arriving(gone, path), f"{path}/out", f"{path}/state").awaitTermination()
     return feeds.alive(spark, f"{path}/out", X.files(spark, sf)).select("file_id", "store")
@@ -229,6 +221,54 @@ def _stored(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.federate(X.files(spark, sf)).select("file_id", "file_name", "caption", "category")
 
 
-for _name, _same in (("stream_rollup", "rollup_sets"), ("stream_ingest", "upsert_snapshot"), ("stream_deletes", "delete_ids")):
+def _until(rows: DataFrame, end: DataFrame, path: str) -> DataFrame:
+    """As _arriving(), and after all others the rows `end`, whose time is past all that is waited for."""
+    stream = _arriving(rows, path)
+    time.sleep(0.1)  # files come in the order of their times
+    end.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return stream
+
+
+def _left(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """What a stream that was read to its end has put out."""
+    feeds.append_to(rows, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+def _events_until(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """events as a stream, waited for as long as they are late here, and rows far behind them that end the wait."""
+    e = X.table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    end = spark.sql("SELECT CAST(-1 AS BIGINT) AS event_id, CAST(-1 AS BIGINT) AS user_id, kind AS event_type, TIMESTAMP_NTZ '2100-01-01' AS ts FROM VALUES ('view'), ('click') AS v(kind)")
+    end = end.select(*[F.col(f.name).cast(f.dataType) for f in e.schema])
+    return feeds.with_event_time(_until(e, end, path), lateness="100 days")
+
+
+def stream_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    """The bursts of each user, in whatever order the events come: state and timers give what the windows of one batch give."""
+    path = shared_folder(spark)
+    out = _left(spark, feeds.bursts(_events_until(spark, sf, path), "user_id", 6 * 3600), path)
+    return out.filter("user_id >= 0").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+def stream_unanswered(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark)
+    events = _events_until(spark, sf, path)
+    out = _left(spark, feeds.unanswered_stream(events.filter("event_type = 'view'"), events.filter("event_type = 'click'"), seconds=7200), path)
+    return out.filter("user_id >= 0")
+
+
+@query(f"WITH {X.MEMBERS} SELECT id, e AS expiry_time FROM m0 WHERE e < TIMESTAMP '{X.ORDERS_AS_OF}'")
+def stream_expiries(spark: SparkSession, sf: str) -> DataFrame:
+    """Memberships that have ended when the watermark reaches the time asked at: each order is a grant, and the last grant of a member counts."""
+    path, late = shared_folder(spark), 5000
+    days = F.when(F.col("o_orderpriority").startswith("1"), 365).otherwise(30)
+    grants = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), (F.col("o_orderdate") + F.make_dt_interval(days)).cast("timestamp_ntz").alias("expiry_time"))
+    end = spark.sql(f"SELECT CAST(-1 AS BIGINT) AS id, TIMESTAMP_NTZ '{X.ORDERS_AS_OF}' + INTERVAL '{late}' DAY AS ts, CAST(NULL AS TIMESTAMP_NTZ) AS expiry_time")
+    rows = feeds.with_event_time(_until(grants, end.select(*[F.col(f.name).cast(f.dataType) for f in grants.schema]), path), lateness=f"{late} days")
+    out = _left(spark, feeds.expiries(rows.withColumn("expiry_time", F.col("expiry_time").cast("timestamp"))), path)
+    return out.select("id", F.col("expiry_time").cast("timestamp_ntz").alias("expiry_time"))
+
+
+for _name, _same in (("stream_rollup", "rollup_sets"), ("stream_ingest", "upsert_snapshot"), ("stream_deletes", "delete_ids"), ("stream_bursts", "debounce_sessions"), ("stream_unanswered", "unanswered_offers")):
     QUERIES[_name] = globals()[_name]
     ORACLES[_name] = ORACLES[_same]

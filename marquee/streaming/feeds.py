@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vocab as V
 from ..operators.mutate import changes, delete_ids, with_changes
-from ..operators.rollup import once_per_name, title_rollup
+from ..operators.rollup import said_values
+from .state import TITLE_FIELDS, Bursts, Expiries, TitleRollup, rocksdb_state
 
 #: How late rows may come to once_per_id() and to windows; later ones are dropped there. Ingest, tombstones and roll-ups drop none: their state is a log.
 LATENESS = "10 minutes"
@@ -83,20 +82,19 @@ def alive(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
 
 
 def rollup_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Feed rows as a log, each name once, and after each batch the roll-ups of the titles that it touched. rollups() has the last of each."""
-    names = ["base_name", "filename"]
+    """Feed rows rolled up by title in keyed state; after each batch the roll-ups of the titles that it touched are written. rollups() has the last of each.
+
+    The state has each title's filenames and values, so a batch reads its own rows and the state of its
+    titles, and nothing that was written before. Of several rows of one filename the first that comes counts.
+    """
+    said = said_values(rows).select("base_name", "filename", F.coalesce(F.col("tag") == "#SERIES", F.lit(False)).alias("series"), "q", "r", "l", "p")
+    states = said.groupBy("base_name").transformWithStateInPandas(TitleRollup(), TITLE_FIELDS, "Update", "None")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark, new = batch.sparkSession, once_per_name(batch)
-        if epoch:
-            known = spark.read.parquet(f"{path}/rows").filter(F.col("epoch") < epoch).select(*names)
-            new = new.join(known, names, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
-        log = spark.read.parquet(f"{path}/rows").filter(F.col("epoch") <= epoch)
-        touched = log.filter(F.col("epoch") == epoch).select("base_name").distinct()
-        title_rollup(log.drop("epoch").join(touched, "base_name", "left_semi")).write.mode("overwrite").parquet(f"{path}/titles/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/titles/epoch={epoch}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb_state(rows.sparkSession):
+        return states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rollups(spark: SparkSession, path: str) -> DataFrame:
@@ -106,18 +104,37 @@ def rollups(spark: SparkSession, path: str) -> DataFrame:
     return log.groupBy("base_name").agg(F.max_by(F.struct(*fields), "epoch").alias("r")).select("base_name", "r.*")
 
 
-def debounce_timers(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> DataFrame:
-    """(key, n): as debounced(), by a timer for each key that every row of the key sets anew: for state that a window can't hold."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "n": [n]})
-            return
-        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
-        state.update((n,))
-        state.setTimeoutDuration(seconds * 1000)
+def bursts(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> DataFrame:
+    """(key, first, last, n): as debounced(), by state and event-time timers: a burst comes out once the watermark is past its last row by the seconds.
 
+    rows: with_event_time() of (key, ts). Rows in any order within the lateness count; those behind the watermark are dropped.
+    """
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    at = rows.select(key, "ts", F.unix_micros("ts").alias("at"))
+    out = at.groupBy(key).transformWithStateInPandas(Bursts(key, seconds), f"`{key}` {kind}, first long, last long, n long", "Append", "EventTime")
+    return out.select(key, F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n")
+
+
+def expiries(grants: DataFrame) -> DataFrame:
+    """(id, expiry_time): each membership that ends, out when the watermark passes its end; a later grant of the same member moves it.
+
+    grants: with_event_time() of (id, ts, expiry_time: timestamp).
+    """
+    out = grants.select("id", "ts", F.unix_micros("expiry_time").alias("end")).groupBy("id").transformWithStateInPandas(Expiries(), "id long, end long", "Append", "EventTime")
+    return out.select("id", F.timestamp_micros("end").alias("expiry_time"))
+
+
+def unanswered_stream(offers: DataFrame, clicks: DataFrame, seconds: int = 120) -> DataFrame:
+    """(event_id, user_id): offers that no click of their user follows within the seconds, out when both watermarks tell that none can come.
+
+    Both sides: with_event_time() of (user_id, ts, and event_id of the offers).
+    """
+    o, c = offers.select("event_id", "user_id", F.col("ts").alias("offered")), clicks.select(F.col("user_id").alias("by"), F.col("ts").alias("clicked"))
+    within = (F.col("user_id") == F.col("by")) & (F.col("clicked") >= F.col("offered")) & (F.col("clicked") <= F.col("offered") + F.expr(f"INTERVAL '{seconds}' SECOND"))
+    return o.join(c, within, "left_outer").filter("clicked is null").select("event_id", "user_id")
+
+
+def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """rows, as they come out, as Parquet files at path; each once, whatever is run again."""
+    with rocksdb_state(rows.sparkSession):
+        return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
