@@ -46,6 +46,18 @@ def quota_left(downloads: DataFrame, as_of: str, limit: int = V.FREE_FILES) -> D
     return downloads.groupBy("user_id").agg(used.alias("used")).withColumn("remaining", F.greatest(F.lit(0), limit - F.col("used")))
 
 
+def counters(increments: DataFrame, resets: DataFrame) -> DataFrame:
+    """(user_id, count): each user's increments (user_id, ts) after the last reset (user_id, ts) of that user or, with a null user, of all.
+
+    Resets of all are a few times, of which the last counts; a user who was reset and has no later increment counts 0.
+    """
+    last = resets.filter("user_id is not null").groupBy("user_id").agg(F.max("ts").alias("own"))
+    every = resets.filter("user_id is null").agg(F.max("ts")).first()[0]
+    rows = increments.select("user_id", "ts").join(last, "user_id", "full_outer")
+    since = F.greatest("own", F.lit(every).cast(increments.schema["ts"].dataType))
+    return rows.groupBy("user_id").agg(F.count(F.when(since.isNull() | (F.col("ts") > since), F.col("ts"))).alias("count"))
+
+
 def active(members: DataFrame, as_of: str) -> DataFrame:
     return members.filter(F.col("expiry_time") > F.lit(as_of).cast("timestamp_ntz"))
 

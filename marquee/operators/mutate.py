@@ -81,11 +81,6 @@ def merged_phrases(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.min("added").alias("added"))
 
 
-def emptied(rows: DataFrame) -> tuple[DataFrame, int]:
-    """An empty snapshot, and how many rows there were."""
-    return rows.limit(0), rows.count()
-
-
 def by_key(tables: dict[str, DataFrame], key: int | str) -> DataFrame:
     """(kind, id, value) of one key in several tables (id, value): the equality reaches every scan."""
     found = [rows.filter(F.col("id") == key).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "value") for kind, rows in tables.items()]
@@ -112,8 +107,3 @@ def granted(members: DataFrame, grants: DataFrame) -> DataFrame:
     last = grants.groupBy("id").agg(F.max_by(F.struct("expiry_time"), "at").alias("g"))
     both = members.join(last, "id", "full_outer")
     return both.select("id", F.when(F.col("g").isNotNull(), F.col("g.expiry_time")).otherwise(F.col("expiry_time")).alias("expiry_time"))
-
-
-def seen_once(rows: DataFrame, key: str) -> DataFrame:
-    """Insert if absent: one row for each key."""
-    return rows.dropDuplicates([key])

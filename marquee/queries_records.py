@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import alphabets, extract, scalar, text
 from .functions import vocab as V
-from .operators import engage, groups, mutate, rollup
+from .operators import codes as codes_of
+from .operators import engage, groups, mutate, rollup, stores
 from .queries import _UNITS, NAMED, ORACLES, QUERIES, _feed_platforms, _feed_said, _first, _langs, _squeeze, _sub, _web_se, query
 from .sources import catalog
 from .sources import fixtures as X
-from .sources.store import shared_folder
+from .sources.store import shared_folder, stored
 from .streaming import feeds
 
 # ---- reads by key
@@ -61,10 +62,95 @@ def ban_user(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {X.FILES} SELECT store, count(*) AS dropped, 0::BIGINT AS left FROM files GROUP BY store")
 def drop_all(spark: SparkSession, sf: str) -> DataFrame:
-    files = X.files(spark, sf)
-    after = mutate.emptied(files)[0].groupBy("store").agg(F.count("*").alias("n"))
-    before = files.groupBy("store").agg(F.count("*").alias("dropped"))
-    return before.join(after, "store", "left").select("store", "dropped", F.coalesce("n", F.lit(0).cast("long")).alias("left"))
+    path = shared_folder(spark)
+    stores.create(X.files(spark, sf), path)
+    return stores.drop_all(spark, path)
+
+
+#: Capacities: what the stores hold and three, and two, tenths of what comes.
+_SAVED = f"""{X.FILES}, {X.ARRIVALS}, came AS (SELECT file_id, seq, regexp_replace(regexp_replace(file_name, '@\\w+', '', 'g'), '[_\\-.+]', ' ', 'g') AS file_name, regexp_replace(regexp_replace(coalesce(caption, ''), '@\\w+', '', 'g'), '[_\\-.+]', ' ', 'g') AS caption FROM arrivals),
+sized AS (SELECT *, strlen(file_name) + strlen(caption) AS size FROM came), all_new AS (SELECT sum(size) AS s FROM sized),
+used AS (SELECT sum(strlen(file_name) + strlen(coalesce(caption, ''))) FILTER (store = 'primary') AS one, sum(strlen(file_name) + strlen(coalesce(caption, ''))) FILTER (store = 'secondary') AS two FROM files),
+k1 AS (SELECT z.*, f.file_id IS NOT NULL AS known, coalesce(f.caption, '') AS held FROM sized z LEFT JOIN files f ON z.file_id = f.file_id AND f.store = 'primary'),
+n1 AS (SELECT *, coalesce(sum(size) OVER (ORDER BY seq, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k1 WHERE NOT known), f1 AS (SELECT *, before + (SELECT one FROM used) < (SELECT one FROM used) + (SELECT s * 3 // 10 FROM all_new) AS fits FROM n1),
+k2 AS (SELECT z.file_id, z.seq, z.file_name, z.caption, z.size, f.file_id IS NOT NULL AS known, coalesce(f.caption, '') AS held FROM f1 z LEFT JOIN files f ON z.file_id = f.file_id AND f.store = 'secondary' WHERE NOT fits),
+n2 AS (SELECT *, coalesce(sum(size) OVER (ORDER BY seq, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k2 WHERE NOT known), f2 AS (SELECT *, before < (SELECT s * 2 // 10 FROM all_new) AS fits FROM n2),
+saved AS (SELECT file_id, file_name, caption, CASE WHEN caption <> held THEN 'upd' ELSE 'dup' END AS status, 'primary' AS store FROM k1 WHERE known UNION ALL SELECT file_id, file_name, caption, 'suc', 'primary' FROM f1 WHERE fits
+  UNION ALL SELECT file_id, file_name, caption, CASE WHEN caption <> held THEN 'upd' ELSE 'dup' END, 'secondary' FROM k2 WHERE known UNION ALL SELECT file_id, file_name, caption, CASE WHEN fits THEN 'suc' ELSE 'err' END, CASE WHEN fits THEN 'secondary' END FROM f2)"""
+
+
+def _saved(spark: SparkSession, sf: str) -> DataFrame:
+    came, files = X.arrivals(spark, sf), X.files(spark, sf)
+    new = stores.arrived(came).agg(F.sum("size")).first()[0] or 0
+    used = {r["store"]: r["n"] for r in files.groupBy("store").agg(F.sum(stores.size_of()).alias("n")).collect()}
+    return stores.saved(came, files, used.get(stores.FIRST, 0) + new * 3 // 10, used.get(stores.SECOND, 0) + new * 2 // 10)
+
+
+@query(f"WITH {_SAVED} SELECT file_id, status, store FROM saved")
+def save_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two stores that run full: what becomes of each arriving file."""
+    return _saved(spark, sf).select("file_id", "status", "store")
+
+
+@query(f"""WITH {_SAVED}, c AS (SELECT * FROM saved WHERE status IN ('suc', 'upd'))
+SELECT coalesce(f.store, c.store) AS store, coalesce(f.file_id, c.file_id) AS file_id, coalesce(f.file_name, c.file_name) AS file_name, CASE WHEN c.file_id IS NOT NULL THEN c.caption ELSE f.caption END AS caption FROM files f FULL JOIN c ON f.file_id = c.file_id AND f.store = c.store""")
+def saved_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """Both stores after that, merged into the buckets touched."""
+    path = shared_folder(spark)
+    stores.create(X.files(spark, sf), path)
+    stores.merge(spark, path, stored(_saved(spark, sf)))
+    return spark.read.parquet(path).select("store", "file_id", "file_name", "caption")
+
+
+@query("""WITH r AS (SELECT user_id, max(ts) AS own FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events WHERE event_type IN ('signup', 'purchase'))
+SELECT u.user_id, count(e.ts) AS count FROM u LEFT JOIN r ON u.user_id = r.user_id LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = 'purchase' AND e.ts > greatest(coalesce(r.own, TIMESTAMP '2024-01-10'), TIMESTAMP '2024-01-10') GROUP BY 1""")
+def file_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """All users' counters: a sign-up resets one, and one time resets all."""
+    e = X.table(spark, sf, "events")
+    every = spark.sql("SELECT CAST(NULL AS BIGINT) AS user_id, TIMESTAMP_NTZ '2024-01-10' AS ts").select(*[F.col(c).cast(e.schema[c].dataType) for c in ("user_id", "ts")])
+    return engage.counters(X.downloads(spark, sf), e.filter("event_type = 'signup'").select("user_id", "ts").union(every))
+
+
+# ---- codes
+
+_CLAIMS = """claims AS (SELECT event_id, user_id, event_id % 211 AS code, ts FROM events WHERE event_type = 'signup'), code AS (SELECT range AS code, CASE range % 3 WHEN 0 THEN 86400 WHEN 1 THEN 7 * 86400 ELSE 30 * 86400 END AS seconds FROM range(211) WHERE range % 10 <> 7),
+member AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 9 = 0), c AS (SELECT claims.*, seconds, member.id IS NOT NULL AND ts < TIMESTAMP '2024-01-10' AS old, row_number() OVER (ORDER BY ts, event_id) AS i FROM claims LEFT JOIN code USING (code) LEFT JOIN member ON user_id = id),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, []::STRUCT(u BIGINT, t TIMESTAMP)[] AS given, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, NULL::BIGINT AS code, NULL::VARCHAR AS status
+UNION ALL SELECT i, CASE WHEN status = 'ok' THEN list_append(used, code) ELSE used END, CASE WHEN status = 'ok' THEN list_append(given, struct_pack(u := user_id, t := ts + to_seconds(seconds))) ELSE given END, event_id, user_id, code, status FROM (
+  SELECT c.*, r.used, r.given, CASE WHEN c.old OR len(list_filter(r.given, lambda g: g.u = c.user_id AND g.t > c.ts)) > 0 THEN 'member' WHEN seconds IS NULL THEN 'invalid' WHEN list_contains(r.used, c.code) THEN 'used' ELSE 'ok' END AS status FROM r JOIN c ON c.i = r.i + 1) x)"""
+
+
+def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Codes of three durations, claims of them by signing up, and users that are members until a day."""
+    e = X.table(spark, sf, "events").filter("event_type = 'signup'")
+    code = lambda c: F.concat(F.lit("code"), c.cast("string"))
+    seconds = F.when(F.col("id") % 3 == 0, 86400).when(F.col("id") % 3 == 1, 7 * 86400).otherwise(30 * 86400)
+    codes = codes_of.added(spark.createDataFrame([], "code_hash string, seconds int"), spark.range(211).filter("id % 10 <> 7").select(code(F.col("id")).alias("code"), seconds.alias("seconds")))
+    claims = e.select(F.col("event_id").alias("claim_id"), "user_id", F.sha2(code(F.col("event_id") % 211), 256).alias("code_hash"), F.col("ts").alias("at"))
+    members = X.table(spark, sf, "events").filter("user_id % 9 = 0").select(F.col("user_id").alias("id")).distinct().withColumn("expiry_time", F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    return codes, claims, members
+
+
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT event_id AS claim_id, status FROM r WHERE i > 0")
+def redeem_claims(spark: SparkSession, sf: str) -> DataFrame:
+    codes, claims, members = _claims(spark, sf)
+    return codes_of.claim_status(codes, claims, members, codes_of.granted(codes, claims, members))
+
+
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT sha256('code' || code.code::VARCHAR) AS code_hash, seconds, r.code IS NOT NULL AS used, r.user_id FROM code LEFT JOIN r ON code.code = r.code AND r.status = 'ok'")
+def code_list(spark: SparkSession, sf: str) -> DataFrame:
+    codes, claims, members = _claims(spark, sf)
+    return codes_of.listed(codes, codes_of.granted(codes, claims, members))
+
+
+# ---- texts of messages
+
+
+@query(f"""WITH {X.FILES}, {X.INCOMING} SELECT file_id, regexp_replace(file_name, '@\\w+', '', 'g') AS person, CASE WHEN trim(caption) <> '' THEN trim(caption) ELSE file_name END AS shown,
+CASE WHEN contains(file_name, '_S') THEN trim(string_split(file_name, '_S')[-1]) END AS asked_for, coalesce(nullif(array_to_string(regexp_extract_all(caption, '(?i){V.FEED_QUALITY}'), ', '), ''), 'N/A') AS qualities FROM incoming""")
+def message_texts(spark: SparkSession, sf: str) -> DataFrame:
+    name, caption = F.col("file_name"), F.col("caption")
+    return X.incoming(spark, sf).select("file_id", text.person_name(name).alias("person"), text.shown_trimmed(name, caption).alias("shown"), text.after_marker(name, "_S").alias("asked_for"), extract.feed_qualities(caption).alias("qualities"))
 
 
 @query("SELECT CASE WHEN c_custkey % 29 = 0 THEN 'blocked' WHEN c_custkey % 31 = 0 THEN 'deleted' ELSE 'success' END AS status, count(*) AS n FROM customer GROUP BY 1")

@@ -132,6 +132,15 @@ INCOMING = """incoming AS (SELECT CASE WHEN k % 3 = 0 THEN 'n' || file_id ELSE f
   CASE WHEN k % 3 = 1 THEN file_name || ' v2' ELSE caption END AS caption FROM named)"""
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """incoming() with seq: the order in which its rows come."""
+    k = F.when(F.col("file_id").startswith("n"), F.substring("file_id", 2, 8)).otherwise(F.col("file_id")).cast("long")
+    return incoming(spark, sf_dir).withColumn("seq", k * 7919 % 100003)
+
+
+ARRIVALS = INCOMING.replace("incoming AS (SELECT", "arrivals AS (SELECT k * 7919 % 100003 AS seq,", 1)
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the live feed, one per file: (base_name, filename, season, episode, quality, resolution, language, ott_platform, tag, ts)."""
     f = named_files(spark, sf_dir)
