@@ -21,7 +21,7 @@ def granted(codes: DataFrame, claims: DataFrame, members: DataFrame) -> DataFram
     members: (id, expiry_time) before all claims. Claims with a null user, code or time never succeed.
     """
     rows = claims.join(codes.filter("seconds > 0").select("code_hash", "seconds"), "code_hash")
-    rows = rows.join(members.select(F.col("id").alias("user_id"), "expiry_time"), "user_id", "left").filter("at is not null and (expiry_time is null or expiry_time <= at)")
+    rows = rows.join(members.select(F.col("id").alias("user_id"), "expiry_time"), "user_id", "left").filter("user_id is not null and at is not null and (expiry_time is null or expiry_time <= at)")
     until = F.expr("at + make_dt_interval(0, 0, 0, seconds)")
     left = stored(rows.select("claim_id", "user_id", "code_hash", "at", until.alias("until")))
     done = left.limit(0)

@@ -15,7 +15,7 @@ from .queries import _UNITS, NAMED, ORACLES, QUERIES, _feed_platforms, _feed_sai
 from .sources import catalog
 from .sources import fixtures as X
 from .sources.store import shared_folder, stored
-from .streaming import feeds
+from .streaming import feeds, history
 
 # ---- reads by key
 
@@ -355,6 +355,17 @@ def stream_expiries(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.col("expiry_time").cast("timestamp_ntz").alias("expiry_time"))
 
 
-for _name, _same in (("stream_rollup", "rollup_sets"), ("stream_ingest", "upsert_snapshot"), ("stream_deletes", "delete_ids"), ("stream_bursts", "debounce_sessions"), ("stream_unanswered", "unanswered_offers")):
+def stream_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """A backfill in two runs: the second goes on where the first has stopped."""
+    path, came = shared_folder(spark), X.arrivals(spark, sf)
+    k = F.when(F.col("file_id").startswith("n"), F.substring("file_id", 2, 8)).otherwise(F.col("file_id")).cast("long")
+    messages = came.select(k.alias("id"), "file_id", "file_name", "caption")
+    last = messages.agg(F.max("id")).first()[0] or 0
+    for upto in (last // 2, last):
+        history.backfill(messages, 0, upto, path, f"{path}/state", _stored(spark, sf), step=1000).awaitTermination()
+    return history.outcomes(spark, path)
+
+
+for _name, _same in (("stream_backfill", "backfill_counts"), ("stream_rollup", "rollup_sets"), ("stream_ingest", "upsert_snapshot"), ("stream_deletes", "delete_ids"), ("stream_bursts", "debounce_sessions"), ("stream_unanswered", "unanswered_offers")):
     QUERIES[_name] = globals()[_name]
     ORACLES[_name] = ORACLES[_same]

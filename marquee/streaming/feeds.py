@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vocab as V
 from ..operators.mutate import changes, delete_ids, with_changes
@@ -134,6 +136,23 @@ def unanswered_stream(offers: DataFrame, clicks: DataFrame, seconds: int = 120)
     return o.join(c, within, "left_outer").filter("clicked is null").select("event_id", "user_id")
 
 
+def debounce_timers(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> DataFrame:
+    """(key, n): as debounced(), by a timer for each key that every row of the key sets anew: for state that a window can't hold."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n = state.get[0]
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "n": [n]})
+            return
+        n = (state.get[0] if state.exists else 0) + sum(len(b) for b in batches)
+        state.update((n,))
+        state.setTimeoutDuration(seconds * 1000)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """rows, as they come out, as Parquet files at path; each once, whatever is run again."""
     with rocksdb_state(rows.sparkSession):
