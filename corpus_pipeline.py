@@ -7,6 +7,7 @@ documents. An empty table of documents goes through all stages and comes out emp
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,28 @@ KEEP_LANGS: tuple[str, ...] | None = None
 SHINGLE_WORDS, SHINGLE_NUM, SHINGLE_DEN = 5, 80, 100
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _plainly_named(stage: Stage) -> Stage:
+    """The stage over docs whose columns with a dot or a backtick in their names have other names meanwhile: in most calls such names would name fields."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        meanwhile: dict[str, str] = {}
+        for name in docs.columns:
+            if "." in name or "`" in name:
+                meanwhile[name] = free_name(docs, f"renamed_{len(meanwhile)}")
+        if not meanwhile:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.toDF(*[meanwhile.get(c, c) for c in docs.columns]), sf_dir)
+        own = {v: k for k, v in meanwhile.items()}
+        return out.toDF(*[own.get(c, c) for c in out.columns])
+
+    return run
+
+
+@_plainly_named
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, without a language that labels half of their words, or of a language that isn't kept, go.
 
@@ -45,6 +68,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
+@_plainly_named
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from the texts; n_chars, if it is there, is the new length.
 
@@ -58,6 +82,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_plainly_named
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group stays: the one with the least doc_id. Texts without words are linked with nothing and stay.
 
@@ -75,6 +100,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(broadcast_if_small(again), "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
+@_plainly_named
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule finds go: null and empty texts never do. Repeated rows are judged each, very long texts whole; without a benchmark all rows stay."""
     prefix = "found_"
@@ -84,12 +110,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.filter(~F.col(f"{prefix}contaminated")).select(*docs.columns)
 
 
+@_plainly_named
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, size, source_size, target, taken): what the mix takes of each row of docs; null and empty texts have size 0. Other odd cases are as in mix()."""
     return mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
