@@ -32,8 +32,8 @@ def documents(seed: int = 1, n: int = 60, clash: bool = True, odd: bool = True)
         rows += [rows[3], rows[3], (None, texts[5], "en", "s1", None), (None, None, None, None, None)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     if clash:
-        names = ["size", "key", "token", "n_words", "spans", "bad", "host", "lang_pred", "id", "component", "Taken", "found_x", "row"]
+        names = ["size", "key", "token", "n_words", "spans", "bad", "host", "lang_pred", "id", "component", "Taken", "found_x", "row", "a.b"]
         rows = [(*x, *["c"] * len(names)) for x in rows]
-        schema += "".join(f", {n} string" for n in names)
+        schema += "".join(f", `{n}` string" for n in names)
     r.shuffle(rows)
     return rows, schema
