@@ -81,6 +81,11 @@ def merged_phrases(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.min("added").alias("added"))
 
 
+def emptied(rows: DataFrame) -> tuple[DataFrame, int]:
+    """An empty snapshot, and how many rows there were. stores.drop_all() empties a stored table."""
+    return rows.limit(0), rows.count()
+
+
 def by_key(tables: dict[str, DataFrame], key: int | str) -> DataFrame:
     """(kind, id, value) of one key in several tables (id, value): the equality reaches every scan."""
     found = [rows.filter(F.col("id") == key).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "value") for kind, rows in tables.items()]
