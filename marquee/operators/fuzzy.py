@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import alike, text
 from ..functions import vocab as V
 from ..plans.query import Query, collapse, strip_tech
+from .contain import grams
 
 
 def common_length(word: str, other: Column) -> Column:
@@ -187,15 +188,42 @@ def suggestions(candidates: DataFrame, asked: str, least: int = V.SUGGEST_LEAST,
     return scored_pairs(clean, "a", "b").filter(F.col("score") >= least).orderBy(F.desc("score"), "place").limit(limit).select("title", "score")
 
 
-def in_store(suggested: DataFrame, titles: DataFrame, least: int = V.IN_STORE_LEAST, gap: int = V.IN_STORE_GAP) -> DataFrame:
-    """The suggested titles that the dictionary has: the same letters, or alike and of nearly the same length.
+#: Letters of the pieces by which alike texts are found.
+PIECE = 4
+
+
+def _pieces(x: Column, least: int, gap: int) -> Column:
+    """Pieces of x of which a longer text (by `gap` letters at most) that scores `least` with x has one as it is.
 
-    Distinct cleaned texts meet the titles of the lengths within the gap, each pair once.
+    Letters of both texts outside the common subsequence are a bounded share of all; each spoils one piece at most, so there is one piece more than such letters.
     """
+    n = F.length(x)
+    spoiled = F.floor((2 * n + gap) * (201 - 2 * least) / 200).cast("int")
+    cut = lambda i: F.floor(i * n / (spoiled + 1)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), spoiled), lambda i: F.substr(x, cut(i) + 1, F.least(cut(i + 1) - cut(i), F.lit(PIECE))))
+    # a text of fewer letters than pieces may have nothing in common with another one
+    return F.array_distinct(each)
+
+
+def _held_pieces(x: Column) -> Column:
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[F.transform(grams(x, k), lambda g: g["gram"]) for k in range(1, PIECE + 1)]))
+
+
+def alike_pairs(a: DataFrame, b: DataFrame, least: int, gap: int) -> DataFrame:
+    """(a, b): all pairs of texts, of nearly the same length, that may score `least`: those of which the longer has a piece of the shorter."""
+    pieces = lambda rows, x: rows.select(x, F.explode(_pieces(F.col(x), least, gap)).alias("piece"))
+    held = lambda rows, x: rows.select(x, F.explode(_held_pieces(F.col(x))).alias("piece"))
+    one = pieces(a, "a").join(held(b, "b"), "piece").filter((F.length("a") <= F.length("b")) & (F.length("b") - F.length("a") <= gap))
+    two = held(a, "a").join(pieces(b, "b"), "piece").filter((F.length("b") < F.length("a")) & (F.length("a") - F.length("b") <= gap))
+    return one.select("a", "b").union(two.select("a", "b")).distinct()
+
+
+def in_store(suggested: DataFrame, titles: DataFrame, least: int = V.IN_STORE_LEAST, gap: int = V.IN_STORE_GAP) -> DataFrame:
+    """The suggested titles that the dictionary has: the same letters, or alike and of nearly the same length. Distinct cleaned texts meet by their pieces."""
     s = suggested.select("title", text.strip_tech(F.regexp_replace("title", r"\s*\(\d{4}\)\s*$", "")).alias("a"))
     t = titles.select(F.col("base").alias("b")).distinct()
-    exact = s.join(t, text.collapse(F.col("a")) == text.collapse(F.col("b")), "left_semi").select("title")
-    left = s.join(t, text.collapse(F.col("a")) == text.collapse(F.col("b")), "left_anti").select("a").distinct()
-    near = left.withColumn("len", F.explode(F.sequence(F.greatest(F.length("a") - gap, F.lit(0)), F.length("a") + gap))).join(t.withColumn("len", F.length("b")), "len")
-    good = scored_pairs(near.select("a", "b"), "a", "b").filter(F.col("score") >= least).select("a").distinct()
+    same = text.collapse(F.col("a")) == text.collapse(F.col("b"))
+    exact = s.join(t, same, "left_semi").select("title")
+    left = s.join(t, same, "left_anti").select("a").distinct()
+    good = scored_pairs(alike_pairs(left, t, least, gap), "a", "b").filter(F.col("score") >= least).select("a").distinct()
     return exact.union(s.join(good, "a", "left_semi").select("title")).distinct()

@@ -158,6 +158,17 @@ def test_corrections_are_those_of_each_text(spark):
     assert sum(map(len, got.values())) > 20 and all(len(x) <= V.SPELL_TRIED for x in got.values())
 
 
+def test_alike_pairs_lose_nothing(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice("ab c") for _ in range(r.randint(1, 14))) for _ in range(160)]
+    a, b = sorted(set(texts[:80])), sorted(set(texts[80:]))
+    found = {tuple(x) for x in fuzzy.alike_pairs(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"), 88, 4).collect()}
+    pairs = [(x, y) for x in a for y in b if abs(len(x) - len(y)) <= 4]
+    whole, window = alike.ratios(*zip(*pairs, strict=True)), alike.window_ratios(*zip(*pairs, strict=True))
+    good = {p for p, s in zip(pairs, np.rint(np.maximum(whole, window)), strict=True) if s >= 88}
+    assert good <= found and found <= set(pairs) and len(good) > 50
+
+
 @pytest.mark.parametrize(("w", "c"), [("shidat", "shiddat"), ("yuth", "youth"), ("yoou", "you"), ("losst", "lost")])
 def test_near_words(spark, w, c):
     rows = fuzzy.near_words(spark.createDataFrame([(w,)], "w string"), spark.createDataFrame([(c,), ("other",)], "c string"), 82).collect()
