@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from marquee.llm import golden, minmax, shingle_join, vector_codes
+from marquee.llm import golden, minmax, shingle_join, url_rules, vector_codes
 from marquee.llm.kernel import splitmix
+from marquee.llm.queries import QUERIES
 
 from .data import documents
 from .test_operators_llm import LOWER, WORD
@@ -242,3 +244,35 @@ def test_exponion_scans_few_entries_and_finds_the_nearest():
         for start in (np.zeros(3000, dtype=np.int64), apart.argmin(axis=1)):
             entry, least = book.nearest(parts, start)
             assert (entry == apart.argmin(axis=1)).all() and (least == apart.min(axis=1)).all()
+
+
+# ---- native operators over real links
+
+
+def executed_plans(spark, run) -> list[str]:
+    """The physical plans of all jobs that run() starts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = store.executionsList()
+    return [rows.apply(k).physicalPlanDescription() for k in range(before, rows.size())]
+
+
+def test_links_between_pages_take_no_python(spark, sf, tmp_path):
+    """Pages with canonical and refresh links, and classes of a shared path: no job of the rounds runs Python."""
+    html = '<link rel="canonical" href="http://h{}.example.net/{}"><meta http-equiv="refresh" content="0; url=http://h{}.example.com/de/{}">'
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/{k}", html.format(k // 2, k // 2, k // 3, k // 3)) for k in range(60)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages")  # rows from Python would be in the plans
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    plans = executed_plans(spark, lambda: url_rules.judge(pages).collect()) + executed_plans(spark, lambda: QUERIES["url_mirrors"](spark, sf).collect())
+    assert len(plans) > 6 and not [x[0] for p in plans if (x := re.search(".*(Python|Pandas|Arrow).*", p))]
+    verdicts = {r.verdict for r in url_rules.judge(pages).collect()}
+    assert verdicts == {"allow", "block"} or verdicts == {"block"}
+
+
+def test_golden_records_take_no_python_and_no_broadcast(spark, tmp_path):
+    spark.createDataFrame(some_clients(5, 300), CLIENTS).write.parquet(f"{tmp_path}/c")
+    clients = spark.read.parquet(f"{tmp_path}/c")
+    plans = executed_plans(spark, lambda: golden.golden_records(clients, group_rows=8).collect())
+    assert len(plans) > 6 and not [x[0] for p in plans if (x := re.search(".*(Python|Pandas|Arrow|BroadcastHashJoin|BroadcastNestedLoop).*", p))]
