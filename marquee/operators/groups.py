@@ -76,11 +76,6 @@ def summary(keyed: DataFrame, first: int = 8) -> DataFrame:
     return top.groupBy("title_key").agg(*[first_of(c) for c in values])
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """Rows with their number in the order: for lists of bounded length only."""
-    return rows.withColumn("number", F.row_number().over(Window.orderBy(*order)))
-
-
 def pick_metadata(found: DataFrame, title: str, year: int | None) -> DataFrame:
     """The best of external candidates (title, year, poster, votes): of the year if any is, then the exact title, then with a poster and votes, then the first."""
     same = text.collapse(F.col("title")) == text.collapse(F.lit(title))

@@ -366,6 +366,23 @@ def stream_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return history.outcomes(spark, path)
 
 
-for _name, _same in (("stream_backfill", "backfill_counts"), ("stream_rollup", "rollup_sets"), ("stream_ingest", "upsert_snapshot"), ("stream_deletes", "delete_ids"), ("stream_bursts", "debounce_sessions"), ("stream_unanswered", "unanswered_offers")):
+def stream_joins(spark: SparkSession, sf: str) -> DataFrame:
+    path, o, li = shared_folder(spark), X.table(spark, sf, "orders"), X.table(spark, sf, "lineitem")
+    sent = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), (F.col("l_suppkey") % 7).alias("channel"))
+    feeds.join_requests(_arriving(sent, path), f"{path}/out", f"{path}/state").awaitTermination()
+    r = feeds.joined(spark, f"{path}/out", "user_id long, channel long").withColumn("joined", F.array_contains("channels", F.lit(5).cast("long")))
+    r = mutate.pull_from_set(mutate.add_to_set(r, "channels", F.lit(99).cast("long")), "channels", F.lit(3).cast("long"))
+    return r.select("user_id", F.array_join(F.sort_array("channels"), ",").alias("channels"), "joined")
+
+
+def stream_unsubscribes(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark)
+    users = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    gone = X.table(spark, sf, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("id"))
+    feeds.unsubscribed(_arriving(gone, path), f"{path}/out", f"{path}/state").awaitTermination()
+    return feeds.subscribed(spark, f"{path}/out", users)
+
+
+for _name, _same in (("stream_joins", "join_requests"), ("stream_unsubscribes", "delete_users"), ("stream_backfill", "backfill_counts"), ("stream_rollup", "rollup_sets"), ("stream_ingest", "upsert_snapshot"), ("stream_deletes", "delete_ids"), ("stream_bursts", "debounce_sessions"), ("stream_unanswered", "unanswered_offers")):
     QUERIES[_name] = globals()[_name]
     ORACLES[_name] = ORACLES[_same]

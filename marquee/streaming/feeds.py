@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vocab as V
-from ..operators.mutate import changes, delete_ids, with_changes
+from ..operators.mutate import changes, delete_ids, with_changes, without
 from ..operators.rollup import said_values
 from .state import TITLE_FIELDS, Bursts, Expiries, TitleRollup, rocksdb_state
 
@@ -78,6 +78,27 @@ def tombstones(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def unsubscribed(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Users (id) who leave, as a log. Those who stay are subscribed()."""
+    sink = _log_sink(path, lambda batch, _: batch.select("id").distinct())
+    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def subscribed(spark: SparkSession, path: str, users: DataFrame) -> DataFrame:
+    """The users (id, ...) without those who have left."""
+    return without(users, spark.read.parquet(path), "id")
+
+
+def join_requests(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Requests (user_id, channel) to join, each pair once however often it is sent: the state has the pairs that came. joined() has each user's channels."""
+    return append_to(rows.select("user_id", "channel").dropDuplicates(["user_id", "channel"]), path, checkpoint)
+
+
+def joined(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(user_id, channels) of the requests so far."""
+    return spark.read.schema(schema).parquet(path).groupBy("user_id").agg(F.collect_set("channel").alias("channels"))
+
+
 def alive(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """The files of both stores without the deleted ones."""
     return delete_ids(files, spark.read.parquet(path))
