@@ -106,8 +106,9 @@ def golden_records(clients: DataFrame, group_rows: int = GROUP_ROWS) -> DataFram
     a balance that is NaN or infinite is null. Rows with neither id are one cluster, whose id is null.
     Records that tie in an order (equal or null client_id) are ordered by all their fields; rows equal
     in all fields are counted each. An empty table gives no rows. group_rows: records that one task
-    sorts, more than WINNERS; it doesn't change the result.
+    sorts, 2 * WINNERS at least; it doesn't change the result.
     """
+    group_rows = max(group_rows, 2 * WINNERS)  # with fewer, a reduction might not reduce
     rows = _cleaned(clients)
     # both sides of the join are shuffled by cluster only, so adaptive execution can split a large cluster
     stats = written(rows.groupBy("cluster").agg(F.max("r.updated_at").alias("latest"), F.count("*").alias("n")))
