@@ -172,30 +172,47 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     return out
 
 
+def _term(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What shares a and b of one value add to the Jensen-Shannon divergence (base 2)."""
+    m = (a + b) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (np.where(a > 0, a * np.log2(a / m), 0) + np.where(b > 0, b * np.log2(b / m), 0)) / 2
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (square root, base 2) of each row of counts p to the counts q; 0 for a row without counts."""
     total = p.sum(axis=1, keepdims=True)
-    a, b = p / np.maximum(total, 1), (q / max(q.sum(), 1))[None, :]
-    m = (a + b) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = np.where(a > 0, a * np.log2(a / m), 0) + np.where(b > 0, b * np.log2(b / m), 0)
-    return np.where(total[:, 0] > 0, np.sqrt(np.clip(part.sum(axis=1) / 2, 0, 1)), 0.0)
+    part = _term(p / np.maximum(total, 1), (q / max(q.sum(), 1))[None, :])
+    return np.where(total[:, 0] > 0, np.sqrt(np.clip(part.sum(axis=1), 0, 1)), 0.0)
 
 
 def distances(w: Words, refs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's class and word distance to the language nearest to it by their sum, and the word distance that a text without a common word of it has; 0 without references."""
+    """Each row's class and word distance to the language nearest to it by their sum, and the word distance that a text without a common word of it has; 0 without references.
+
+    Only pairs of a row and a common word that occur are kept: what this holds follows the words, not rows times languages.
+    """
     classes, hashes = histograms(w)
     best, row = [np.zeros(w.rows) for _ in range(3)], w.row_of_word()
     common = np.unique(np.concatenate([x[1] for x in refs.values()])) if refs else np.zeros(0, dtype=np.uint64)
-    # words that are common in no language are one column, the last
     at = np.searchsorted(common, hashes)
-    at[(common[np.minimum(at, len(common) - 1)] != hashes) if len(common) else at >= 0] = len(common)
-    counts = np.bincount(row * (len(common) + 1) + at, minlength=w.rows * (len(common) + 1)).reshape(w.rows, len(common) + 1)
+    known = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == hashes) if len(common) else np.zeros(0, dtype=np.int64)
+    pair, times = np.unique(row[known] * max(len(common), 1) + at[known], return_counts=True)
+    row, word = np.divmod(pair, max(len(common), 1))
+    share = times / np.maximum(w.counts, 1)[row]
+    summed = lambda which, x: np.bincount(row[which], x, w.rows)
     for k, (class_ref, own, word_ref) in enumerate(refs.values()):
-        mine = counts[:, np.searchsorted(common, own)]
-        by_word = np.concatenate([(w.counts - mine.sum(axis=1))[:, None], mine], axis=1)
+        b = np.zeros(len(common))
+        total = max(word_ref.sum(), 1)
+        b[np.searchsorted(common, own)] = word_ref[1:] / total
+        mine = np.flatnonzero(b[word] > 0)
+        ours, theirs = share[mine], b[word[mine]]
+        # common words that a row lacks add half of their shares; all words that aren't common are one value
+        lacked = b.sum() - summed(mine, theirs)
+        others = np.clip(1 - summed(mine, ours), 0, 1)
+        apart = summed(mine, _term(ours, theirs)) + lacked / 2 + _term(others, np.full(w.rows, word_ref[0] / total))
+        by_word = np.where(w.counts > 0, np.sqrt(np.clip(apart, 0, 1)), 0.0)
         none = js_distance(np.eye(1, len(word_ref)), word_ref)
-        now = [js_distance(classes, class_ref), js_distance(by_word, word_ref), np.repeat(none, w.rows)]
+        now = [js_distance(classes, class_ref), by_word, np.repeat(none, w.rows)]
         nearer = np.ones(w.rows, dtype=bool) if k == 0 else now[0] + now[1] < best[0] + best[1]
         best = [np.where(nearer, x, y) for x, y in zip(now, best, strict=True)]
     return best[0], best[1], best[2]
