@@ -9,6 +9,8 @@ from ..functions import extract, text
 from ..functions import vocab as V
 from ..plans.query import Query
 from ..sources.catalog import federate, with_keys
+from ..sources.store import stored
+from .order import placed
 from .search import ranked
 
 
@@ -45,13 +47,18 @@ def season_tree(keyed: DataFrame) -> DataFrame:
     """(title_key, kind, season, episode, place, file_id): the files of each title in its tree, in long form.
 
     A title with a season anywhere is a series, its files by season and episode; else all are of season
-    and episode 0. Within a leaf the best come first, ties by file_id.
+    and episode 0. Within a leaf the best come first, ties by file_id. Places count over ranges of the whole
+    order, less the place where the leaf begins, so a leaf with very many files is never one task's.
     """
-    titled = keyed.filter("title_key <> ''")
-    # a join, not a window: the flag combines before the shuffle, and a title with very many files can be split
-    kinds = titled.groupBy("title_key").agg(F.when(F.max(F.col("season") > 0), "series").otherwise("movie").alias("kind"))
-    leaf = Window.partitionBy("title_key", "season", "episode").orderBy(F.desc(extract.sort_score(F.col("shown"))), "file_id")
-    return titled.join(kinds, "title_key").select("title_key", "kind", "season", "episode", F.row_number().over(leaf).alias("place"), "file_id")
+    leaf = ["title_key", "season", "episode"]
+    # written, since sampling the ranges would work the patterns out once more
+    files = stored(keyed.filter("title_key <> ''").select(*leaf, extract.sort_score(F.col("shown")).alias("score"), "file_id"))
+    rows = placed(files, [*(F.col(c) for c in leaf), F.desc("score"), F.asc("file_id")]).drop("range")
+    leaves = rows.groupBy(*leaf).agg(F.min("place").alias("start"))
+    kinds = leaves.groupBy("title_key").agg(F.when(F.max(F.col("season") > 0), "series").otherwise("movie").alias("kind"))
+    # the leaves are the join's other side, so that adaptive execution can split one with very many files
+    leaves = stored(leaves.join(kinds, "title_key"))
+    return rows.join(leaves, leaf).select("title_key", "kind", "season", "episode", (F.col("place") - F.col("start") + 1).cast("int").alias("place"), "file_id")
 
 
 def season_counts(keyed: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def saved(incoming: DataFrame, stored: DataFrame, first_bytes: int, second_bytes
     return out[0].union(out[1]).union(out[2]).union(out[3]).union(err)
 
 
-def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """With `bucket`, by the id: a table partitioned by it is read and written in some buckets only."""
     return rows.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
 
 
@@ -59,7 +60,7 @@ COLUMNS = ("file_id", "file_name", "caption", "category")
 
 def create(stored: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Both stores as a table in buckets of ids."""
-    rows = _bucketed(stored.select(*COLUMNS, "store"), buckets)
+    rows = bucketed(stored.select(*COLUMNS, "store"), buckets)
     rows.repartition("store", "bucket").write.mode("overwrite").partitionBy("store", "bucket").parquet(path)
 
 
@@ -68,7 +69,7 @@ def merge(spark: SparkSession, path: str, outcomes: DataFrame, buckets: int = BU
 
     An updated row keeps its name. Merging the same outcomes again changes nothing, so an interrupted merge is run again.
     """
-    changed = _bucketed(outcomes.filter("status in ('suc', 'upd')"), buckets)
+    changed = bucketed(outcomes.filter("status in ('suc', 'upd')"), buckets)
     # at most two stores' buckets, whatever the batch
     touched = [(r["store"], r["bucket"]) for r in changed.select("store", "bucket").distinct().collect()]
     if not touched:

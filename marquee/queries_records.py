@@ -291,8 +291,11 @@ def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    path, stored = shared_folder(spark), _stored(spark, sf)
-    feeds.ingest(_arriving(X.incoming(spark, sf), path), f"{path}/out", f"{path}/state", stored).awaitTermination()
+    path = shared_folder(spark)
+    rows = stores.bucketed(_stored(spark, sf))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/store")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/store")
+    feeds.ingest(_arriving(X.incoming(spark, sf), path), f"{path}/out", f"{path}/state", stored, in_buckets=True).awaitTermination()
     return feeds.current(spark, f"{path}/out", stored).select("file_id", "file_name", "caption", "category")
 
 

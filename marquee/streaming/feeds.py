@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import vocab as V
 from ..operators.mutate import changes, delete_ids, with_changes, without
 from ..operators.rollup import said_values
+from ..operators.stores import BUCKETS, bucketed
 from .state import TITLE_FIELDS, Bursts, Expiries, TitleRollup, rocksdb_state
 
 #: How late rows may come to once_per_id() and to windows; later ones are dropped there. Ingest, tombstones and roll-ups drop none: their state is a log.
@@ -21,6 +24,7 @@ LATENESS = "10 minutes"
 
 #: Ids of a batch up to which they are broadcast, so that the store is scanned but not shuffled.
 SMALL_BATCH = 1_000_000
+STORED = ("file_id", "file_name", "caption", "category")
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -54,22 +58,49 @@ def _log_sink(path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame
     return write
 
 
-def ingest(rows: DataFrame, path: str, checkpoint: str, stored: DataFrame) -> StreamingQuery:
-    """Files (file_id, file_name, caption) upserted into a store, as a log of changes; idempotent by id. The snapshot is current()."""
+def _changes_log(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
+    fields = T.StructType([stored.schema["file_id"], *T.StructType.fromDDL("file_name string, caption string, category string, epoch long, bucket int").fields])
+    try:
+        return spark.read.schema(fields).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], fields)  # no batch has come yet
 
-    def step(batch: DataFrame, log: DataFrame | None) -> DataFrame:
-        ids = batch.select("file_id").distinct()
-        of_batch = lambda rows: rows.join(F.broadcast(ids) if batch_is_small else ids, "file_id", "left_semi")
-        batch_is_small = ids.count() <= SMALL_BATCH
-        return changes(batch, of_batch(stored) if log is None else with_changes(of_batch(stored), of_batch(log)))
 
-    sink = _log_sink(path, step)
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def of_buckets(rows: DataFrame, touched: list[int]) -> DataFrame:
+    """The rows of these buckets, of a table partitioned by bucket: only their files are read."""
+    return rows.filter(F.col("bucket").isin(touched))
+
+
+def ingest(rows: DataFrame, path: str, checkpoint: str, stored: DataFrame, in_buckets: bool = False, buckets: int = BUCKETS) -> StreamingQuery:
+    """Files (file_id, file_name, caption) upserted into a store, as a log of changes; idempotent by id. The snapshot is current().
+
+    The log is partitioned by epoch and by bucket of ids, and a batch reads the buckets that it touches only; so it does
+    of the store with in_buckets, which says that it is a table partitioned by the same buckets (bucketed() gives the
+    column). The more buckets, the closer a small batch comes to reading just its own ids.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark, own = batch.sparkSession, bucketed(batch, buckets)
+        # as many rows as there are buckets
+        counts = own.groupBy("bucket").count().collect()
+        touched, small = sorted(r["bucket"] for r in counts), sum(r["count"] for r in counts) <= SMALL_BATCH
+        ids = own.select("file_id").distinct()
+        of_batch = lambda rows: rows.select(*STORED).join(F.broadcast(ids) if small else ids, "file_id", "left_semi")
+        known = of_batch(of_buckets(stored, touched) if in_buckets else stored)
+        if epoch:
+            log = of_buckets(_changes_log(spark, path, stored), touched).filter(F.col("epoch") < epoch)
+            known = with_changes(known, log.join(F.broadcast(ids) if small else ids, "file_id", "left_semi"))
+        changed = bucketed(changes(batch, known), buckets).hint("rebalance", "bucket")
+        changed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
     """The store with the log at path. Written, it is the next store, and its log can go."""
-    return with_changes(stored, spark.read.parquet(path))
+    return with_changes(stored.select(*STORED), _changes_log(spark, path, stored))
 
 
 def tombstones(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
