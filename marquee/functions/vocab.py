@@ -58,14 +58,18 @@ FEED_PLATFORMS = (
     ("jhs", "JioHotstar"), ("aha", "Aha"), ("hbo", "HBO Max"), ("paramount", "Paramount+"), ("apple", "Apple TV+"), ("hoichoi", "Hoichoi"),
     ("sunnxt", "Sun NXT"), ("viki", "Viki"),
 )
+# "web dl" is not among them, since single words are compared.
 FEED_IGNORED = (
-    "rarbg dub sub sample mkv aac combined action adventure animation biography comedy crime documentary drama family fantasy film-noir history "
-    "horror music musical mystery romance sci-fi sport thriller war western hdcam hdtc camrip ts tc telesync dvdscr dvdrip predvd webrip web-dl "
-    "tvrip hdtv webdl bluray brrip bdrip 360p 480p 720p 1080p 2160p 4k 1440p 540p 240p 140p hevc hdrip hin hindi tam tamil kan kannada tel telugu "
-    "mal malayalam eng english pun punjabi ben bengali mar marathi guj gujarati urd urdu kor korean jpn japanese nf netflix sonyliv sony sliv amzn "
-    "prime primevideo hotstar zee5 jio jhs aha hbo paramount apple hoichoi sunnxt viki privatemoviez toonworld4all themoviesboss 1tamilmv "
-    "tamilblasters 1tamilblasters skymovieshd extraflix hdm2 moviesmod hdhub4u mkvcinemas primefix join www villa tg original"
-).split()
+    "rarbg", "dub", "sub", "sample", "mkv", "aac", "combined", "action", "adventure", "animation", "biography", "comedy", "crime", "documentary",
+    "drama", "family", "fantasy", "film-noir", "history", "horror", "music", "musical", "mystery", "romance", "sci-fi", "sport", "thriller", "war",
+    "western", "hdcam", "hdtc", "camrip", "ts", "tc", "telesync", "dvdscr", "dvdrip", "predvd", "webrip", "web-dl", "tvrip", "hdtv", "webdl",
+    "bluray", "brrip", "bdrip", "360p", "480p", "720p", "1080p", "2160p", "4k", "1440p", "540p", "240p", "140p", "hevc", "hdrip", "hin", "hindi",
+    "tam", "tamil", "kan", "kannada", "tel", "telugu", "mal", "malayalam", "eng", "english", "pun", "punjabi", "ben", "bengali", "mar", "marathi",
+    "guj", "gujarati", "urd", "urdu", "kor", "korean", "jpn", "japanese", "nf", "netflix", "sonyliv", "sony", "sliv", "amzn", "prime", "primevideo",
+    "hotstar", "zee5", "jio", "jhs", "aha", "hbo", "paramount", "apple", "hoichoi", "sunnxt", "viki", "privatemoviez", "toonworld4all",
+    "themoviesboss", "1tamilmv", "tamilblasters", "1tamilblasters", "skymovieshd", "extraflix", "hdm2", "moviesmod", "hdhub4u", "mkvcinemas",
+    "primefix", "join", "www", "villa", "tg", "original",
+)
 
 # Patterns. All are matched without regard to case unless the text is lower-cased before.
 YEAR = r"\b(19[5-9]\d|20[0-3]\d)\b"
