@@ -16,7 +16,7 @@ from ..functions import vocab as V
 from ..operators.mutate import changes, delete_ids, with_changes, without
 from ..operators.rollup import said_values
 from ..operators.stores import BUCKETS, bucketed
-from .state import TITLE_FIELDS, Bursts, Expiries, TitleRollup, rocksdb_state
+from .state import NO_END, TITLE_FIELDS, Bursts, Expiries, TitleRollup, rocksdb_state
 
 #: How late rows may come to once_per_id() and to windows; later ones are dropped there. Ingest, tombstones and roll-ups drop none: their state is a log.
 LATENESS = "10 minutes"
@@ -24,6 +24,8 @@ LATENESS = "10 minutes"
 
 #: Ids of a batch up to which they are broadcast, so that the store is scanned but not shuffled.
 SMALL_BATCH = 1_000_000
+#: Parts in which the state of memberships is kept; each is read and written whole by a batch that touches it.
+MEMBER_BUCKETS = 1024
 STORED = ("file_id", "file_name", "caption", "category")
 
 
@@ -169,13 +171,18 @@ def bursts(rows: DataFrame, key: str, seconds: int = V.DEBOUNCE_SECONDS) -> Data
     return out.select(key, F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n")
 
 
-def expiries(grants: DataFrame) -> DataFrame:
-    """(id, expiry_time): each membership that ends, out when the watermark passes its end; a later grant of the same member moves it.
+def expiries(grants: DataFrame, buckets: int = MEMBER_BUCKETS) -> DataFrame:
+    """(id, expiry_time): each membership that ends, out once the watermark is past its end; a later grant of the same member moves it.
 
-    grants: with_event_time() of (id, ts, expiry_time: timestamp).
+    grants: with_event_time() of (id, ts, expiry_time: timestamp); those without an end change nothing. State is kept by
+    buckets of ids, so that a batch asks the store for as many values as there are buckets, not members.
     """
-    out = grants.select("id", "ts", F.unix_micros("expiry_time").alias("end")).groupBy("id").transformWithStateInPandas(Expiries(), "id long, end long", "Append", "EventTime")
-    return out.select("id", F.timestamp_micros("end").alias("expiry_time"))
+    part = F.when(F.col("id").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    end = F.coalesce(F.unix_micros("expiry_time"), F.lit(NO_END))
+    # the rows without an end stay until the state, since their time moves the watermark
+    rows = grants.select(part.alias("part"), F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), "ts", end.alias("end"))
+    out = rows.groupBy("part").transformWithStateInPandas(Expiries(), "part int, id long, end long", "Append", "EventTime")
+    return out.select(F.when(F.col("part") >= 0, F.col("id")).alias("id"), F.timestamp_micros("end").alias("expiry_time"))
 
 
 def unanswered_stream(offers: DataFrame, clicks: DataFrame, seconds: int = 120) -> DataFrame:

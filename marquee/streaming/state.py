@@ -6,6 +6,7 @@ import contextlib
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -116,26 +117,63 @@ class Bursts(StatefulProcessor):
         pass
 
 
+#: In place of the end of a grant without one.
+NO_END = -(1 << 63)
+
+
 class Expiries(StatefulProcessor):
-    """The end of a member's last grant, and a timer at it."""
+    """The end of each member's last grant, of the members of a bucket of ids, and one timer at the first of these ends.
+
+    State is two packed arrays for a bucket, in microseconds and in the order of ids: what is asked of the store
+    doesn't grow with the members. An end has passed once the watermark is behind it, not when they are equal.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.end = handle, handle.getValueState("end", "at long")
+        self.handle, self.ends = handle, handle.getValueState("ends", "ids binary, ends binary, timer long")
+
+    def _held(self) -> tuple[np.ndarray, np.ndarray, int | None]:
+        if not self.ends.exists():
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+        ids, ends, timer = self.ends.get()
+        return np.frombuffer(ids, dtype=np.int64), np.frombuffer(ends, dtype=np.int64), timer
+
+    def _keep(self, ids: np.ndarray, ends: np.ndarray, timer: int | None) -> None:
+        """timer: the one that is set, None if it has run."""
+        at = int(ends.min()) // 1000 + 1 if len(ends) else None
+        if timer is not None and timer != at:
+            self.handle.deleteTimer(timer)
+        if at is None:
+            self.ends.clear()
+            return
+        if timer != at:
+            self.handle.registerTimer(at)
+        self.ends.update((ids.tobytes(), ends.tobytes(), at))
+
+    @staticmethod
+    def _last(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each id once, with its greatest end."""
+        if not len(ids):
+            return ids, ends
+        order = np.lexsort((ends, ids))
+        ids, ends = ids[order], ends[order]
+        last = np.append(ids[1:] != ids[:-1], True)
+        return ids[last], ends[last]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.end.get()[0] if self.end.exists() else None
-        last = max([int(t) for batch in rows for t in batch["end"].dropna()] + ([] if before is None else [before]), default=None)
-        if last is not None and last != before:
-            if before is not None:
-                self.handle.deleteTimer(-(-before // 1000))
-            self.end.update((last,))
-            self.handle.registerTimer(-(-last // 1000))
+        ids, ends, timer = self._held()
+        for batch in rows:
+            batch = batch[batch["end"] != NO_END]
+            ids, ends = self._last(np.append(ids, batch["id"].to_numpy(dtype=np.int64)), np.append(ends, batch["end"].to_numpy(dtype=np.int64)))
+        self._keep(ids, ends, timer)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = self.end.get()[0]
-        self.end.clear()
-        yield pd.DataFrame({"id": [key[0]], "end": [at]})
+        ids, ends, timer = self._held()
+        over = ends // 1000 < timerValues.getCurrentWatermarkInMs()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        self._keep(ids[~over], ends[~over], None if timer == at else timer)
+        if over.any():
+            yield pd.DataFrame({"part": np.full(over.sum(), key[0], dtype=np.int32), "id": ids[over], "end": ends[over]})
 
     def close(self) -> None:
         pass

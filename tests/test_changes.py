@@ -110,6 +110,24 @@ def test_bursts_join_what_comes_late():
     assert b._joined([[5_000_000, 5_000_000, 1], [0, 0, 1]]) == [[0, 0, 1], [5_000_000, 5_000_000, 1]]
 
 
+def test_an_end_at_the_watermark_has_not_passed(spark, tmp_path):
+    """Memberships that end just at the time asked at stay, as in the SQL; a later grant moves an end; the state has no member's own timer."""
+    import datetime as dt
+
+    day = dt.datetime(2000, 1, 10)
+    us = dt.timedelta(microseconds=1)
+    rows = [(1, day - us), (2, day), (3, day + us), (4, day - 3 * us), (4, day + us), (5, day - 5 * us), (5, day - 2 * us), (None, day - us), (6, None)]
+    grants = [(i, dt.datetime(2000, 1, 1), e) for i, e in rows]
+    schema = "id long, ts timestamp_ntz, expiry_time timestamp_ntz"
+    for k, some in enumerate([grants[::2], grants[1::2], [(-1, day + dt.timedelta(days=30), None)]]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/k={k}")
+    stream = feeds.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in/*"), lateness="30 days")
+    out = feeds.expiries(stream.withColumn("expiry_time", stream.expiry_time.cast("timestamp")), buckets=2)
+    feeds.append_to(out, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").selectExpr("id", "cast(expiry_time AS timestamp_ntz) AS e").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, day - us), (5, day - 2 * us), (None, day - us)], key=str)
+
+
 def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
     messages = spark.createDataFrame([(k, f"f{k % 40}", f"name {k}", f"c{k // 40}") for k in range(100)], "id long, file_id string, file_name string, caption string")
     stored = spark.createDataFrame([("f0", "name", "c0", "movie")], "file_id string, file_name string, caption string, category string")
