@@ -333,10 +333,10 @@ def _events_until(spark: SparkSession, sf: str, path: str) -> DataFrame:
 
 
 def stream_bursts(spark: SparkSession, sf: str) -> DataFrame:
-    """The bursts of each user, in whatever order the events come: state and timers give what the windows of one batch give."""
+    """The bursts of each user, in whatever order the events come: session windows over the stream give what those of one batch give."""
     path = shared_folder(spark)
-    out = _left(spark, feeds.bursts(_events_until(spark, sf, path), "user_id", 6 * 3600), path)
-    return out.filter("user_id >= 0").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+    out = _left(spark, feeds.debounced(_events_until(spark, sf, path), "user_id", 6 * 3600), path)
+    return out.filter("not user_id <=> -1").select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
 def stream_unanswered(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,16 +83,19 @@ class Bursts(StatefulProcessor):
         """The millisecond at which a burst is over."""
         return -(-(last + self.gap) // 1000)
 
+    def _next(self, some: list[list[int]]) -> int | None:
+        """The key's one timer: the end of the burst that is over first."""
+        return min((self._ends(x[1]) for x in some), default=None)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self._held()
-        timers = {self._ends(x[1]) for x in held}
-        for batch in rows:
-            held = self._joined(held + [[t, t, 1] for t in batch["at"].tolist()])
-        now = {self._ends(x[1]) for x in held}
-        for t in timers - now:
-            self.handle.deleteTimer(t)
-        for t in now - timers:
-            self.handle.registerTimer(t)
+        before = self._next(held)
+        held = self._joined(held + [[t, t, 1] for batch in rows for t in batch["at"].tolist()])
+        at = self._next(held)
+        if before != at:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
         self._keep(held)
         return iter(())
 
@@ -107,9 +110,12 @@ class Bursts(StatefulProcessor):
         return out
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, held = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        at, held = timerValues.getCurrentWatermarkInMs(), self._held()
         over = [x for x in held if self._ends(x[1]) <= at]
-        self._keep([x for x in held if self._ends(x[1]) > at])
+        held = [x for x in held if self._ends(x[1]) > at]
+        if held:
+            self.handle.registerTimer(self._next(held))
+        self._keep(held)
         if over:
             yield pd.DataFrame({self.key: [key[0]] * len(over)} | {c: [x[k] for x in over] for k, c in enumerate(("first", "last", "n"))})
 

@@ -110,6 +110,28 @@ def test_bursts_join_what_comes_late():
     assert b._joined([[5_000_000, 5_000_000, 1], [0, 0, 1]]) == [[0, 0, 1], [5_000_000, 5_000_000, 1]]
 
 
+def test_bursts_by_windows_and_by_timers(spark, tmp_path):
+    """Rows just the gap apart are two bursts, late rows join bursts, a key may be null; a key has one timer, and no plan of stream_bursts calls Python."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2000, 1, 1) + dt.timedelta(seconds=s)
+    schema = "k long, ts timestamp_ntz"
+    batches = [[(1, at(0)), (1, at(20)), (2, at(0)), (2, at(19.999999)), (None, at(3))], [(1, at(10)), (2, at(9.999999)), (3, at(5)), (3, at(500))], [(-1, at(3700))], [(3, at(520)), (-1, at(9000))]]
+    for k, some in enumerate(batches):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{tmp_path}/in/k={k}")
+    got = []
+    for name, of in (("windows", feeds.debounced), ("timers", feeds.bursts)):
+        stream = feeds.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), lateness="3600 seconds")
+        out = of(stream, "k", 10)
+        if name == "windows":
+            assert "Python" not in out._jdf.queryExecution().logical().toString()
+        feeds.append_to(out, f"{tmp_path}/{name}", f"{tmp_path}/cp_{name}").awaitTermination()
+        rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}").filter("not k <=> -1").selectExpr("k", "cast(first AS timestamp_ntz) AS a", "cast(last AS timestamp_ntz) AS b", "n")
+        got.append(sorted(map(tuple, rows.collect()), key=str))
+    want = [(1, at(0), at(0), 1), (1, at(10), at(10), 1), (1, at(20), at(20), 1), (2, at(0), at(9.999999), 2), (2, at(19.999999), at(19.999999), 1), (None, at(3), at(3), 1), (3, at(5), at(5), 1), (3, at(500), at(500), 1), (3, at(520), at(520), 1)]
+    assert got == [sorted(want, key=str)] * 2
+
+
 def test_an_end_at_the_watermark_has_not_passed(spark, tmp_path):
     """Memberships that end just at the time asked at stay, as in the SQL; a later grant moves an end; the state has no member's own timer."""
     import datetime as dt
