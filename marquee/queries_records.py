@@ -205,7 +205,7 @@ def _decorated_sql(name: str) -> str:
 @query(f"WITH x AS (SELECT p_partkey AS id, p_name || ' ' || upper(p_name) || ' ' || p_partkey || ' AZ az 0123456789' AS s FROM part) SELECT id, {', '.join(map(_decorated_sql, alphabets.NAMES))} FROM x")
 def decorated(spark: SparkSession, sf: str) -> DataFrame:
     name, k = F.col("p_name"), F.col("p_partkey")
-    rows = X.table(spark, sf, "part").select(k.alias("id"), F.concat_ws(" ", name, F.upper(name), k.cast("string"), F.lit("AZ az 0123456789")).alias("s"))
+    rows = catalog.dealt(X.table(spark, sf, "part"), "p_partkey").select(k.alias("id"), F.concat_ws(" ", name, F.upper(name), k.cast("string"), F.lit("AZ az 0123456789")).alias("s"))
     return rows.select("id", *[text.decorate(F.col("s"), a).alias(f"in_{a}") for a in alphabets.NAMES])
 
 

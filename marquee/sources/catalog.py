@@ -11,6 +11,14 @@ from ..functions import extract, text
 SCHEMA = "file_id string, file_name string, file_size bigint, caption string, category string, store string"
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows, dealt by a hash of the key to as many tasks as shuffles have: a small file is one task, however much is done with each of its rows.
+
+    The number is given, since adaptive execution makes few tasks of few bytes.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def federate(files: DataFrame) -> DataFrame:
     """One row per id: the primary store's, else the other one's. An id is unique within its store.
 

@@ -205,6 +205,13 @@ def test_alphabets(spark, alphabet, said, want):
     assert value(spark, text.decorate(F.lit(None).cast("string"), alphabet)) is None
 
 
+def test_decorating_a_small_file_is_many_tasks(spark, sf):
+    from marquee.queries import QUERIES
+
+    parts = QUERIES["decorated"](spark, sf).select("id", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in parts) == 200
+
+
 def test_alphabets_are_whole():
     assert len(alphabets.NAMES) == 41
     for name in alphabets.NAMES:
