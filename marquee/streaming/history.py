@@ -18,10 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.engage import count_outcomes
-from ..operators.mutate import changes, upsert_status, with_changes
+from ..operators.mutate import changed, judged, with_changes
 
 #: Numbers of a partition, and of a batch handed over inside it.
 STEP, AT_ONCE = 1 << 20, 1 << 16
+#: Partitions of a batch; numbers are cheap and come in batches, so that more of them make partitions longer, not more.
+MOST_PARTITIONS = 64
 
 
 class NumberRange(InputPartition):
@@ -30,7 +32,7 @@ class NumberRange(InputPartition):
 
 
 class MessageNumbers(DataSource):
-    """Stream of (id): the numbers first to last; options first, last and step (numbers of a partition)."""
+    """Stream of (id): the numbers first to last; options first, last and step (numbers of a partition, more where a batch would have over MOST_PARTITIONS)."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,7 +56,7 @@ class NumberReader(DataSourceStreamReader):
         return {"next": max(self.options["first"], self.options["last"] + 1)}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        step = self.options["step"]
+        step = max(self.options["step"], -(-(end["next"] - start["next"]) // MOST_PARTITIONS))
         return [NumberRange(low, min(low + step, end["next"])) for low in range(start["next"], end["next"], step)]
 
     def read(self, partition: NumberRange) -> Iterator[pa.RecordBatch]:
@@ -72,11 +74,12 @@ def backfill(messages: DataFrame, first: int, last: int, path: str, checkpoint:
     numbers = spark.readStream.format("message_numbers").options(first=str(first), last=str(last), step=str(step)).load()
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = messages.join(batch, "id").drop("id").persist()  # for both outputs
+        rows = messages.join(batch, "id").drop("id")
         before = with_changes(stored, batch.sparkSession.read.parquet(f"{path}/log").filter(F.col("epoch") < epoch)) if epoch else stored
-        count_outcomes(upsert_status(rows, before)).write.mode("overwrite").parquet(f"{path}/outcomes/epoch={epoch}")
-        changes(rows, before).write.mode("overwrite").parquet(f"{path}/log/epoch={epoch}")
-        rows.unpersist()
+        found = judged(rows, before).persist()  # for both outputs: messages and store are met once
+        count_outcomes(found.select("file_id", "status")).write.mode("overwrite").parquet(f"{path}/outcomes/epoch={epoch}")
+        changed(found).write.mode("overwrite").parquet(f"{path}/log/epoch={epoch}")
+        found.unpersist()
 
     return numbers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

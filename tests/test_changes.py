@@ -163,6 +163,16 @@ def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
     assert {r.status: r.n for r in history.outcomes(spark, str(tmp_path / "o")).collect()} == {"suc": 39, "dup": 1, "upd": 40}
 
 
+def test_history_of_many_steps_is_few_partitions():
+    """Partitions don't grow with the history, and hold each number once; a short one is dealt by its step."""
+    for first, last, step in ((0, 1_200_000, 1000), (5, 5_000_004, 7), (0, 38, 7), (3, 3, 1), (9, 8, 4)):
+        r = history.NumberReader({"first": first, "last": last, "step": step})
+        parts = r.partitions(r.initialOffset(), r.latestOffset())
+        assert len(parts) == min(history.MOST_PARTITIONS, -(-(last + 1 - first) // step))
+        assert [p.low for p in parts[1:]] == [p.high for p in parts[:-1]]
+        assert not parts or (parts[0].low, parts[-1].high) == (first, last + 1)
+
+
 def test_catalog_methods(spark, sf):
     c = Catalog(X.files(spark, sf), ("send",)).with_stop_phrases(("Please", "send"))
     assert c.stop_phrases == ("send", "please")
