@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.query import Query, collapse
+from .catalog import dealt
 
 #: Documents of a shard: an upper bound of a list's length is about twice this.
 SHARD_ROWS = 1 << 16
@@ -89,9 +90,10 @@ def words_of(x: Column) -> Column:
 
 
 def grams_of(x: Column, size: int = GRAM) -> Column:
-    letters = text.collapse(x)
-    at = F.when(F.length(letters) >= size, F.sequence(F.lit(1), F.length(letters) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda k: F.substr(letters, k, F.lit(size))))
+    at = lambda y: F.when(F.length(y) >= size, F.sequence(F.lit(1), F.length(y) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    of = lambda y: F.transform(at(y), lambda k: F.substr(y, k, F.lit(size)))
+    # the letters as an array of one, so that they are made once for a text and not for each of its grams
+    return F.array_distinct(F.flatten(F.transform(F.array(text.collapse(x)), of)))
 
 
 def _pieces(x: str) -> list[str]:
@@ -154,7 +156,9 @@ class TextIndex:
         numbered = rows.withColumn("doc", F.row_number().over(Window.partitionBy("shard").orderBy("file_id", "store")))
         terms = lambda kind, values: F.transform(values, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
         each = [terms(f"{f}_{what}", of(F.coalesce(c, F.lit("")))) for f, c in FIELDS.items() for what, of in (("word", words_of), ("gram", grams_of))]
-        lists = numbered.filter(~F.col("deleted")).select("shard", "doc", F.explode(F.concat(*each)).alias("t"))
+        # shards are few: terms are made by all tasks
+        texts = dealt(numbered.filter(~F.col("deleted")).select("shard", "doc", *FIELDS.values()), "doc")
+        lists = texts.select("shard", "doc", F.explode(F.concat(*each)).alias("t"))
         lists = lists.groupBy("t.kind", "t.term", "shard").agg(F.sort_array(F.collect_list("doc")).alias("docs")).withColumn("bucket", _bucket(F.col("term"), self.buckets))
         packed = lists.select("kind", "bucket", "term", "shard", "docs").mapInArrow(_packed, "kind string, bucket int, term string, shard int, n int, packed binary")
         packed = packed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "term", "shard")

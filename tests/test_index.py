@@ -63,6 +63,19 @@ def test_index_gives_what_the_scan_gives(spark, tmp_path):
     assert search.search(made, None).count() == 0
 
 
+def test_letters_are_made_once_for_a_text(spark):
+    """No pattern stands in what runs for each gram; the grams are those of Python."""
+    said = [x for x in NAMES] + ["ab", "abc", "aaaa"]
+    rows = spark.createDataFrame([(x,) for x in said], "x string").select("x", index.grams_of(F.col("x")).alias("g"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    for r in rows.collect():
+        letters = re.sub("[^a-z0-9]", "", r.x.lower()) if r.x and r.x.isascii() else None
+        if letters is not None:
+            assert sorted(r.g) == index._grams(letters), r.x
+        elif not r.x:
+            assert r.g == []
+
+
 def test_a_search_opens_the_buckets_of_its_terms(spark, tmp_path):
     _, files = _files(spark)
     made = index.TextIndex.build(files, str(tmp_path / "i"), bucket_rows=4)
